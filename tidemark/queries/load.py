@@ -1,3 +1,3 @@
 """Importing this module registers all queries."""
 
-from tidemark.queries import scalars, sources  # noqa: F401
+from tidemark.queries import relational, scalars, sources  # noqa: F401
