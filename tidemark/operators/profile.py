@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.ordered import exact_quantiles
@@ -83,16 +83,12 @@ def share_above_cap(counts: DataFrame, cap: int, value: str = "like_count") -> D
     )
 
 
-def step(df: DataFrame, order: int, name: str, user: str | None, rows: Column | None = None) -> DataFrame:
-    """Users and rows after one step; a table without users reports rows only."""
-    if user is None:
-        return df.agg(F.lit(None).cast("long").alias("users"), F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(order).alias("step"), F.lit(name).alias("name"), "users", "n_rows"
-        )
-    per_user = df.groupBy(user).agg((rows if rows is not None else F.count(F.lit(1))).alias("n"))
-    return per_user.agg(
-        F.count(F.lit(1)).alias("users"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows")
-    ).select(F.lit(order).alias("step"), F.lit(name).alias("name"), "users", "n_rows")
+def step(df: DataFrame, order: int, name: str, key: str) -> DataFrame:
+    """Distinct keys and rows that are left after one step."""
+    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return per_key.agg(
+        F.count(F.lit(1)).alias("n_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows")
+    ).select(F.lit(order).alias("step"), F.lit(name).alias("name"), "n_keys", "n_rows")
 
 
 def attrition(steps: Sequence[DataFrame]) -> DataFrame:
@@ -101,12 +97,12 @@ def attrition(steps: Sequence[DataFrame]) -> DataFrame:
     for part in steps[1:]:
         out = out.unionByName(part)
     first = steps[0]
-    users, rows = first.select("users").scalar(), first.select("n_rows").scalar()
+    keys, rows = first.select("n_keys").scalar(), first.select("n_rows").scalar()
     return out.select(
         "step",
         "name",
-        "users",
+        "n_keys",
         "n_rows",
-        (F.lit(100.0) * F.col("users") / F.nullif(users, F.lit(0))).alias("users_kept_pct"),
+        (F.lit(100.0) * F.col("n_keys") / F.nullif(keys, F.lit(0))).alias("keys_kept_pct"),
         (F.lit(100.0) * F.col("n_rows") / F.nullif(rows, F.lit(0))).alias("rows_kept_pct"),
     )

@@ -68,14 +68,14 @@ def score_posts(
     A model's user vector is one row; it enters the scan as a scalar subquery, so
     the posts stay where they are and are read once for all models.
     """
+    usable = posts.where(F.size("embedding") == dim)
+    usable = usable.withColumns({f"_user_{i}": v.scalar() for i, v in enumerate(user_vectors.values())})
     entries = [
         F.struct(
-            F.lit(model).alias("model_run_id"),
-            dot_score(vector.scalar(), "embedding", temperature).alias("score"),
+            F.lit(model).alias("model_run_id"), dot_score(f"_user_{i}", "embedding", temperature).alias("score")
         )
-        for model, vector in user_vectors.items()
+        for i, model in enumerate(user_vectors)
     ]
-    usable = posts.where(F.size("embedding") == dim)
     return usable.select(POST, AUTHOR, TS, F.explode(F.array(*entries)).alias("_m")).select(
         POST, AUTHOR, TS, "_m.model_run_id", "_m.score"
     )

@@ -272,7 +272,7 @@ def row_metrics(source: str, keys: str, extra: str = "") -> str:
     gains = []
     for k in TOP_KS:
         dcg = f"coalesce(sum(CASE WHEN label = 1 AND rank <= {k} THEN 1 / log2(rank + 1) END), 0)"
-        ideal = f"list_sum(list_transform(range(1, least(max(p), {k}, max(n)) + 1), lambda i: 1 / log2(i + 1)))"
+        ideal = f"list_sum(list_transform(range(1, CAST(least(max(p), {k}, max(n)) AS BIGINT) + 1), lambda i: 1 / log2(i + 1)))"
         gains += [
             f"{dcg} AS dcg_at_{k}",
             f"CASE WHEN max(p) > 0 THEN {dcg} / {ideal} ELSE 0 END AS ndcg_at_{k}",

@@ -12,7 +12,7 @@ from tidemark.operators import cohorts, history as history_ops, likes as likes_o
 from tidemark.operators import ranking, retrieval
 from tidemark.plans.asof import asof_backward
 from tidemark.plans.ordered import with_position
-from tidemark.plans.topn import one_per_key, top_n_per_group
+from tidemark.plans.topn import one_per_key, salt_of, top_n_per_group
 from tidemark.queries import scored as sc
 from tidemark.queries import tables as t
 from tidemark.queries.oracle import END, TRAIN, hour, listed, micro, rnd, with_
@@ -267,8 +267,6 @@ def f2(spark: SparkSession, sf: str) -> DataFrame:
     with_(f"SELECT at_uri, {hour('negative_hour_bucket')} AS negative_hour_bucket FROM chosen"),
 )
 def f3(spark: SparkSession, sf: str) -> DataFrame:
-    from tidemark.plans.topn import salt_of
-
     inside = _expanded(spark, sf).where(
         (F.col(N.NEG_HOUR) >= F.lit(t.WINDOWS.train_start).cast("timestamp"))
         & (F.col(N.NEG_HOUR) < F.lit(t.WINDOWS.holdout_end).cast("timestamp"))
@@ -419,10 +417,10 @@ def _scored_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector scored against the first one."""
     vectors = t.table(spark, sf, "embeddings")
     first = vectors.where("vec_id = 0").select("embedding")
-    return vectors.select(
+    return vectors.withColumn("asked", first.scalar()).select(
         F.lit("m").alias("model_run_id"),
         F.format_string("%06d", "vec_id").alias(N.POST),
-        F.round(dot(first.scalar(), "embedding"), 9).alias("score"),
+        F.round(dot("asked", "embedding"), 9).alias("score"),
         "label",
     )
 
