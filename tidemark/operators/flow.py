@@ -14,7 +14,7 @@ from tidemark.operators.cohorts import cohort_size_bound, sample_cohorts
 from tidemark.plans.durable import cut
 from tidemark.plans.topn import one_per_key
 from tidemark.sources import embeddings as emb
-from tidemark.sources.tables import write_table
+from tidemark.sources.tables import scan, write_table
 
 
 @dataclass(frozen=True)
@@ -125,6 +125,12 @@ def write_core(tables: CoreTables, folder: str) -> dict[str, str]:
     return paths
 
 
+def write_and_read(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and go on from the written copy."""
+    write_table(df, path)
+    return scan(df.sparkSession, path)
+
+
 def history_table(tables: CoreTables, settings: Settings) -> DataFrame:
     """User history of the core tables."""
     return cut(history.user_history(tables.likes, tables.curve, settings.max_prior))

@@ -1,3 +1,3 @@
 """Importing this module registers all queries."""
 
-from tidemark.queries import aggregates, relational, scalars, sources  # noqa: F401
+from tidemark.queries import aggregates, composites, relational, scalars, sources  # noqa: F401
