@@ -10,7 +10,7 @@ from tidemark.functions.times import age_seconds
 from tidemark.names import AUTHOR_IDX, EMB, HOUR, PRIOR, TS, USER
 from tidemark.operators.popularity import CURVE_HOUR
 from tidemark.plans.asof import asof_backward
-from tidemark.plans.ordered import exact_quantiles
+from tidemark.plans.ordered import quantiles_of, ranked_counts
 from tidemark.plans.topn import top_n_per_group
 
 UNCAPPED_LIMIT = 10_000
@@ -146,8 +146,9 @@ def history_distribution(history: DataFrame, max_prior: int) -> DataFrame:
         F.count_if(F.col("history_len") > max_prior).alias("n_users_capped"),
         F.sum(F.greatest(F.col("history_len") - max_prior, F.lit(0))).alias("n_likes_dropped"),
     )
-    median = exact_quantiles(both, ["stage"], "history_len", {"median": 0.5})
-    nearest = exact_quantiles(both, ["stage"], "history_len", QUANTILES, nearest=True)
+    ranked = ranked_counts(both, ["stage"], "history_len")
+    median = quantiles_of(ranked, ["stage"], "history_len", {"median": 0.5})
+    nearest = quantiles_of(ranked, ["stage"], "history_len", QUANTILES, nearest=True)
     return spread.join(median, "stage").join(nearest, "stage")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.names import USER
-from tidemark.plans.ordered import exact_quantiles, running_before, value_counts_before
+from tidemark.plans.durable import cut
+from tidemark.plans.ordered import quantiles_of, ranked_counts, running_before
 
 
 def per_user_ranking(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -32,13 +33,16 @@ def long_metrics(per_user: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 
 def gini(values: DataFrame, keys: Sequence[str] = ("metric",), value: str = "value") -> DataFrame:
-    """Gini coefficient per group; all zeros give 0.
+    """Gini coefficient per group; all zeros give 0."""
+    return gini_of(ranked_counts(values, keys, value), keys, value)
 
-    Equal values are counted first.  A value with ``below`` smaller ones and ``n``
-    copies fills the positions ``below + 1 .. below + n``, whose sum is known.
+
+def gini_of(ranked: DataFrame, keys: Sequence[str] = ("metric",), value: str = "value") -> DataFrame:
+    """Gini coefficient from counted values.
+
+    A value with ``below`` smaller ones and ``n`` copies fills the positions
+    ``below + 1 .. below + n``, whose sum is known.
     """
-    keys = list(keys)
-    ranked = value_counts_before(values, keys, value)
     copies, below, x = F.col("n").cast("double"), F.col("below").cast("double"), F.col(value)
     weighted = F.sum(x * (copies * below + copies * (copies + 1) / 2))
     total, n = F.sum(x * copies), F.sum(copies)
@@ -54,8 +58,9 @@ def lorenz(values: DataFrame, value: str = "value", tie: str = USER, keys: Seque
     that equal values do not pile up in one task.
     """
     keys = list(keys)
+    values = cut(values.select(*keys, value, tie))
     placed = running_before(
-        values.select(*keys, value, tie), keys, [value, tie, *keys], {"_i": F.lit(1), "_before": F.col(value)}
+        values, keys, [value, tie, *keys], {"_i": F.lit(1), "_before": F.col(value)}
     )
     totals = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_total"))
     joined = placed.join(totals, keys)
@@ -77,6 +82,7 @@ def lorenz(values: DataFrame, value: str = "value", tie: str = USER, keys: Seque
 
 def inequality_summary(values: DataFrame) -> DataFrame:
     """Per metric: Gini, users, mean, population deviation, median, smallest, largest."""
+    values = cut(values)
     stats = values.groupBy("metric").agg(
         F.count(F.lit(1)).alias("n_users"),
         F.avg("value").alias("mean"),
@@ -84,5 +90,6 @@ def inequality_summary(values: DataFrame) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    median = exact_quantiles(values, ["metric"], "value", {"median": 0.5})
-    return stats.join(gini(values), "metric").join(median, "metric")
+    ranked = ranked_counts(values, ["metric"], "value")
+    median = quantiles_of(ranked, ["metric"], "value", {"median": 0.5})
+    return stats.join(gini_of(ranked), "metric").join(median, "metric")

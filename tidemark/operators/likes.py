@@ -99,6 +99,9 @@ def reverify(likes: DataFrame, posts: DataFrame, min_likes: int = MIN_LIKES_PER_
 
 
 def like_positions(likes: DataFrame) -> DataFrame:
-    """Which like of the user each row is, by time."""
-    placed = with_position(likes, [USER], [TS, ITEM], "like_order")
+    """Which like of the user each row is, by time.
+
+    Days follow the order, so they serve as the pieces a user's likes are cut into.
+    """
+    placed = with_position(likes, [USER], [TS, ITEM], "like_order", F.to_date(TS))
     return placed.withColumn("like_order", F.col("like_order") + 1)

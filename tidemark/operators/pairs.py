@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import leading_number, seeded_hash
 from tidemark.names import ITEM, POST, SEED, USER
-from tidemark.plans.ordered import with_position
+from tidemark.plans.ordered import hash_bucket, with_position
 from tidemark.sources.embeddings import dense_ids
 
 # Primes above 2**31, the steps of the walks over the posts.
@@ -39,7 +39,8 @@ def negative_pairs(likes: DataFrame, posts: DataFrame, seed: int = SEED) -> Data
     chosen = F.pmod(leading_number(F.substring(drawn, 9, 8)).cast("long"), F.lit(len(STEPS))).cast("int")
     step = F.element_at(F.array(*[F.lit(s) for s in STEPS]), chosen + 1)
 
-    placed = with_position(positives, [USER], [POST], "j")
+    hashed = positives.withColumn("_hash", seeded_hash(seed, "order", POST))
+    placed = with_position(hashed, [USER], ["_hash", POST], "j", hash_bucket("_hash"))
     stops = (
         placed.join(per_user, USER)
         .withColumn("_n", n_posts)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.ordered import exact_quantiles
+from tidemark.plans.ordered import quantiles_of, ranked_counts
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -36,11 +36,12 @@ def top_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:
 
 def distribution(df: DataFrame, value: str) -> DataFrame:
     """Mean, median, largest, 90th and 99th percentile with linear interpolation."""
-    spread = exact_quantiles(df, [], value, {"median": 0.5, "p90": 0.9, "p99": 0.99})
+    ranked = ranked_counts(df, [], value)
+    spread = quantiles_of(ranked, [], value, {"median": 0.5, "p90": 0.9, "p99": 0.99})
     return spread.select(
-        df.agg(F.avg(value)).scalar().alias("mean"),
+        ranked.agg(F.sum(F.col(value) * F.col("n")) / F.sum("n")).scalar().alias("mean"),
         "median",
-        df.agg(F.max(value)).scalar().alias("max"),
+        ranked.agg(F.max(value)).scalar().alias("max"),
         "p90",
         "p99",
     )
@@ -53,13 +54,13 @@ def likes_histogram(counts: DataFrame, value: str = "like_count", bins: int = 50
     ten medians they are even in the logarithm, ``bins - 1`` of them from 1 to
     largest + 1.  The last bin includes its upper edge.
     """
-    x = F.col(value).cast("double")
-    ends = counts.agg(F.min(x).alias("low"), F.max(x).alias("high"))
-    median = exact_quantiles(counts, [], value, {"median": 0.5})
-    sized = counts.select(
-        x.alias("x"),
-        ends.select("low").scalar().alias("low"),
-        ends.select("high").scalar().alias("high"),
+    ranked = ranked_counts(counts, [], value)
+    median = quantiles_of(ranked, [], value, {"median": 0.5})
+    sized = ranked.select(
+        F.col(value).cast("double").alias("x"),
+        "n",
+        ranked.agg(F.min(value).cast("double")).scalar().alias("low"),
+        ranked.agg(F.max(value).cast("double")).scalar().alias("high"),
         median.scalar().alias("median"),
     )
     skewed = F.col("high") > F.col("median") * 10
@@ -69,9 +70,9 @@ def likes_histogram(counts: DataFrame, value: str = "like_count", bins: int = 50
     log_share = F.ln("x") / F.ln(F.col("high") + 1)
     log_even = F.least(F.floor(log_share * (bins - 1)), F.lit(bins - 2))
     return (
-        sized.select(skewed.alias("log_scale"), F.when(skewed, log_even).otherwise(even).alias("bin"))
+        sized.select(skewed.alias("log_scale"), F.when(skewed, log_even).otherwise(even).alias("bin"), "n")
         .groupBy("log_scale", "bin")
-        .agg(F.count(F.lit(1)).alias("n_users"))
+        .agg(F.sum("n").alias("n_users"))
     )
 
 

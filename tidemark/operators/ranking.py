@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.hashing import seeded_hash
 from tidemark.names import MAX_METRIC_PAIRS, SEED, TOP_KS
+from tidemark.plans.durable import cut
 from tidemark.plans.ordered import first_by_hash, running_before
 
 ZERO_HISTORY = "zero_history_"
@@ -158,12 +159,13 @@ def threshold_metrics(
 ) -> DataFrame:
     """AUC with ties and threshold average precision per group of any size.
 
-    Rows are first counted per distinct score; the running counts then go over
-    score ranges, so that neither a whole table nor a hot group sits in one task.
+    Rows are first counted per distinct score and written; the running counts then
+    go over score ranges, so that neither a whole table nor a hot group sits in one
+    task.
     """
     keys = list(keys)
-    counts = pairs.groupBy(*keys, score).agg(
-        F.sum(label).cast("long").alias("_pos"), F.count(F.lit(1)).alias("_all")
+    counts = cut(
+        pairs.groupBy(*keys, score).agg(F.sum(label).cast("long").alias("_pos"), F.count(F.lit(1)).alias("_all"))
     )
     below = running_before(
         counts, keys, [score, *keys], {"_pos_below": F.col("_pos"), "_all_below": F.col("_all")}

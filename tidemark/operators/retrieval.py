@@ -140,7 +140,7 @@ def sampled_prior_likes(likes: DataFrame, n_targets: int, max_prior: int, seed:
     """
     targets = (
         first_by_hash(
-            with_position(likes.select(USER, HOUR, TS, ITEM, EMB), [USER], [TS, EMB, ITEM], "_order")
+            with_position(likes.select(USER, HOUR, TS, ITEM, EMB), [USER], [TS, EMB, ITEM], "_order", F.to_date(TS))
             .where(F.col("_order") > 0)
             .withColumn("_hash", seeded_hash(seed, "target", USER, ITEM, F.unix_micros(TS))),
             n_targets,

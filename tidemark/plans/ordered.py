@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.plans.durable import cut
+
 PARTS = 64
 SAMPLE_PER_PART = 16
 
@@ -96,23 +98,26 @@ def running_before(
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({n: _or_zero(F.sum(e).over(window)) for n, e in sums.items()})
 
-    cut = df.withColumn("_bucket", bucket if bucket is not None else F.lit(0))
-    local = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = cut.withColumns({n: _or_zero(F.sum(e).over(local)) for n, e in sums.items()})
     if bucket is None:
-        return rows.drop("_bucket")
+        window = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({n: _or_zero(F.sum(e).over(window)) for n, e in sums.items()})
+
+    # One struct column: an input already hashed on the keys alone must not be reused,
+    # since it would bring a whole hot group into one task.
+    cut_rows = df.withColumn("_group", F.struct(*keys, bucket.alias("_bucket")))
+    local = Window.partitionBy("_group").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut_rows.withColumns({n: _or_zero(F.sum(e).over(local)) for n, e in sums.items()})
 
-    # One row per (key, bucket): bounded by the number of buckets per key.
-    carried = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "_bucket").agg(*[F.sum(e).alias(f"_total_{n}") for n, e in sums.items()])
+    # One row per key and bucket: bounded by the number of buckets per key.
+    group_keys = [F.col(f"_group.{k}") for k in keys] or [F.lit(0)]
+    earlier = Window.partitionBy(*group_keys).orderBy("_group._bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut_rows.groupBy("_group").agg(*[F.sum(e).alias(f"_total_{n}") for n, e in sums.items()])
     carry = totals.select(
-        *keys,
-        "_bucket",
-        *[_or_zero(F.sum(f"_total_{n}").over(carried)).alias(f"_carry_{n}") for n in sums],
+        "_group", *[_or_zero(F.sum(f"_total_{n}").over(earlier)).alias(f"_carry_{n}") for n in sums]
     )
-    joined = rows.join(carry, [*keys, "_bucket"])
+    joined = rows.join(carry, "_group")
     return joined.withColumns({n: F.col(n) + F.col(f"_carry_{n}") for n in sums}).drop(
-        "_bucket", *[f"_carry_{n}" for n in sums]
+        "_group", *[f"_carry_{n}" for n in sums]
     )
 
 
@@ -139,44 +144,47 @@ def first_by_hash(df: DataFrame, n: int | Column, hash_col: str, ties: Sequence[
     place.  Here 4096 hash buckets are counted, the buckets past ``n`` are dropped
     by a join with that count table, and rows are ranked inside their bucket.
     """
-    cut = df.withColumn("_bucket", hash_bucket(hash_col, 3))
+    bucketed = df.withColumn("_bucket", hash_bucket(hash_col, 3))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy("_bucket")
+        bucketed.groupBy("_bucket")
         .agg(F.count(F.lit(1)).alias("_size"))
         .select("_bucket", _or_zero(F.sum("_size").over(earlier)).alias("_before"))
         .where(F.col("_before") < n)
     )
     inside = Window.partitionBy("_bucket").orderBy(hash_col, *ties)
     return (
-        cut.join(F.broadcast(offsets), "_bucket")  # at most 16**3 rows
+        bucketed.join(F.broadcast(offsets), "_bucket")  # at most 16**3 rows
         .withColumn("_rank", F.row_number().over(inside) + F.col("_before"))
         .where(F.col("_rank") <= n)
         .drop("_bucket", "_before", "_rank")
     )
 
 
-def value_counts_before(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct values per group with their count and the count below them."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    return running_before(counts, keys, [value, *keys], {"below": F.col("n")})
+def ranked_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``(keys, value, n, below)``: distinct values with their count and the count below.
 
+    The counts are written once, so that neither the cut points nor the readers of
+    the result run the input again.
+    """
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
+    return cut(running_before(counts, keys, [value, *keys], {"below": F.col("n")}))
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], nearest: bool = False
+
+def quantiles_of(
+    ranked: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], nearest: bool = False
 ) -> DataFrame:
-    """Exact quantiles per group from positions, so no task holds a whole group.
+    """Exact quantiles per group from :func:`ranked_counts`.
 
     Linear interpolation between the two neighbours by default; ``nearest``
     takes the row at ``round((n - 1) * q)``.
     """
     keys = list(keys)
-    ranked = value_counts_before(df, keys, value)
     totals = ranked.groupBy(*keys).agg(F.sum("n").alias("_n"))
     if keys:
         joined = ranked.join(totals, keys)
     else:
-        joined = ranked.withColumn("_n", totals.select("_n").scalar())
+        joined = ranked.withColumn("_n", totals.scalar())
 
     def at(position: Column) -> Column:
         inside = (F.col("below") <= position) & (position < F.col("below") + F.col("n"))
@@ -192,3 +200,10 @@ def exact_quantiles(
             share = F.max(exact - F.floor(exact))
             picks.append((low + (high - low) * share).cast("double").alias(name))
     return joined.groupBy(*keys).agg(*picks)
+
+
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], nearest: bool = False
+) -> DataFrame:
+    """Exact quantiles per group without one task holding a group."""
+    return quantiles_of(ranked_counts(df, keys, value), keys, value, quantiles, nearest)

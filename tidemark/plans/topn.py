@@ -32,14 +32,13 @@ def top_n_per_group(
     """
     rank = rank_name or "_rank"
     if salt is not None:
-        salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        # One struct column: rows already hashed on the keys alone must move again.
+        salted = Window.partitionBy("_salted").orderBy(*order)
         df = (
-            df.withColumn("_salt", salt)
+            df.withColumn("_salted", F.struct(*keys, salt.alias("_salt")))
             .withColumn("_rank", F.row_number().over(salted))
             .where(F.col("_rank") <= n)
-            .drop("_salt", "_rank")
-            # An explicit exchange: the salted one must not be reused for the group.
-            .repartition(*keys)
+            .drop("_salted", "_rank")
         )
     final = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= n)

@@ -297,7 +297,7 @@ ROW_FLOATS = [
               FROM ranking_rows"""),
 )
 def i16(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sc.rows(spark, sf)
+    rows = sc.fresh_rows(spark, sf)
     return rows.withColumns({N.HOUR: t.time_text(N.HOUR), **{c: t.rounded(c) for c in ROW_FLOATS}})
 
 
@@ -421,7 +421,7 @@ RETRIEVAL = {
     "pool": f"""SELECT at_uri, did AS author_did, embedding FROM post_vectors
                 WHERE embedding IS NOT NULL AND record_created_at >= {VAL} AND record_created_at < {END}""",
     "sp": """SELECT model_run_id, at_uri, author_did, round(list_dot_product(vec, CAST(embedding AS DOUBLE[])), 9) AS score
-             FROM pool, user_vectors""",
+             FROM pool JOIN user_vectors ON true""",
     "buffered": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_run_id ORDER BY score DESC, at_uri) AS rn
                                    FROM sp) WHERE rn <= {K * N.BUFFER_MULTIPLIER}""",
     "top_posts": f"""SELECT model_run_id, at_uri, author_did, score, like_count,

@@ -11,6 +11,7 @@ from tidemark.operators import candidates as cand
 from tidemark.operators.evaluation import total_likes
 from tidemark.operators.history import history_vectors
 from tidemark.operators.ranking import ranking_rows
+from tidemark.plans.durable import cut
 from tidemark.queries import tables as t
 
 KEYS = [*cand.GROUP, N.USER]
@@ -37,11 +38,23 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return pairs(spark, sf).withColumn("score", F.ln(F.lit(1.0) + F.col(N.PRIOR)))
 
 
-def rows(spark: SparkSession, sf: str) -> DataFrame:
+def fresh_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Ranking rows of the popularity scorer."""
     return ranking_rows(scored(spark, sf), KEYS, t.TOP_KS, extra=("num_embedding_likes", "num_total_likes"))
 
 
+_rows: dict[tuple[str, str], DataFrame] = {}
+
+
+def rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The written ranking rows; evaluations start from them, once per session."""
+    t.use_utc(spark)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _rows:
+        _rows[key] = cut(fresh_rows(spark, sf))
+    return _rows[key]
+
+
 def vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs with three scores: popularity, and the mean and the EMA history vector."""
     core = t.core(spark, sf)
