@@ -138,7 +138,7 @@ def test_prior_popularity_is_strictly_before_the_hour(spark):
         [("post:forced", ts(f"2024-01-02T0{h}:00:00")) for h in range(3)] + [("post:none", ts("2024-01-02T00:00:00"))],
         "subject_uri string, target_hour timestamp",
     )
-    prior = popularity.prior_popularity(likes_frame(spark, FORCED), needed)
+    prior = popularity.prior_popularity(popularity.hourly_likes(likes_frame(spark, FORCED)), needed)
     got = {(r.subject_uri, r.target_hour.hour): r[N.PRIOR] for r in prior.collect()}
     assert got == {("post:forced", 0): 0, ("post:forced", 1): 2, ("post:forced", 2): 3, ("post:none", 0): 0}
 
@@ -146,7 +146,7 @@ def test_prior_popularity_is_strictly_before_the_hour(spark):
 def test_popularity_curve(spark):
     raw = likes_frame(spark, FORCED + [("u1", "post:other", "2024-01-02T02:15:00")])
     ids = spark.createDataFrame([("post:forced", 10), ("post:other", 20)], "subject_uri string, emb_idx int")
-    curve = popularity.popularity_curve(raw, ids)
+    curve = popularity.popularity_curve(popularity.hourly_likes(raw), ids)
     assert {(r.emb_idx, r.popularity_hour_bucket.hour): r[N.PRIOR] for r in curve.collect()} == {
         (10, 1): 2,
         (10, 2): 3,
@@ -369,12 +369,13 @@ def test_flow_with_and_without_vectors(spark, tmp_path):
         Windows("2024-01-01", "2024-01-03"), max_trainval=10, max_unseen=0, negative_share=1.0, min_negative_likes=1,
         negatives_per_hour=2, min_author_support=1, max_prior=5,
     )
-    core = flow.core_tables(raw, posts, run, emb.raw_vector("m"), 3)
+    core = flow.core_tables(raw, posts, run, emb.raw_vector("m"), 3, str(tmp_path))
     assert core.embeddings.count() == 4 and core.likes.count() == 8
     assert core.likes.where("emb_idx is null or author_idx is null").count() == 0
-    paths = flow.write_core(core, str(tmp_path))
-    assert set(paths) == {"likes_core", "posts_core", "author_idx", "liked_post_hour_cumulative_likes", "embeddings"}
-    assert spark.read.parquet(paths["likes_core"]).count() == 8
+    assert {p.name for p in tmp_path.iterdir()} == {
+        "likes_core", "posts_core", "author_idx", "liked_post_hour_cumulative_likes", "embeddings",
+    }
+    assert spark.read.parquet(str(tmp_path / "likes_core")).count() == 8
     bare = flow.core_tables(raw, posts, run)
     assert bare.embeddings is None and bare.posts.where("emb_idx is null").count() == 0
     assert flow.history_table(core, run).count() == 2

@@ -144,7 +144,9 @@ def summary_vector(
     length = F.lit(padded_length) if padded_length is not None else size
     zeros = F.array_repeat(F.lit(0.0), dim)
     weights = F.transform(vectors, lambda _, i: weight(i, length))
-    weighted = F.zip_with(vectors, weights, lambda v, w: F.transform(v, lambda x: x.cast("double") * w))
-    total = F.aggregate(weighted, zeros, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    weighted = F.zip_with(vectors, weights, lambda v, w: F.struct(v.alias("v"), w.alias("w")))
+    total = F.aggregate(
+        weighted, zeros, lambda acc, e: F.zip_with(acc, e["v"], lambda a, x: a + x.cast("double") * e["w"])
+    )
     weight_sum = F.greatest(F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w), F.lit(1e-12))
     return F.when(size > 0, F.transform(total, lambda x: x / weight_sum)).otherwise(zeros)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import seeded_hash
 from tidemark.names import MIN_LIKES_PER_USER, SEED, USER
+from tidemark.plans.durable import cut
 from tidemark.plans.ordered import first_by_hash
 
 
@@ -47,8 +48,11 @@ def sample_cohorts(
     max_unseen: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """``(did, like_count, _user_cohort)``: two disjoint samples of eligible users."""
-    eligible = eligible_users(likes, min_likes)
+    """``(did, like_count, _user_cohort)``: two disjoint samples of eligible users.
+
+    The counts are written once, so the likes are read once for both samples.
+    """
+    eligible = cut(eligible_users(likes, min_likes))
     trainval = capped_users(eligible, max_trainval, "trainval", seed)
     rest = eligible.join(trainval.select(USER), USER, "left_anti")
     unseen = capped_users(rest, max_unseen, "unseen_eval", seed)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.names import TOP_KS
 from tidemark.operators.ranking import metric_names, rank_metrics, ranking_rows, threshold_metrics
+from tidemark.plans.durable import cut
 
 
 def score_with(pairs: DataFrame, scorers: dict[str, tuple[str, Column]], keep: Sequence[str]) -> DataFrame:
@@ -30,8 +31,10 @@ def compare_models(
     """Long table ``model_name, model_type, split, metric, value``.
 
     ``keys`` identify a ranked row inside one model.  A split without rows has no
-    metrics and so does not appear.
+    metrics and so does not appear.  The scores are written once: ranks and pooled
+    metrics both read them, and scoring is the costly part.
     """
+    scored = cut(scored)
     model = ["model_name", "model_type", "split"]
     row_keys = [*keys, *[m for m in model if m not in keys]]
     rows = ranking_rows(scored, row_keys, top_ks, item=item)

@@ -63,70 +63,66 @@ def core_tables(
     settings: Settings,
     vector: Column | None = None,
     dim: int | None = None,
+    folder: str | None = None,
 ) -> CoreTables:
     """Likes, posts, embeddings, authors and popularity curve from the raw tables.
 
     ``vector`` is the expression that yields a post's vector; without it every post
-    gets an id and no embeddings are made.  Tables with several readers are
-    written to the checkpoint folder, so nothing is computed twice and a lost
-    executor costs a read, not a rerun.
+    gets an id and no embeddings are made.  The raw likes are read three times: to
+    count users, to count hours, and to pick the sampled likes.  Tables with
+    several readers are written, so nothing is computed twice and a lost executor
+    costs a read, not a rerun.  The final tables go to ``folder`` when it is given.
     """
     s = settings
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        return cut(df) if folder is None else write_and_read(df, f"{folder}/{name}")
+
     cohorts = cut(sample_cohorts(raw_likes, s.min_likes, s.max_trainval, s.max_unseen, s.seed))
     bound = cohort_size_bound(s.max_trainval, s.max_unseen)
     sampled_likes = cut(likes_ops.likes_core(raw_likes, cohorts, s.windows, s.max_likes, s.seed, bound))
 
-    counts = popularity.candidate_counts(raw_likes, s.negative_share, s.min_negative_likes, s.seed)
+    hourly = cut(popularity.hourly_likes(raw_likes))
+    counts = popularity.candidate_counts(hourly, s.negative_share, s.min_negative_likes, s.seed)
     sampled_posts = cut(
         posts_ops.posts_core(
             raw_posts, counts, sampled_likes, s.windows, s.negatives_per_hour, s.negative_alpha, s.seed, s.posts_end
         )
     )
 
-    needed = popularity.needed_post_hours(sampled_likes, sampled_posts)
-    prior = cut(popularity.prior_popularity(raw_likes, needed))
+    prior = cut(popularity.prior_popularity(hourly, popularity.needed_post_hours(sampled_likes, sampled_posts)))
     likes = popularity.with_prior_on_likes(sampled_likes, prior)
     posts = popularity.with_prior_on_posts(sampled_posts, prior)
 
     if vector is None:
         embeddings = None
-        ids = emb.dense_ids(sampled_posts, N.POST, N.EMB)
+        ids = cut(emb.dense_ids(sampled_posts, N.POST, N.EMB))
     else:
         if dim is None:
             raise ValueError("dim is needed to check the vectors")
         vectors = emb.candidate_vectors(raw_posts, sampled_posts, vector)
-        embeddings = emb.require_embeddings(cut(emb.numbered(cut(emb.first_valid(vectors, dim)))))
+        numbered = emb.numbered(cut(emb.first_valid(vectors, dim)))
+        embeddings = emb.require_embeddings(keep(numbered, "embeddings"))
         ids = embeddings.select(N.POST, N.EMB)
     posts = cut(posts.join(ids, N.POST))
 
     likes = cut(with_post_ids(likes_ops.reverify(likes, posts, s.min_likes), posts))
-    index = cut(authors.author_index(posts, likes, s.min_author_support))
-    posts = authors.with_author_idx(posts, index, N.USER)
-    likes = authors.with_author_idx(likes, index, N.AUTHOR)
-    liked = likes.select(N.ITEM, N.EMB).distinct()
-    curve = cut(popularity.popularity_curve(raw_likes, liked))
-    return CoreTables(cohorts, sampled_likes, sampled_posts, cut(likes), cut(posts), embeddings, index, curve)
-
-
-def write_core(tables: CoreTables, folder: str) -> dict[str, str]:
-    """Write the final tables as zstd parquet; returns their paths."""
-    final = {
-        "likes_core": tables.likes,
-        "posts_core": tables.posts,
-        "author_idx": tables.authors,
-        "liked_post_hour_cumulative_likes": tables.curve,
-    }
-    if tables.embeddings is not None:
-        final["embeddings"] = tables.embeddings
-    paths = {}
-    for name, df in final.items():
-        paths[name] = f"{folder}/{name}"
-        write_table(df, paths[name])
-    return paths
+    index = keep(authors.author_index(posts, likes, s.min_author_support), "author_idx")
+    curve = popularity.popularity_curve(hourly, likes.select(N.ITEM, N.EMB).distinct())
+    return CoreTables(
+        cohorts,
+        sampled_likes,
+        sampled_posts,
+        keep(authors.with_author_idx(likes, index, N.AUTHOR), "likes_core"),
+        keep(authors.with_author_idx(posts, index, N.USER), "posts_core"),
+        embeddings,
+        index,
+        keep(curve, "liked_post_hour_cumulative_likes"),
+    )
 
 
 def write_and_read(df: DataFrame, path: str) -> DataFrame:
-    """Write a table and go on from the written copy."""
+    """Write a table as zstd parquet and go on from the written copy."""
     write_table(df, path)
     return scan(df.sparkSession, path)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import leading_number, seeded_hash
 from tidemark.names import ITEM, POST, SEED, USER
+from tidemark.plans.durable import cut
 from tidemark.plans.ordered import hash_bucket, with_position
 from tidemark.sources.embeddings import dense_ids
 
@@ -30,8 +31,8 @@ def negative_pairs(likes: DataFrame, posts: DataFrame, seed: int = SEED) -> Data
     stops, so the work follows the likes, no user is crossed with all posts, and a
     user with very many likes is made in many tasks.
     """
-    positives = distinct_likes(likes, posts)
-    numbered = dense_ids(posts, POST, "post_no")
+    positives = cut(distinct_likes(likes, posts))
+    numbered = cut(dense_ids(posts, POST, "post_no"))
     n_posts = numbered.agg(F.count(F.lit(1)).alias("n")).scalar()
     per_user = positives.groupBy(USER).agg(F.count(F.lit(1)).alias("k"))
 

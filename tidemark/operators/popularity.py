@@ -26,10 +26,21 @@ CURVE_HOUR = "popularity_hour_bucket"
 TARGET_HOUR = "target_hour"
 
 
+def hourly_likes(likes: DataFrame, key: str = ITEM) -> DataFrame:
+    """Likes per post and hour; only hours with likes have a row.
+
+    Hot posts shrink to one row per hour in the map tasks already.  Candidate
+    counts, prior popularity and the curve all follow from this table, so a run
+    writes it once and reads the likes once for the three.
+    """
+    return likes.groupBy(key, hour_bucket(TS).alias("like_hour")).agg(F.count(F.lit(1)).alias("likes_this_hour"))
+
+
 def sampled_like_counts(likes: DataFrame, share: float = NEGATIVE_SAMPLE_PCT, seed: int = SEED) -> DataFrame:
-    """Global like count of a hash sample of the posts."""
-    kept = likes.select(ITEM).where(bernoulli(seeded_hash(seed, "candidate", ITEM), share))
-    return kept.groupBy(ITEM).agg(F.count(F.lit(1)).alias("global_like_count"))
+    """Global like count of a hash sample of the posts, from likes or hourly likes."""
+    kept = likes.where(bernoulli(seeded_hash(seed, "candidate", ITEM), share))
+    count = F.sum("likes_this_hour") if "likes_this_hour" in likes.columns else F.count(F.lit(1))
+    return kept.groupBy(ITEM).agg(count.alias("global_like_count"))
 
 
 def candidate_counts(
@@ -53,14 +64,6 @@ def candidate_stats(counts: DataFrame, min_likes: int = MIN_LIKES_PER_NEGATIVE)
     )
 
 
-def hourly_likes(likes: DataFrame, key: str = ITEM) -> DataFrame:
-    """Likes per post and hour; only hours with likes have a row.
-
-    Hot posts shrink to one row per hour in the map tasks already.
-    """
-    return likes.groupBy(key, hour_bucket(TS).alias("like_hour")).agg(F.count(F.lit(1)).alias("likes_this_hour"))
-
-
 def cumulative_curve(hourly: DataFrame, key: str = ITEM) -> DataFrame:
     """Likes up to the end of each hour, keyed by the hour from which they count.
 
@@ -83,14 +86,13 @@ def needed_post_hours(likes: DataFrame, posts: DataFrame) -> DataFrame:
     return positive.unionByName(negative).distinct()
 
 
-def prior_popularity(raw_likes: DataFrame, needed: DataFrame) -> DataFrame:
+def prior_popularity(hourly: DataFrame, needed: DataFrame) -> DataFrame:
     """Likes strictly before the hour for every needed (post, hour) pair.
 
-    Likes are counted per hour before the semi join: a hot post would otherwise
-    arrive in one task with all its likes.
+    ``hourly`` comes from :func:`hourly_likes`: a hot post enters the join as a few
+    rows, not with all its likes.
     """
-    hourly = hourly_likes(raw_likes).join(needed.select(ITEM).distinct(), ITEM, "left_semi")
-    curve = cumulative_curve(hourly)
+    curve = cumulative_curve(hourly.join(needed.select(ITEM).distinct(), ITEM, "left_semi"))
     return asof_backward(needed, curve, ITEM, TARGET_HOUR, CURVE_HOUR, PRIOR)
 
 
@@ -106,13 +108,11 @@ def with_prior_on_posts(posts: DataFrame, prior: DataFrame) -> DataFrame:
     return joined.withColumn(PRIOR, F.when(F.col("in_random_sample"), F.coalesce(PRIOR, F.lit(0))))
 
 
-def popularity_curve(raw_likes: DataFrame, liked_posts: DataFrame) -> DataFrame:
+def popularity_curve(hourly: DataFrame, liked_posts: DataFrame) -> DataFrame:
     """``(emb_idx, popularity_hour_bucket, prior_cumulative_likes)`` of liked posts.
 
-    ``liked_posts`` maps each post to its ``emb_idx``.  Likes are counted per post
-    and hour before the join, so a hot post crosses it as a few rows.
+    ``liked_posts`` maps each post to its ``emb_idx``.
     """
-    mapping = liked_posts.select(ITEM, EMB)
-    per_post = hourly_likes(raw_likes).join(mapping, ITEM)
+    per_post = hourly.join(liked_posts.select(ITEM, EMB), ITEM)
     per_id = per_post.groupBy(EMB, "like_hour").agg(F.sum("likes_this_hour").alias("likes_this_hour"))
     return cumulative_curve(per_id, EMB)

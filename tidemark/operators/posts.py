@@ -9,6 +9,8 @@ from tidemark.functions.hashing import sample_score, seeded_hash, uniform
 from tidemark.functions.splits import Windows, post_split_window
 from tidemark.functions.times import hour_bucket, time_literal
 from tidemark.names import ELIGIBLE_HOURS, ITEM, NEG_HOUR, NEGATIVE_ALPHA, NEGATIVES_PER_HOUR, POST, SEED, TS, USER
+from tidemark.plans.durable import cut
+from tidemark.plans.spread import semi_join_spread
 from tidemark.plans.topn import one_per_key, salt_of, top_n_per_group
 
 META = [POST, TS, USER, "record_text"]
@@ -41,33 +43,42 @@ def hourly_scores(expanded: DataFrame, alpha: float = NEGATIVE_ALPHA, seed: int
     return expanded.withColumn("sample_score", sample_score(drawn, "global_like_count", alpha))
 
 
-def hourly_negatives(
+def choose_hourly(
     posts: DataFrame,
     counts: DataFrame,
-    liked: DataFrame,
     windows: Windows,
     per_hour: int = NEGATIVES_PER_HOUR,
     alpha: float = NEGATIVE_ALPHA,
     seed: int = SEED,
     posts_end: str | None = None,
 ) -> DataFrame:
-    """Popularity-weighted sample of posts for each hour of their first day.
+    """``(at_uri, negative_hour_bucket)`` of the sampled posts of each hour.
 
-    Only address, hour and score are ranked; the other columns of a post are
-    joined to the winners.  There are few hours and each takes a large part of the
-    table, so ranks are salted.  The upper bounds drop whole hours and are applied
-    before the ranking.
+    Works on address and first time only; copies of a post go in the map tasks.
+    There are few hours and each takes a large part of the table, so ranks are
+    salted.  The upper bounds drop whole hours and are applied before the ranking.
     """
-    weighted = posts.select(POST, TS).join(counts.withColumnRenamed(ITEM, POST), POST)
+    created = posts.groupBy(POST).agg(F.min(TS).alias(TS))
+    weighted = created.join(counts.withColumnRenamed(ITEM, POST), POST)
     expanded = eligible_hours(weighted).where(F.col(NEG_HOUR) >= time_literal(windows.train_start))
     for bound in (posts_end, windows.holdout_end):
         if bound is not None:
             expanded = expanded.where(F.col(NEG_HOUR) < time_literal(bound))
     scored = hourly_scores(expanded, alpha, seed).select(POST, NEG_HOUR, "sample_score")
-    chosen = top_n_per_group(scored, [NEG_HOUR], ["sample_score", POST], per_hour, salt_of(POST)).select(POST, NEG_HOUR)
+    best = top_n_per_group(scored, [NEG_HOUR], ["sample_score", POST], per_hour, salt_of(POST))
+    return best.select(POST, NEG_HOUR)
+
+
+def metadata_of(posts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Metadata of the wanted posts, one row each; the text of other posts never moves."""
+    return unique_posts(semi_join_spread(posts.select(*META), wanted, POST))
+
+
+def describe_negatives(chosen: DataFrame, metadata: DataFrame, liked: DataFrame) -> DataFrame:
+    """Sampled posts with their metadata and the liked flag."""
     marker = liked.select(F.col(ITEM).alias(POST)).distinct().withColumn("is_liked", F.lit(True))
     return (
-        chosen.join(posts.select(*META), POST)
+        chosen.join(metadata, POST)
         .join(marker, POST, "left")
         .select(
             *META,
@@ -78,6 +89,21 @@ def hourly_negatives(
     )
 
 
+def hourly_negatives(
+    posts: DataFrame,
+    counts: DataFrame,
+    liked: DataFrame,
+    windows: Windows,
+    per_hour: int = NEGATIVES_PER_HOUR,
+    alpha: float = NEGATIVE_ALPHA,
+    seed: int = SEED,
+    posts_end: str | None = None,
+) -> DataFrame:
+    """Popularity-weighted sample of posts for each hour of their first day."""
+    chosen = cut(choose_hourly(posts, counts, windows, per_hour, alpha, seed, posts_end))
+    return describe_negatives(chosen, metadata_of(posts, chosen), liked)
+
+
 def liked_only_posts(posts: DataFrame, liked: DataFrame, negatives: DataFrame) -> DataFrame:
     """Liked posts that were not sampled, without an hour."""
     return (
@@ -110,11 +136,18 @@ def posts_core(
     seed: int = SEED,
     posts_end: str | None = None,
 ) -> DataFrame:
-    """Sampled negatives and liked posts with the window each belongs to."""
-    unique = unique_posts(post_window(posts, windows))
+    """Sampled negatives and liked posts with the window each belongs to.
+
+    Two passes over the posts: a narrow one that draws the sample and one that
+    fetches the metadata of sampled and liked posts only.
+    """
+    inside = post_window(posts, windows)
     liked = likes.select(ITEM).distinct()
-    negatives = hourly_negatives(unique, counts, liked, windows, per_hour, alpha, seed, posts_end)
-    combined = combine_posts(negatives, liked_only_posts(unique, liked, negatives))
+    chosen = cut(choose_hourly(inside, counts, windows, per_hour, alpha, seed, posts_end))
+    wanted = chosen.select(POST).unionByName(liked.select(F.col(ITEM).alias(POST)))
+    metadata = cut(metadata_of(inside, wanted))
+    negatives = describe_negatives(chosen, metadata, liked)
+    combined = combine_posts(negatives, liked_only_posts(metadata, liked, chosen))
     return combined.withColumn(
         "split_window", post_split_window(F.col("in_random_sample"), F.col(NEG_HOUR), F.col(TS), windows)
     )

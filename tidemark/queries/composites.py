@@ -70,11 +70,11 @@ def _posts_text(posts: DataFrame) -> DataFrame:
 @query("i3_hourly_negatives", with_(f"SELECT {POST_COLUMNS} FROM negatives"))
 def i3(spark: SparkSession, sf: str) -> DataFrame:
     run = t.settings(spark, sf)
-    unique = posts_ops.unique_posts(posts_ops.post_window(t.raw_posts(spark, sf), run.windows))
+    inside = posts_ops.post_window(t.raw_posts(spark, sf), run.windows)
     counts = popularity.candidate_counts(t.raw_likes(spark, sf), run.negative_share, run.min_negative_likes)
     liked = t.core(spark, sf).sampled_likes
     return _posts_text(
-        posts_ops.hourly_negatives(unique, counts, liked, run.windows, run.negatives_per_hour, run.negative_alpha)
+        posts_ops.hourly_negatives(inside, counts, liked, run.windows, run.negatives_per_hour, run.negative_alpha)
     )
 
 
@@ -97,7 +97,7 @@ def i4(spark: SparkSession, sf: str) -> DataFrame:
 def i5(spark: SparkSession, sf: str) -> DataFrame:
     core = t.core(spark, sf)
     needed = popularity.needed_post_hours(core.sampled_likes, core.sampled_posts)
-    prior = popularity.prior_popularity(t.raw_likes(spark, sf), needed)
+    prior = popularity.prior_popularity(popularity.hourly_likes(t.raw_likes(spark, sf)), needed)
     return prior.withColumn("target_hour", t.time_text("target_hour"))
 
 
@@ -108,7 +108,7 @@ def i5(spark: SparkSession, sf: str) -> DataFrame:
 )
 def i6(spark: SparkSession, sf: str) -> DataFrame:
     liked = t.core(spark, sf).likes.select(N.ITEM, N.EMB).distinct()
-    curve = popularity.popularity_curve(t.raw_likes(spark, sf), liked)
+    curve = popularity.popularity_curve(popularity.hourly_likes(t.raw_likes(spark, sf)), liked)
     return curve.withColumns({N.EMB: F.col(N.EMB).cast("long"), popularity.CURVE_HOUR: t.time_text(popularity.CURVE_HOUR)})
 
 
@@ -651,14 +651,11 @@ FLOW_TABLES = ["likes_core", "posts_core", "author_idx", "liked_post_hour_cumula
 )
 def i25(spark: SparkSession, sf: str) -> DataFrame:
     """Build everything from the raw tables, write it and count what was written."""
-    core, run = t.build_core(spark, sf), t.settings(spark, sf)
     folder = shared_folder(spark, "flow")
-    paths = flow.write_core(core, folder)
-    written = {name: scan(spark, path) for name, path in paths.items()}
-    history = history_ops.user_history(
-        written["likes_core"], written["liked_post_hour_cumulative_likes"], run.max_prior
-    )
-    written["history"] = flow.write_and_read(history, f"{folder}/history")
+    core = t.build_core(spark, sf, folder)
+    history = history_ops.user_history(core.likes, core.curve, t.MAX_PRIOR)
+    flow.write_and_read(history, f"{folder}/history")
+    written = {name: scan(spark, f"{folder}/{name}") for name in FLOW_TABLES}
     sums = {
         "likes_core": N.EMB,
         "posts_core": N.EMB,

@@ -125,7 +125,7 @@ def d1(spark: SparkSession, sf: str) -> DataFrame:
 def d2(spark: SparkSession, sf: str) -> DataFrame:
     core = t.core(spark, sf)
     needed = popularity.needed_post_hours(core.sampled_likes, core.sampled_posts)
-    prior = popularity.prior_popularity(t.raw_likes(spark, sf), needed)
+    prior = popularity.prior_popularity(popularity.hourly_likes(t.raw_likes(spark, sf)), needed)
     filled = popularity.with_prior_on_likes(core.sampled_likes, prior)
     return filled.select(N.USER, N.ITEM, t.micro_text(N.TS).alias(N.TS), N.PRIOR)
 

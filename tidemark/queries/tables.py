@@ -97,13 +97,14 @@ _core: dict[tuple[str, str], CoreTables] = {}
 _history: dict[tuple[str, str], DataFrame] = {}
 
 
-def build_core(spark: SparkSession, sf_dir: str) -> CoreTables:
+def build_core(spark: SparkSession, sf_dir: str, folder: str | None = None) -> CoreTables:
     return core_tables(
         raw_likes(spark, sf_dir),
         raw_posts(spark, sf_dir, with_vectors=True),
         settings(spark, sf_dir),
         F.col("embedding"),
         DIM,
+        folder,
     )
 
 

@@ -9,6 +9,7 @@ from tidemark.functions.codec import decode_vector
 from tidemark.functions.vectors import pick_embedding
 from tidemark.names import EMB, EMBED_DIMS, POST, TS
 from tidemark.plans.ordered import with_position
+from tidemark.plans.spread import semi_join_spread
 from tidemark.plans.topn import one_per_key
 
 
@@ -39,8 +40,7 @@ def candidate_vectors(posts: DataFrame, candidates: DataFrame, vector: Column) -
 
     The semi join runs before the vector is decoded, so only candidates pay.
     """
-    wanted = candidates.select(POST).distinct()
-    return posts.join(wanted, POST, "left_semi").select(POST, TS, vector.alias("embedding"))
+    return semi_join_spread(posts, candidates, POST).select(POST, TS, vector.alias("embedding"))
 
 
 def _state(dim: int) -> Column:
