@@ -41,7 +41,8 @@ def decode_vector(col: Column | str, mode: str = "strict") -> Column:
     def decode(cells: pd.Series) -> pd.Series:
         return cells.map(lambda text: decode_bytes(text, mode), na_action="ignore")
 
-    return decode(col)
+    # Otherwise a filter on the vector would be pushed below and decode a second time.
+    return decode.asNondeterministic()(col)
 
 
 def encode_vector(col: Column | str) -> Column:

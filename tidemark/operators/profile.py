@@ -4,21 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.ordered import quantiles_of, ranked_counts
 
+SHORT_TEXT = 64  # a marked digest is longer
+
 
 def column_profile(df: DataFrame) -> DataFrame:
     """``(column, dtype, n_unique, n_null)``; null counts as one value.
 
     Every column is turned into rows of (column, value) and counted once per value,
-    so long texts and many columns share one shuffle with map-side counts.
+    so all columns share one shuffle with map-side counts.  A long text travels as
+    its SHA-256 digest, marked so that it cannot meet a short text.
     """
+
+    def token(name: str) -> Column:
+        text = F.col(name).cast("string")
+        digest = F.concat(F.lit("sha256:"), F.sha2(text, 256))
+        return F.when(F.length(text) > SHORT_TEXT, digest).otherwise(text)
+
     entries = [
-        F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.col(c).cast("string").alias("value"))
-        for c, t in df.dtypes
+        F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), token(c).alias("value")) for c, t in df.dtypes
     ]
     long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     per_value = long.groupBy("column", "dtype", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -13,7 +13,7 @@ from tidemark.functions.vectors import dot_score, l2_normalised, summary_vector
 from tidemark.names import AUTHOR, BUFFER_MULTIPLIER, EMA_ALPHA, EMB, HOUR, ITEM, POST, SEED, TS, USER
 from tidemark.operators.history import prior_items
 from tidemark.plans.ordered import first_by_hash, with_position
-from tidemark.plans.topn import one_per_key, top_n_per_group
+from tidemark.plans.topn import one_per_key, salt_of, top_n_per_group
 
 
 def buffer_size(k: int, min_likes: int | None = None) -> int:
@@ -60,6 +60,11 @@ def unique_candidates(posts: DataFrame) -> DataFrame:
     return one_per_key(posts.where(F.col("embedding").isNotNull()), [POST], [TS, AUTHOR])
 
 
+def unique_scored(scored: DataFrame) -> DataFrame:
+    """The same choice after scoring: rows are narrow then, the vectors never move."""
+    return one_per_key(scored, ["model_run_id", POST], [TS, AUTHOR, F.col("score").desc()])
+
+
 def score_posts(
     posts: DataFrame, user_vectors: dict[str, DataFrame], dim: int, temperature: float = 1.0
 ) -> DataFrame:
@@ -82,8 +87,11 @@ def score_posts(
 
 
 def top_k(scored: DataFrame, k: int, keys: Sequence[str] = ("model_run_id",)) -> DataFrame:
-    """The ``k`` best posts per model with ranks; at most ``k`` per task leave the scan."""
-    return top_n_per_group(scored, list(keys), [F.col("score").desc(), POST], k, rank_name="rank")
+    """The ``k`` best posts per model with ranks.
+
+    There are few models and each takes the whole table, so ranks are salted.
+    """
+    return top_n_per_group(scored, list(keys), [F.col("score").desc(), POST], k, salt_of(POST), rank_name="rank")
 
 
 def global_top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -114,7 +122,8 @@ def sorted_authors(counts: DataFrame, keys: Sequence[str] = ("model_run_id",)) -
 
 def retrieval_summary(top: DataFrame, candidates: DataFrame, history: DataFrame) -> DataFrame:
     """Returned posts and score range per model, with the scanned and history counts."""
-    scanned = candidates.agg(F.count(F.lit(1)).alias("n"))
+    with_vector = candidates.where(F.col("embedding").isNotNull()).select(POST).distinct()
+    scanned = with_vector.agg(F.count(F.lit(1)).alias("n"))
     likes = history.agg(F.count(F.lit(1)).alias("n"), F.count_if("embedding_present").alias("e"))
     return (
         top.groupBy("model_run_id")

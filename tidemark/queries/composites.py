@@ -444,8 +444,9 @@ class Retrieval:
             (F.col(N.TS) >= F.lit(t.WINDOWS.val_start).cast("timestamp"))
             & (F.col(N.TS) < F.lit(t.WINDOWS.holdout_end).cast("timestamp"))
         ).withColumnRenamed(N.USER, N.AUTHOR)
-        self.pool = retrieval.unique_candidates(window)
-        scores = retrieval.score_posts(self.pool, users, t.DIM).withColumn("score", F.round("score", 9))
+        self.pool = window
+        scores = retrieval.unique_scored(retrieval.score_posts(window, users, t.DIM))
+        scores = scores.withColumn("score", F.round("score", 9))
         counts = likes.groupBy(F.col(N.ITEM).alias(N.POST)).agg(F.count(F.lit(1)).alias("like_count"))
         self.top = retrieval.top_k_with_floor(scores, counts, K, FLOOR)
 
