@@ -11,7 +11,9 @@ from pyspark.sql.window import Window
 from tidemark.functions.bins import bin_index, bin_label, decision
 from tidemark.names import BIN_EDGES, USER
 from tidemark.operators.ranking import threshold_metrics
+from tidemark.plans.durable import cut
 from tidemark.plans.ordered import exact_quantiles
+from tidemark.plans.scalars import row_of
 
 HISTORY = "num_embedding_likes"
 CLASS_METRICS = ["precision", "recall", "f1"]
@@ -168,9 +170,7 @@ def prediction_health(predictions: DataFrame, edges: Sequence[int] = BIN_EDGES)
         binned.groupBy("bin_no").agg(F.count(F.lit(1)).alias("n"))
         .agg(F.count_if(F.col("n") % 2 != 0).alias("n"))
     )
-    spans = (
-        predictions.select(USER, HISTORY).distinct().groupBy(USER).agg(F.count(HISTORY).alias("spans"))
-    )
+    spans = cut(predictions.select(USER, HISTORY).distinct().groupBy(USER).agg(F.count(HISTORY).alias("spans")))
     median = exact_quantiles(spans, [], "spans", {"median": 0.5})
     per_user = spans.agg(
         F.count(F.lit(1)).alias("n_users"), F.min("spans").alias("low"), F.max("spans").alias("high")
@@ -182,13 +182,14 @@ def prediction_health(predictions: DataFrame, edges: Sequence[int] = BIN_EDGES)
         F.count_if(zero).alias("n_zero_history"),
         F.count_if(zero & truth).alias("n_zero_history_positive"),
         F.count_if(zero & ~truth).alias("n_zero_history_negative"),
-    ).select(
-        "*",
-        per_user.select("n_users").scalar().alias("n_users"),
+    ).withColumn("_user", row_of(per_user)).select(
+        *["n_predictions", "n_positive", "n_negative"],
+        *["n_zero_history", "n_zero_history_positive", "n_zero_history_negative"],
+        F.col("_user.n_users").alias("n_users"),
         odd.scalar().alias("n_odd_bins"),
-        per_user.select("low").scalar().alias("min_history_lengths"),
+        F.col("_user.low").alias("min_history_lengths"),
         median.scalar().alias("median_history_lengths"),
-        per_user.select("high").scalar().alias("max_history_lengths"),
+        F.col("_user.high").alias("max_history_lengths"),
     )
 
 

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.durable import cut
 from tidemark.plans.ordered import quantiles_of, ranked_counts
+from tidemark.plans.scalars import row_of
 
 SHORT_TEXT = 64  # a marked digest is longer
 
@@ -46,13 +48,8 @@ def distribution(df: DataFrame, value: str) -> DataFrame:
     """Mean, median, largest, 90th and 99th percentile with linear interpolation."""
     ranked = ranked_counts(df, [], value)
     spread = quantiles_of(ranked, [], value, {"median": 0.5, "p90": 0.9, "p99": 0.99})
-    return spread.select(
-        ranked.agg(F.sum(F.col(value) * F.col("n")) / F.sum("n")).scalar().alias("mean"),
-        "median",
-        ranked.agg(F.max(value)).scalar().alias("max"),
-        "p90",
-        "p99",
-    )
+    ends = ranked.agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), F.max(value).alias("max"))
+    return spread.withColumn("_ends", row_of(ends)).select("_ends.mean", "median", "_ends.max", "p90", "p99")
 
 
 def likes_histogram(counts: DataFrame, value: str = "like_count", bins: int = 50) -> DataFrame:
@@ -64,12 +61,9 @@ def likes_histogram(counts: DataFrame, value: str = "like_count", bins: int = 50
     """
     ranked = ranked_counts(counts, [], value)
     median = quantiles_of(ranked, [], value, {"median": 0.5})
-    sized = ranked.select(
-        F.col(value).cast("double").alias("x"),
-        "n",
-        ranked.agg(F.min(value).cast("double")).scalar().alias("low"),
-        ranked.agg(F.max(value).cast("double")).scalar().alias("high"),
-        median.scalar().alias("median"),
+    ends = ranked.agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"))
+    sized = ranked.withColumn("_ends", row_of(ends)).select(
+        F.col(value).cast("double").alias("x"), "n", "_ends.low", "_ends.high", median.scalar().alias("median")
     )
     skewed = F.col("high") > F.col("median") * 10
     span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(F.lit(1.0))
@@ -105,13 +99,13 @@ def attrition(steps: Sequence[DataFrame]) -> DataFrame:
     out = steps[0]
     for part in steps[1:]:
         out = out.unionByName(part)
-    first = steps[0]
-    keys, rows = first.select("n_keys").scalar(), first.select("n_rows").scalar()
-    return out.select(
+    out = cut(out)  # one row per step
+    first = row_of(out.agg(F.min_by("n_keys", "step").alias("keys"), F.min_by("n_rows", "step").alias("rows")))
+    return out.withColumn("_first", first).select(
         "step",
         "name",
         "n_keys",
         "n_rows",
-        (F.lit(100.0) * F.col("n_keys") / F.nullif(keys, F.lit(0))).alias("keys_kept_pct"),
-        (F.lit(100.0) * F.col("n_rows") / F.nullif(rows, F.lit(0))).alias("rows_kept_pct"),
+        (F.lit(100.0) * F.col("n_keys") / F.nullif(F.col("_first.keys"), F.lit(0))).alias("keys_kept_pct"),
+        (F.lit(100.0) * F.col("n_rows") / F.nullif(F.col("_first.rows"), F.lit(0))).alias("rows_kept_pct"),
     )

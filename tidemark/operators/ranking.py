@@ -12,6 +12,7 @@ from tidemark.functions.hashing import seeded_hash
 from tidemark.names import MAX_METRIC_PAIRS, SEED, TOP_KS
 from tidemark.plans.durable import cut
 from tidemark.plans.ordered import first_by_hash, running_before
+from tidemark.plans.scalars import row_of
 
 ZERO_HISTORY = "zero_history_"
 
@@ -174,7 +175,7 @@ def threshold_metrics(
     if keys:
         joined = below.join(totals, keys)
     else:
-        joined = below.withColumns({"_p": totals.select("_p").scalar(), "_n": totals.select("_n").scalar()})
+        joined = below.withColumn("_t", row_of(totals)).withColumns({"_p": F.col("_t._p"), "_n": F.col("_t._n")})
     neg, neg_below = F.col("_all") - F.col("_pos"), F.col("_all_below") - F.col("_pos_below")
     precision = (F.col("_p") - F.col("_pos_below")) / (F.col("_n") - F.col("_all_below"))
     p, n = F.max("_p"), F.max("_n")
@@ -193,22 +194,30 @@ def pooled_classification(
     score: str = "score",
     seed: int = SEED,
 ) -> DataFrame:
-    """AUC and AP over all pairs, or over ``max_pairs`` drawn by hash order."""
-    sizes = pairs.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("p")
-    )
-    kept = pairs.select(*pair_keys, score, "label")
+    """AUC and AP over all pairs, or over ``max_pairs`` drawn by hash order.
+
+    The scored pairs are written once, since they are read for the totals, the draw
+    and the metrics.
+    """
+    pairs = cut(pairs.select(*pair_keys, score, "label"))
+    kept = pairs
     if max_pairs is not None:
-        hashed = kept.withColumn("_hash", seeded_hash(seed, "pairs", *pair_keys))
+        hashed = pairs.withColumn("_hash", seeded_hash(seed, "pairs", *pair_keys))
         kept = first_by_hash(hashed, max_pairs, "_hash", list(pair_keys)).drop("_hash")
-    n, p = sizes.select("n").scalar(), sizes.select("p").scalar()
-    return threshold_metrics(kept, (), score).select(
-        n.alias("classification_metric_pair_count"),
-        p.alias("classification_metric_positive_count"),
-        F.col("pair_count").alias("classification_metric_sampled_pair_count"),
-        (n > F.col("pair_count")).alias("classification_metric_sampled"),
-        "auc_roc",
-        F.col("average_precision").alias("classification_average_precision"),
+    everything = row_of(
+        pairs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("p"))
+    )
+    return (
+        threshold_metrics(kept, (), score)
+        .withColumn("_all", everything)
+        .select(
+            F.col("_all.n").alias("classification_metric_pair_count"),
+            F.col("_all.p").alias("classification_metric_positive_count"),
+            F.col("pair_count").alias("classification_metric_sampled_pair_count"),
+            (F.col("_all.n") > F.col("pair_count")).alias("classification_metric_sampled"),
+            "auc_roc",
+            F.col("average_precision").alias("classification_average_precision"),
+        )
     )
 
 

@@ -11,8 +11,11 @@ from pyspark.sql.window import Window
 from tidemark.functions.hashing import seeded_hash
 from tidemark.functions.vectors import dot_score, l2_normalised, summary_vector
 from tidemark.names import AUTHOR, BUFFER_MULTIPLIER, EMA_ALPHA, EMB, HOUR, ITEM, POST, SEED, TS, USER
+from tidemark.operators.cohorts import keep_members
 from tidemark.operators.history import prior_items
+from tidemark.plans.durable import cut
 from tidemark.plans.ordered import first_by_hash, with_position
+from tidemark.plans.scalars import row_of
 from tidemark.plans.topn import one_per_key, salt_of, top_n_per_group
 
 
@@ -132,12 +135,9 @@ def retrieval_summary(top: DataFrame, candidates: DataFrame, history: DataFrame)
             F.min("score").alias("score_min"),
             F.max("score").alias("score_max"),
         )
-        .select(
-            "*",
-            scanned.scalar().alias("n_candidate_posts_scanned"),
-            likes.select("n").scalar().alias("n_history_likes"),
-            likes.select("e").scalar().alias("n_embeddable_history_posts"),
-        )
+        .withColumns({"n_candidate_posts_scanned": scanned.scalar(), "_likes": row_of(likes)})
+        .withColumns({"n_history_likes": F.col("_likes.n"), "n_embeddable_history_posts": F.col("_likes.e")})
+        .drop("_likes")
     )
 
 
@@ -147,7 +147,7 @@ def sampled_prior_likes(likes: DataFrame, n_targets: int, max_prior: int, seed:
     Likes of earlier hours come from the hourly lists, those of the same hour from
     the sampled targets' own hour, so that no target meets all likes of its user.
     """
-    targets = (
+    targets = cut(
         first_by_hash(
             with_position(likes.select(USER, HOUR, TS, ITEM, EMB), [USER], [TS, EMB, ITEM], "_order", F.to_date(TS))
             .where(F.col("_order") > 0)
@@ -159,7 +159,7 @@ def sampled_prior_likes(likes: DataFrame, n_targets: int, max_prior: int, seed:
         .drop("_hash", "_order")
         .withColumnsRenamed({TS: "target_ts", EMB: "target_emb_idx", ITEM: "target_uri"})
     )
-    theirs = likes.join(F.broadcast(targets.select(USER).distinct()), USER, "left_semi")  # at most n_targets users
+    theirs = cut(keep_members(likes, targets, USER))  # likes of at most n_targets users
     before_hour = prior_items(theirs, max_prior).select(USER, HOUR, "prior")
     entry = F.struct(F.col(TS).alias("ts"), F.col(EMB).alias("emb"))
     same_hour = top_n_per_group(
@@ -173,7 +173,7 @@ def sampled_prior_likes(likes: DataFrame, n_targets: int, max_prior: int, seed:
     )
     older = F.transform("prior", lambda e: e["emb_idx"])
     newer = F.coalesce(F.transform("_recent", lambda e: e["emb"]), F.array().cast("array<int>"))
-    return (
+    return cut(
         targets.join(recent, [USER, "target_uri", "target_ts"], "left")
         .join(before_hour, [USER, HOUR])
         .select(

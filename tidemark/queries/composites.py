@@ -10,6 +10,7 @@ from tidemark.operators import candidates as cand, comparison, coverage, evaluat
 from tidemark.operators import inequality, likes as likes_ops, pairs as pairs_ops, popularity, posts as posts_ops
 from tidemark.operators import ranking, retrieval
 from tidemark.operators.cohorts import cohort_size_bound, sample_cohorts
+from tidemark.plans.durable import cut
 from tidemark.queries import scored as sc
 from tidemark.queries import tables as t
 from tidemark.queries.aggregates import BINNED_ROWS, HISTORY_SQL, METRICS, history_text
@@ -438,7 +439,7 @@ class Retrieval:
         likes = t.raw_likes(spark, sf)
         posts = t.raw_posts(spark, sf, with_vectors=True)
         recent = retrieval.recent_likes(likes, top_user(likes).scalar(), RECENT)
-        self.history = retrieval.history_posts(recent, posts, posts.select(N.POST, "embedding"), t.DIM)
+        self.history = cut(retrieval.history_posts(recent, posts, posts.select(N.POST, "embedding"), t.DIM))
         users = {kind: retrieval.user_vector(self.history, t.DIM, kind) for kind in ("mean", "ema")}
         window = posts.where(
             (F.col(N.TS) >= F.lit(t.WINDOWS.val_start).cast("timestamp"))

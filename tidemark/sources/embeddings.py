@@ -9,6 +9,7 @@ from tidemark.functions.codec import decode_vector
 from tidemark.functions.vectors import pick_embedding
 from tidemark.names import EMB, EMBED_DIMS, POST, TS
 from tidemark.plans.ordered import with_position
+from tidemark.plans.scalars import row_of
 from tidemark.plans.spread import semi_join_spread
 from tidemark.plans.topn import one_per_key
 
@@ -88,19 +89,17 @@ def embedding_stats(vectors: DataFrame, candidates: DataFrame, dim: int) -> Data
         F.coalesce(F.sum("n_wrong"), F.lit(0)).alias("n_embeddings_wrong_dim"),
         F.coalesce(F.sum(F.greatest(F.col("n_valid") - 1, F.lit(0))), F.lit(0)).alias("n_embeddings_duplicate_uri"),
     )
-    wanted = candidates.agg(
-        F.count(F.lit(1)).alias("n_posts_candidate"), F.countDistinct(POST).alias("n_posts_candidate_unique")
+    per_candidate = candidates.groupBy(POST).agg(F.count(F.lit(1)).alias("n"))
+    wanted = per_candidate.agg(
+        F.sum("n").alias("n_posts_candidate"), F.count(F.lit(1)).alias("n_posts_candidate_unique")
     )
-    return scanned.select(
-        wanted.select("n_posts_candidate").scalar().alias("n_posts_candidate"),
-        wanted.select("n_posts_candidate_unique").scalar().alias("n_posts_candidate_unique"),
+    return scanned.withColumn("_wanted", row_of(wanted)).select(
+        "_wanted.*",
         "n_embeddings_valid",
         "n_embeddings_null",
         "n_embeddings_wrong_dim",
         "n_embeddings_duplicate_uri",
-        (
-            wanted.select("n_posts_candidate_unique").scalar() - F.col("n_embeddings_valid")
-        ).alias("n_posts_dropped_no_embedding"),
+        (F.col("_wanted.n_posts_candidate_unique") - F.col("n_embeddings_valid")).alias("n_posts_dropped_no_embedding"),
     )
 
 
