@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import seeded_hash
 from tidemark.plans import ordered
 from tidemark.plans.asof import asof_backward
+from tidemark.plans.spread import semi_join_spread
 from tidemark.plans.sizes import broadcast_if_bounded
 from tidemark.plans.topn import one_per_key, salt_of, top_n_per_group
 
@@ -145,6 +146,22 @@ def test_asof_matches_merge_asof(spark, segment):
     )
 
 
+def test_semi_join_spreads_the_copies(spark, skewed):
+    df, frame = skewed
+    keys = spark.createDataFrame([("hot",), ("k3",), ("hot",), ("absent",)], "key string")
+    got = semi_join_spread(df.repartition(12, "id"), keys, "key", spreads=4).toPandas()
+    want = frame[frame["key"].isin(["hot", "k3"])]
+    assert sorted(got["id"]) == sorted(want["id"]) and list(got.columns) == ["key", "x", "id"]
+
+
+def test_null_keys_are_a_group_of_their_own(spark):
+    df = spark.createDataFrame([(None, i) for i in range(3)] + [("a", i) for i in range(2)], "k string, x int")
+    out = ordered.running_before(df, ["k"], ["x"], {"p": F.lit(1)}, F.col("x") % 1 + F.floor(F.col("x") / 2))
+    assert sorted((r.k or "", r.x, r.p) for r in out.collect()) == [
+        ("", 0, 0), ("", 1, 1), ("", 2, 2), ("a", 0, 0), ("a", 1, 1),
+    ]
+
+
 def test_broadcast_needs_a_bound(spark):
     df = spark.range(5)
     assert broadcast_if_bounded(df, 1000, 100)[1]

@@ -114,6 +114,13 @@ def test_liked_lists(spark):
     assert row.liked_post_ids == ["p1", "p2"] and row.liked_post_author_indices == [4, 1]
 
 
+def test_unbounded_user_hours_are_refused(spark):
+    likes = likes_table(spark, [("u", f"p{i}", 10, "train", 1) for i in range(6)])
+    assert cand.user_hours(likes, 6).count() == 1
+    with pytest.raises(Exception, match="cap the likes"):
+        cand.user_hours(likes, 5).collect()
+
+
 def scores(spark, matrix, labels):
     rows = [(f"u{i}", f"c{j}", float(s), int(labels[i][j])) for i, line in enumerate(matrix) for j, s in enumerate(line)]
     return spark.createDataFrame(rows, "did string, post_id string, score double, label int")

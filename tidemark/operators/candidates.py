@@ -14,13 +14,16 @@ from tidemark.plans.topn import one_per_key, top_n_per_group
 
 GROUP = ["split", HOUR, "batch_id"]
 NEGATIVE_SALTS = 16
+MAX_LIKES_PER_ROW = 10_000
 
 
-def user_hours(likes: DataFrame) -> DataFrame:
+def user_hours(likes: DataFrame, limit: int = MAX_LIKES_PER_ROW) -> DataFrame:
     """One row per (split, user, hour) with the liked posts, in time order.
 
-    A row holds at most as many posts as the like cap allows.
+    Capped likes stay far below ``limit``.  A user-hour above it is an error: the
+    list is never collected beyond ``limit + 1`` entries and never cut in silence.
     """
+    keys = ["split", USER, HOUR]
     entry = F.struct(
         F.col(TS).alias("ts"),
         F.col(ITEM).alias("item"),
@@ -28,8 +31,10 @@ def user_hours(likes: DataFrame) -> DataFrame:
         F.coalesce(PRIOR, F.lit(0)).alias("prior"),
         author_or_unknown(AUTHOR_IDX).alias("author"),
     )
-    grouped = likes.groupBy("split", USER, HOUR).agg(F.sort_array(F.collect_list(entry)).alias("liked"))
-    return grouped
+    bounded = top_n_per_group(likes, keys, [TS, ITEM], limit + 1)
+    grouped = bounded.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("liked"))
+    too_long = F.raise_error(F.lit(f"a user-hour has more than {limit} likes: cap the likes per user"))
+    return grouped.withColumn("liked", F.when(F.size("liked") <= limit, F.col("liked")).otherwise(too_long))
 
 
 def liked_lists(hours: DataFrame) -> DataFrame:

@@ -11,13 +11,15 @@ from pyspark.sql.window import Window
 from tidemark.functions.hashing import seeded_hash
 from tidemark.functions.vectors import dot_score, l2_normalised, summary_vector
 from tidemark.names import AUTHOR, BUFFER_MULTIPLIER, EMA_ALPHA, EMB, HOUR, ITEM, POST, SEED, TS, USER
-from tidemark.operators.cohorts import keep_members
 from tidemark.operators.history import prior_items
 from tidemark.plans.durable import cut
 from tidemark.plans.ordered import first_by_hash, with_position
 from tidemark.plans.scalars import row_of
+from tidemark.plans.sizes import broadcast_if_bounded
 from tidemark.plans.topn import one_per_key, salt_of, top_n_per_group
 
+TARGET_ROW_BYTES = 100
+
 
 def buffer_size(k: int, min_likes: int | None = None) -> int:
     """How many posts to fetch so that a like floor still leaves ``k``."""
@@ -159,7 +161,8 @@ def sampled_prior_likes(likes: DataFrame, n_targets: int, max_prior: int, seed:
         .drop("_hash", "_order")
         .withColumnsRenamed({TS: "target_ts", EMB: "target_emb_idx", ITEM: "target_uri"})
     )
-    theirs = cut(keep_members(likes, targets, USER))  # likes of at most n_targets users
+    users, _ = broadcast_if_bounded(targets.select(USER).distinct(), n_targets, TARGET_ROW_BYTES)
+    theirs = likes.join(users, USER, "left_semi")
     before_hour = prior_items(theirs, max_prior).select(USER, HOUR, "prior")
     entry = F.struct(F.col(TS).alias("ts"), F.col(EMB).alias("emb"))
     same_hour = top_n_per_group(
