@@ -206,6 +206,15 @@ def test_threshold_metrics_with_ties_and_a_hot_group(spark):
     assert whole.auc_roc == pytest.approx(brute_auc(y, s)) and whole.pair_count == 3000
 
 
+def test_threshold_metrics_with_a_null_group(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, "a", "b"]), rng.random(), int(rng.random() < 0.4)) for _ in range(2500)]
+    df = spark.createDataFrame(rows, "did string, score double, label int")
+    got = {r.did: r.auc_roc for r in ranking.threshold_metrics(df.where("did is not null"), ["did"]).collect()}
+    mixed = {r.did: r.auc_roc for r in ranking.threshold_metrics(df, ["did"]).collect() if r.did is not None}
+    assert mixed == pytest.approx(got) and set(got) == {"a", "b"}
+
+
 def test_one_class_has_no_auc(spark):
     df = spark.createDataFrame([("u", 0.3, 1), ("u", 0.4, 1)], "did string, score double, label int")
     row = ranking.threshold_metrics(df, ["did"]).first()

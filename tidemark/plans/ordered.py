@@ -31,18 +31,13 @@ def split_points(df: DataFrame, order: Sequence[str], parts: int = PARTS) -> lis
     sample needs no cut and returns ``[]``.
     """
     size = parts * SAMPLE_PER_PART
-    rows = (
-        df.select(*order)
-        .orderBy(F.rand(7))
-        .limit(size)
-        .orderBy(*order)
-        .collect()
-    )
+    # Sorted here: at most ``size`` small rows, and text sorts by code point as in Spark.
+    rows = sorted(tuple(row) for row in df.select(*order).dropna().orderBy(F.rand(7)).limit(size).collect())
     if len(rows) < size:
         return []
     picked: list[tuple] = []
     for i in range(1, parts):
-        point = tuple(rows[i * SAMPLE_PER_PART])
+        point = rows[i * SAMPLE_PER_PART]
         if not picked or picked[-1] != point:
             picked.append(point)
     return picked
