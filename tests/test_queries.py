@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 from check_queries import TABLES, normalised
+from tidemark.queries.registry import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+ORACLES = entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
