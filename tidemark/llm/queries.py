@@ -4,25 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, simhash
+from tidemark.llm import bloom_lm, decontamination, packing, simhash, substring_dedup, token_files, toxicity
 from tidemark.llm.rows import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # This vocabulary has 49,408 ids; it drops white space and splits there first.
+    files = token_files.write_token_files(
+        documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1, by_word=True, vocabulary=49_408
+    )
+    return token_files.read_documents(spark, files)
+
+
+def substring_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontamination.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.fold(F.col("doc_id"), 7) == 2
+    return bloom_lm.score_documents(documents(spark, sf_dir).withColumn("held_out", held_out))
 
 
 def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": toxicity_scores,
+    "op4_token_files": token_output,
+    "op5_substring_dedup": substring_removal,
     "op6_benchmark_decontamination": benchmark_decontamination,
+    "op8_bloom_language_model": language_model_scores,
     "op9_simhash_near_duplicates": simhash_components,
+    "op10_best_fit_packing": best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}

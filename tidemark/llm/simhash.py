@@ -127,27 +127,27 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     # At most 65 rows: how many fingerprints have each population count.
     sizes = {r["_ones"]: r["n"] for r in prints.groupBy("_ones").agg(F.count(F.lit(1)).alias("n")).collect()}
     bands: list[list[int]] = []  # lowest, highest population count and size
+    band_of = [0] * 65
     for ones in sorted(sizes):
         if bands and bands[-1][2] + sizes[ones] <= tile:
             bands[-1][1:] = [ones, bands[-1][2] + sizes[ones]]
         else:
             bands.append([ones, ones, sizes[ones]])
-    parts = [(k, low, high, -(-size // tile)) for k, (low, high, size) in enumerate(bands)]
-    schema = "band int, low int, high int, parts int"
-    table = spark.createDataFrame(parts, schema)  # at most 65 rows
-    tiles = (
-        prints.join(F.broadcast(table), F.col("_ones").between(F.col("low"), F.col("high")))
-        .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        band_of[ones] = len(bands) - 1
+    # For each band: its tiles, and the last band within the radius.
+    parts_of = [-(-size // tile) for _, _, size in bands] or [1]
+    last_of = [max(k for k, (low, _, _) in enumerate(bands) if low - high <= radius) for _, high, _ in bands] or [0]
+    look_up = lambda table, index: F.element_at(F.array(*map(F.lit, table)), F.col(index) + 1)
+    tiles = cut(
+        prints.withColumn("band", look_up(band_of, "_ones"))
+        .withColumn("part", F.pmod(F.xxhash64("fp"), look_up(parts_of, "band")).cast("int"))
         .groupBy("band", "part")
-        .agg(F.collect_list("fp").alias("fps"), F.first("high").alias("high"))
+        .agg(F.collect_list("fp").alias("fps"))
     )
-    tiles = cut(tiles)
-    partner = table.select(F.col("band").alias("band2"), F.col("low").alias("low2"), F.col("parts").alias("parts2"))
     pairs = (
-        tiles.select("band", "part", "high")
-        .join(F.broadcast(partner), (F.col("band2") >= F.col("band")) & (F.col("low2") - F.col("high") <= radius))
+        tiles.select("band", "part", F.explode(F.sequence("band", look_up(last_of, "band"))).alias("band2"))
         .withColumn("first", F.when(F.col("band2") == F.col("band"), F.col("part")).otherwise(0))
-        .withColumn("part2", F.explode(F.sequence("first", F.col("parts2") - 1)))
+        .withColumn("part2", F.explode(F.sequence("first", look_up(parts_of, "band2") - 1)))
         .select("band", "part", "band2", "part2")
     )
     right = tiles.select(F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("fps").alias("fps2"))
