@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom_lm, decontamination, packing, simhash, substring_dedup, token_files, toxicity
+from tidemark.llm import bloom_lm, decontamination, image_copies, licenses, packing, pii, simhash, substring_dedup, token_files, toxicity
 from tidemark.llm.rows import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,16 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+def image_copy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The tables hold no pictures: one is drawn of each vector, and an edited copy of each query.
+    images = image_copies.pictures_of(table(spark, sf_dir, "embeddings"), every=50)
+    return image_copies.find_copies(images, queries="image_id % 100 = 0")
+
+
 def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     # This vocabulary has 49,408 ids; it drops white space and splits there first.
     files = token_files.write_token_files(
@@ -39,6 +49,10 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
 def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = toxicity.fold(F.col("doc_id"), 7) == 2
     return bloom_lm.score_documents(documents(spark, sf_dir).withColumn("held_out", held_out))
@@ -54,12 +68,60 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": toxicity_scores,
+    "op2_license_scan": license_scan,
+    "op3_image_copies": image_copy_search,
     "op4_token_files": token_output,
     "op5_substring_dedup": substring_removal,
     "op6_benchmark_decontamination": benchmark_decontamination,
+    "op7_personal_data": personal_data,
     "op8_bloom_language_model": language_model_scores,
     "op9_simhash_near_duplicates": simhash_components,
     "op10_best_fit_packing": best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+#: Words of whole texts, in SQL.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"regexp_extract_all(coalesce({}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _substring_oracle(size: int) -> str:
+    return f"""
+    WITH d AS (SELECT doc_id, {_SPACED.format("text")} AS w FROM documents),
+    windows AS (SELECT doc_id, s, array_to_string(w[s : s + {size - 1}], ' ') AS g
+                FROM (SELECT doc_id, w, unnest(range(1, len(w) - {size - 2})) AS s FROM d WHERE len(w) >= {size})),
+    repeated AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT doc_id, p FROM
+             (SELECT doc_id, unnest(range(s, s + {size})) AS p FROM windows SEMI JOIN repeated USING (g))),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS body
+             FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(body, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def _decontamination_oracle(size: int) -> str:
+    return f"""
+    WITH d AS (SELECT doc_id, {_ALNUM.format(_LOWER.format("text"))} AS w FROM documents),
+    i AS (SELECT item_id, w, least({size}, len(w)) AS k
+          FROM (SELECT item_id, {_ALNUM.format(_LOWER.format("text"))} AS w FROM benchmark) WHERE len(w) > 0),
+    tests AS (SELECT DISTINCT item_id, k, array_to_string(w[s : s + k - 1], ' ') AS g
+              FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM i)),
+    lengths AS (SELECT list(DISTINCT k) AS ks FROM tests),
+    places AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s
+           FROM (SELECT doc_id, w, unnest((SELECT ks FROM lengths)) AS k FROM d) WHERE len(w) >= k),
+    hits AS (SELECT doc_id, s, p.k, item_id FROM places p JOIN tests t ON p.k = t.k AND array_to_string(w[s : s + p.k - 1], ' ') = g),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": _substring_oracle(substring_dedup.WINDOW),
+    "op6_benchmark_decontamination": _decontamination_oracle(decontamination.WINDOW),
+    "op2_license_scan": licenses.oracle(),
+}
