@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from tidemark import names as N
 from tidemark.functions.codec import encode_vector
+from tidemark.functions.hashing import seeded_hash
 from tidemark.functions.splits import Windows
 from tidemark.operators import authors, cohorts, flow, history, likes as likes_ops, popularity, posts as posts_ops
 from tidemark.plans import durable
+from tidemark.plans.topn import top_n_per_group
 from tidemark.sources import embeddings as emb
 
 LIKES = "did string, subject_uri string, record_created_at string"
@@ -58,14 +60,13 @@ def test_random_cap_and_its_seed(spark):
     assert len(set(other)) > 1
 
 
-def test_salted_cap_keeps_the_same_likes(spark, monkeypatch):
+def test_salted_cap_keeps_the_same_likes(spark):
     rng = random.Random(3)
     rows = [("hot" if i % 3 == 0 else f"u{rng.randrange(50)}", f"p{i % 700}", f"2024-01-02T00:{i % 60:02d}:00") for i in range(3000)]
     raw = likes_frame(spark, rows)
-    counted = raw.join(cohorts.likes_per_user(raw), N.USER)
-    plain = likes_ops.random_cap(raw, 20)
-    monkeypatch.setattr(likes_ops, "HOT_USER_LIKES", 100)
-    salted = likes_ops.random_cap(counted, 20).drop("like_count")
+    keyed = raw.withColumn("_rand", seeded_hash(N.SEED, "cap", N.USER, N.ITEM))
+    plain = top_n_per_group(keyed, [N.USER], ["_rand", N.ITEM, N.TS], 20).drop("_rand")
+    salted = likes_ops.random_cap(raw, 20)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect()))
 
 
@@ -337,9 +338,9 @@ def test_history_matches_brute_force_with_a_hot_user(spark):
     assert got == want
 
 
-def test_uncapped_history_needs_moderate_counts(spark, monkeypatch):
-    monkeypatch.setattr(history, "UNCAPPED_LIMIT", 2)
-    with pytest.raises(ValueError, match="max_prior"):
+def test_long_histories_draw_a_warning(spark, monkeypatch):
+    monkeypatch.setattr(history, "LONG_LIST", 2)
+    with pytest.warns(UserWarning, match="max_prior"):
         run_history(spark, [("u", f"2024-01-01T1{i}:00:00", i, None) for i in range(3)])
 
 

@@ -70,6 +70,31 @@ def test_positions_survive_an_input_hashed_on_the_key(skewed):
     assert "hashpartitioning(_group" in text
 
 
+@pytest.mark.parametrize("rows", [1, 200, 5000])
+def test_nulls_come_first_at_every_size(spark, rows):
+    values = [(i, None if i % 10 == 0 else float((i * 37) % 101), float("nan") if i % 7 == 3 else 0.5) for i in range(rows)]
+    df = spark.createDataFrame(values, "id long, x double, y double")
+    got = {r["id"]: r["position"] for r in ordered.with_position(df, [], ["x", "y", "id"]).collect()}
+    want = sorted(values, key=lambda r: (r[1] is not None, r[1] or 0.0, r[2] != r[2], r[0]))
+    assert got == {r[0]: k for k, r in enumerate(want)}
+
+
+def test_a_table_of_nulls_alone(spark):
+    df = spark.createDataFrame([(None, i) for i in range(50)], "x string, id long")
+    got = {r["id"]: r["position"] for r in ordered.with_position(df, [], ["x", "id"]).collect()}
+    assert got == {i: i for i in range(50)}
+
+
+def test_more_parts_with_a_larger_setting(spark, skewed):
+    df, _ = skewed
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert 100 < len(ordered.split_points(df, ["x", "id"])) < 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.parametrize("n", [0, 1, 137, 6000, 9000])
 def test_first_by_hash_takes_exactly_n(skewed, n):
     df, frame = skewed

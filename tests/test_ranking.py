@@ -381,10 +381,17 @@ def test_floor_and_rerank(spark):
     assert [(r.at_uri, r["rank"]) for r in top] == [("p2", 1), ("p3", 2)]
     free = retrieval.top_k_with_floor(scored, counts, 3, None).sort("rank").collect()
     assert [r.at_uri for r in free] == ["p1", "p2", "p3"]
-    assert retrieval.buffer_size(2, 5) == 40 and retrieval.buffer_size(2) == 2
     for bad in ((0, None), (2, -1)):
         with pytest.raises(ValueError):
-            retrieval.buffer_size(*bad)
+            retrieval.top_k_with_floor(scored, counts, *bad)
+
+
+def test_the_floor_goes_before_the_cut(spark):
+    rows = [("m", f"p{i:04d}", "a", 1.0 - i / 1000) for i in range(500)]
+    scored = spark.createDataFrame(rows, "model_run_id string, at_uri string, author_did string, score double")
+    counts = spark.createDataFrame([(f"p{i:04d}", i) for i in range(500)], "at_uri string, like_count int")
+    top = retrieval.top_k_with_floor(scored, counts, 3, 400).sort("rank").collect()
+    assert [r.at_uri for r in top] == ["p0400", "p0401", "p0402"]
 
 
 def test_top_k_and_author_order(spark):

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 
 def seeded_hash(seed: int, salt: str, *keys: Column | str) -> Column:
-    """Pseudo-random hex key of the given columns; text order is numeric order."""
+    """Pseudo-random hex key of the given columns; text order is numeric order.
+
+    A null key has a mark of its own, so that it cannot shift the keys behind it.
+    """
     return F.md5(F.concat_ws(":", F.lit(f"{seed}:{salt}"), *[_as_text(k) for k in keys]))
 
 
 def _as_text(key: Column | str) -> Column:
-    return (F.col(key) if isinstance(key, str) else key).cast("string")
+    return F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("\u0000"))
 
 
 def leading_number(hash_col: Column) -> Column:
@@ -32,6 +35,11 @@ def bernoulli(hash_col: Column, share: float) -> Column:
     return leading_number(hash_col) / F.lit(2.0**32) < F.lit(float(share))
 
 
+def candidate_sample(item: Column | str, share: float, seed: int) -> Column:
+    """The posts that may serve as negatives, a pure function of the address."""
+    return bernoulli(seeded_hash(seed, "candidate", item), share)
+
+
 def sample_score(u: Column, count: Column | str, alpha: float) -> Column:
     """Exponential key of weighted sampling: the smallest win, weight ``count ** alpha``."""
     count = F.col(count) if isinstance(count, str) else count

@@ -22,7 +22,7 @@ def parse_timestamp(col: Column | str, strict: bool = True) -> Column:
     parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in TIMESTAMP_FORMATS])
     if not strict:
         return parsed
-    message = F.concat(F.lit("Unrecognized datetime format: "), text)
+    message = F.concat(F.lit("no accepted time format fits: "), text)
     return F.when(text.isNull() | parsed.isNotNull(), parsed).otherwise(F.raise_error(message).cast("timestamp"))
 
 
@@ -49,11 +49,11 @@ def age_seconds(bucket: Column | str, ts: Column | str) -> Column:
 def check_boundaries(boundaries: Sequence[float]) -> list[float]:
     values = [float(b) for b in boundaries]
     if not values:
-        raise ValueError("time delta bucket boundaries must not be empty")
+        raise ValueError("at least one boundary is needed")
     if values[0] <= 0:
-        raise ValueError("time delta bucket boundaries must be positive")
+        raise ValueError("the first boundary must lie above 0")
     if any(b <= a for a, b in zip(values, values[1:])):
-        raise ValueError("time delta bucket boundaries must be strictly increasing")
+        raise ValueError("each boundary must lie above the one before")
     return values
 
 

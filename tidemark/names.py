@@ -30,8 +30,6 @@ AUTHOR_PAD = 0
 AUTHOR_UNK = 1
 FIRST_AUTHOR = 2
 ELIGIBLE_HOURS = 24
-BUFFER_MULTIPLIER = 20
-MAX_METRIC_PAIRS = 2_000_000
 BIN_EDGES = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 20, 50, 100, 500]
 EMBED_DIMS = {
     "all_MiniLM_L6_v2": 384,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.names import AUTHOR, AUTHOR_IDX, FIRST_AUTHOR, MIN_AUTHOR_SUPPORT, USER
+from tidemark.plans.durable import cut
 from tidemark.sources.embeddings import dense_ids
 
 
@@ -34,6 +35,7 @@ def author_index(posts: DataFrame, likes: DataFrame, min_support: int = MIN_AUTH
         .select(AUTHOR, (F.col("n_sampled") + F.col("n_liked")).alias("author_train_count"))
         .where(F.col(AUTHOR).isNotNull() & (F.col("author_train_count") >= min_support))
     )
+    supported = cut(supported)  # read for the ids and for the join
     return supported.join(dense_ids(supported, AUTHOR, AUTHOR_IDX, FIRST_AUTHOR), AUTHOR)
 
 

@@ -86,7 +86,8 @@ def core_tables(
     counts = popularity.candidate_counts(hourly, s.negative_share, s.min_negative_likes, s.seed)
     sampled_posts = cut(
         posts_ops.posts_core(
-            raw_posts, counts, sampled_likes, s.windows, s.negatives_per_hour, s.negative_alpha, s.seed, s.posts_end
+            raw_posts, counts, sampled_likes, s.windows, s.negatives_per_hour, s.negative_alpha, s.seed, s.posts_end,
+            s.negative_share,
         )
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,19 +15,19 @@ from tidemark.plans.asof import asof_backward
 from tidemark.plans.ordered import quantiles_of, ranked_counts
 from tidemark.plans.topn import top_n_per_group
 
-UNCAPPED_LIMIT = 10_000
+LONG_LIST = 10_000
 
 
 def longest_history(likes: DataFrame) -> int:
     """Length that leaves every history whole, from the largest like count.
 
-    Lists without a cap are only allowed when that length is moderate; a user with
-    more likes needs ``max_prior``.
+    A history row holds a list, so a very long one draws a warning; ``max_prior``
+    bounds it.
     """
     row = likes.groupBy(USER).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
     longest = max(int(row.n or 1), 1)
-    if longest > UNCAPPED_LIMIT:
-        raise ValueError(f"a user has {longest} likes: set max_prior to bound the history lists")
+    if longest > LONG_LIST:
+        warnings.warn(f"histories of up to {longest} likes; max_prior bounds them", stacklevel=2)
     return longest
 
 

@@ -14,7 +14,6 @@ from tidemark.plans.ordered import with_position
 from tidemark.plans.sizes import broadcast_if_bounded
 from tidemark.plans.topn import salt_of, top_n_per_group
 
-HOT_USER_LIKES = 1_000_000
 COHORT_ROW_BYTES = 120
 
 
@@ -48,27 +47,23 @@ def split_or_error(likes: DataFrame) -> DataFrame:
 
 
 def random_cap(
-    likes: DataFrame, max_likes: int = MAX_LIKES_PER_USER, seed: int = SEED, hot_users: bool = True
+    likes: DataFrame, max_likes: int = MAX_LIKES_PER_USER, seed: int = SEED
 ) -> DataFrame:
     """At most ``max_likes`` likes per user in hash order; repeated likes use up the cap.
 
-    Users with very many likes are ranked in salted parts first.  ``like_count``
-    tells them apart when the column is there.
+    Ranks are salted: a user's likes are first cut in parts, however many there are.
     """
     if max_likes <= 0:
         return likes
     keyed = likes.withColumn("_rand", seeded_hash(seed, "cap", USER, ITEM))
-    salt = None
-    if hot_users and "like_count" in likes.columns:
-        salt = F.when(F.col("like_count") > HOT_USER_LIKES, salt_of(ITEM, TS)).otherwise(F.lit(0))
-    return top_n_per_group(keyed, [USER], ["_rand", ITEM, TS], max_likes, salt).drop("_rand")
+    return top_n_per_group(keyed, [USER], ["_rand", ITEM, TS], max_likes, salt_of(ITEM, TS)).drop("_rand")
 
 
 def recency_cap(likes: DataFrame, max_likes: int = MAX_LIKES_PER_USER) -> DataFrame:
-    """The latest ``max_likes`` likes of each user."""
+    """The latest ``max_likes`` likes of each user; ranks are salted."""
     if max_likes <= 0:
         return likes
-    return top_n_per_group(likes, [USER], [F.col(TS).desc(), ITEM], max_likes)
+    return top_n_per_group(likes, [USER], [F.col(TS).desc(), ITEM], max_likes, salt_of(ITEM, TS))
 
 
 def likes_core(

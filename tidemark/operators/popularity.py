@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.hashing import bernoulli, seeded_hash
+from tidemark.functions.hashing import candidate_sample
 from tidemark.functions.times import hour_bucket
 from tidemark.names import (
     EMB,
@@ -38,7 +38,7 @@ def hourly_likes(likes: DataFrame, key: str = ITEM) -> DataFrame:
 
 def sampled_like_counts(likes: DataFrame, share: float = NEGATIVE_SAMPLE_PCT, seed: int = SEED) -> DataFrame:
     """Global like count of a hash sample of the posts, from likes or hourly likes."""
-    kept = likes.where(bernoulli(seeded_hash(seed, "candidate", ITEM), share))
+    kept = likes.where(candidate_sample(ITEM, share, seed))
     count = F.sum("likes_this_hour") if "likes_this_hour" in likes.columns else F.count(F.lit(1))
     return kept.groupBy(ITEM).agg(count.alias("global_like_count"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import sample_score, seeded_hash, uniform
+from tidemark.functions.hashing import candidate_sample, sample_score, seeded_hash, uniform
 from tidemark.functions.splits import Windows, post_split_window
 from tidemark.functions.times import hour_bucket, time_literal
 from tidemark.names import ELIGIBLE_HOURS, ITEM, NEG_HOUR, NEGATIVE_ALPHA, NEGATIVES_PER_HOUR, POST, SEED, TS, USER
@@ -51,13 +51,18 @@ def choose_hourly(
     alpha: float = NEGATIVE_ALPHA,
     seed: int = SEED,
     posts_end: str | None = None,
+    share: float | None = None,
 ) -> DataFrame:
     """``(at_uri, negative_hour_bucket)`` of the sampled posts of each hour.
 
     Works on address and first time only; copies of a post go in the map tasks.
     There are few hours and each takes a large part of the table, so ranks are
     salted.  The upper bounds drop whole hours and are applied before the ranking.
+    ``share`` is the one that ``counts`` was sampled with: other posts drop out in
+    the scan, by the same hash, before they are grouped.
     """
+    if share is not None:
+        posts = posts.where(candidate_sample(POST, share, seed))
     created = posts.groupBy(POST).agg(F.min(TS).alias(TS))
     weighted = created.join(counts.withColumnRenamed(ITEM, POST), POST)
     expanded = eligible_hours(weighted).where(F.col(NEG_HOUR) >= time_literal(windows.train_start))
@@ -98,9 +103,10 @@ def hourly_negatives(
     alpha: float = NEGATIVE_ALPHA,
     seed: int = SEED,
     posts_end: str | None = None,
+    share: float | None = None,
 ) -> DataFrame:
     """Popularity-weighted sample of posts for each hour of their first day."""
-    chosen = cut(choose_hourly(posts, counts, windows, per_hour, alpha, seed, posts_end))
+    chosen = cut(choose_hourly(posts, counts, windows, per_hour, alpha, seed, posts_end, share))
     return describe_negatives(chosen, metadata_of(posts, chosen), liked)
 
 
@@ -135,6 +141,7 @@ def posts_core(
     alpha: float = NEGATIVE_ALPHA,
     seed: int = SEED,
     posts_end: str | None = None,
+    share: float | None = None,
 ) -> DataFrame:
     """Sampled negatives and liked posts with the window each belongs to.
 
@@ -143,7 +150,7 @@ def posts_core(
     """
     inside = post_window(posts, windows)
     liked = likes.select(ITEM).distinct()
-    chosen = cut(choose_hourly(inside, counts, windows, per_hour, alpha, seed, posts_end))
+    chosen = cut(choose_hourly(inside, counts, windows, per_hour, alpha, seed, posts_end, share))
     wanted = chosen.select(POST).unionByName(liked.select(F.col(ITEM).alias(POST)))
     metadata = cut(metadata_of(inside, wanted))
     negatives = describe_negatives(chosen, metadata, liked)

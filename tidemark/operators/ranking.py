@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.hashing import seeded_hash
-from tidemark.names import MAX_METRIC_PAIRS, SEED, TOP_KS
+from tidemark.names import SEED, TOP_KS
 from tidemark.plans.durable import cut
 from tidemark.plans.ordered import first_by_hash, running_before
 from tidemark.plans.scalars import row_of
@@ -169,7 +169,7 @@ def threshold_metrics(
         pairs.groupBy(*keys, score).agg(F.sum(label).cast("long").alias("_pos"), F.count(F.lit(1)).alias("_all"))
     )
     below = running_before(
-        counts, keys, [score, *keys], {"_pos_below": F.col("_pos"), "_all_below": F.col("_all")}
+        counts, keys, [score, *keys], {"_pos_below": F.col("_pos"), "_all_below": F.col("_all")}, written=True
     )
     totals = counts.groupBy(*keys).agg(F.sum("_pos").alias("_p"), F.sum("_all").alias("_n"))
     if keys:
@@ -190,11 +190,11 @@ def threshold_metrics(
 def pooled_classification(
     pairs: DataFrame,
     pair_keys: Sequence[str],
-    max_pairs: int | None = MAX_METRIC_PAIRS,
+    max_pairs: int | None = None,
     score: str = "score",
     seed: int = SEED,
 ) -> DataFrame:
-    """AUC and AP over all pairs, or over ``max_pairs`` drawn by hash order.
+    """AUC and AP over all pairs; only if a caller asks, over ``max_pairs`` drawn by hash order.
 
     The scored pairs are written once, since they are read for the totals, the draw
     and the metrics.

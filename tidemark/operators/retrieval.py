@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.hashing import seeded_hash
 from tidemark.functions.vectors import dot_score, l2_normalised, summary_vector
-from tidemark.names import AUTHOR, BUFFER_MULTIPLIER, EMA_ALPHA, EMB, HOUR, ITEM, POST, SEED, TS, USER
+from tidemark.names import AUTHOR, EMA_ALPHA, EMB, HOUR, ITEM, POST, SEED, TS, USER
 from tidemark.operators.history import prior_items
 from tidemark.plans.durable import cut
 from tidemark.plans.ordered import first_by_hash, with_position
@@ -21,15 +21,11 @@ from tidemark.plans.topn import one_per_key, salt_of, top_n_per_group
 TARGET_ROW_BYTES = 100
 
 
-def buffer_size(k: int, min_likes: int | None = None) -> int:
-    """How many posts to fetch so that a like floor still leaves ``k``."""
+def check_top_k(k: int, min_likes: int | None = None) -> None:
     if k <= 0:
         raise ValueError("top_k must be positive")
-    if min_likes is None:
-        return k
-    if min_likes < 0:
+    if min_likes is not None and min_likes < 0:
         raise ValueError("min_likes must not be negative")
-    return k * BUFFER_MULTIPLIER
 
 
 def recent_likes(likes: DataFrame, user: str | Column, n: int) -> DataFrame:
@@ -40,12 +36,17 @@ def recent_likes(likes: DataFrame, user: str | Column, n: int) -> DataFrame:
 
 
 def history_posts(recent: DataFrame, posts: DataFrame, embeddings: DataFrame, dim: int) -> DataFrame:
-    """History entries with author and vector; a vector of another length counts as none."""
+    """History entries with author and vector; a vector of another length counts as none.
+
+    ``recent`` has a bounded number of rows: posts and vectors are first reduced to
+    them where they lie.
+    """
     vector = F.when(F.size("embedding") == dim, F.col("embedding"))
+    entries = recent.select("rank", F.col(ITEM).alias(POST))
+    wanted = F.broadcast(entries.select(POST).distinct())
     return (
-        recent.select("rank", F.col(ITEM).alias(POST))
-        .join(posts.select(POST, F.col(USER).alias(AUTHOR)), POST, "left")
-        .join(embeddings.select(POST, vector.alias("embedding")), POST, "left")
+        entries.join(posts.select(POST, F.col(USER).alias(AUTHOR)).join(wanted, POST, "left_semi"), POST, "left")
+        .join(embeddings.select(POST, vector.alias("embedding")).join(wanted, POST, "left_semi"), POST, "left")
         .withColumn("embedding_present", F.col("embedding").isNotNull())
     )
 
@@ -107,13 +108,15 @@ def global_top_k(scored: DataFrame, k: int) -> DataFrame:
 def top_k_with_floor(
     scored: DataFrame, like_counts: DataFrame, k: int, min_likes: int | None, keys: Sequence[str] = ("model_run_id",)
 ) -> DataFrame:
-    """Fetch a buffer, drop posts below the like floor or without a count, re-rank to ``k``."""
-    keys = list(keys)
-    buffered = top_k(scored, buffer_size(k, min_likes), keys).drop("rank")
-    counted = buffered.join(like_counts, POST, "left")
-    if min_likes is not None:
-        counted = counted.where(F.col("like_count") >= min_likes)
-    return top_n_per_group(counted, keys, [F.col("score").desc(), POST], k, rank_name="rank")
+    """The ``k`` best posts with at least ``min_likes`` likes, and their counts.
+
+    The floor goes first, so ``k`` posts come back whenever ``k`` reach it.  Without
+    a floor counts are only fetched for the posts in the list.
+    """
+    check_top_k(k, min_likes)
+    if min_likes is None:
+        return top_k(scored, k, keys).join(like_counts, POST, "left")
+    return top_k(scored.join(like_counts.where(F.col("like_count") >= min_likes), POST), k, keys)
 
 
 def author_concentration(top: DataFrame, keys: Sequence[str] = ("model_run_id",)) -> DataFrame:

@@ -18,27 +18,35 @@ from pyspark.sql.window import Window
 
 from tidemark.plans.durable import cut
 
-PARTS = 64
 SAMPLE_PER_PART = 16
+MIN_PARTS = 32
 
 
-def split_points(df: DataFrame, order: Sequence[str], parts: int = PARTS) -> list[tuple]:
-    """At most ``parts - 1`` rows that cut ``df`` into even pieces along ``order``.
+def parts_of(df: DataFrame) -> int:
+    """Pieces that an order is cut into: as many as the session gives a shuffle, 32 at least."""
+    return max(MIN_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    Collects a uniform row sample of fixed size (``parts * 16`` rows), so a hot
-    key, which fills much of the table, also gets many of the cuts.  Only the
-    balance depends on the sample, never the result.  A table smaller than the
-    sample needs no cut and returns ``[]``.
+
+def _sort_key(row: tuple) -> tuple:
+    """Spark's ascending order: nulls first, NaN last."""
+    return tuple((0, 0) if v is None else (2, 0) if v != v else (1, v) for v in row)
+
+
+def split_points(df: DataFrame, order: Sequence[str], parts: int | None = None) -> list[tuple]:
+    """At most ``parts - 1`` rows that cut ``df`` into even pieces along ``order``, nulls first.
+
+    Collects a uniform row sample of ``parts * 16`` rows at most, so a hot key,
+    which fills much of the table, also gets many of the cuts.  Only the balance
+    depends on the sample, never the result; tables of all sizes are cut alike.
     """
-    size = parts * SAMPLE_PER_PART
-    # Sorted here: at most ``size`` small rows, and text sorts by code point as in Spark.
-    rows = sorted(tuple(row) for row in df.select(*order).dropna().orderBy(F.rand(7)).limit(size).collect())
-    if len(rows) < size:
-        return []
+    parts = parts or parts_of(df)
+    # Sorted here: a bounded number of small rows, and text sorts by code point as in Spark.
+    rows = [tuple(row) for row in df.select(*order).orderBy(F.rand(7)).limit(parts * SAMPLE_PER_PART).collect()]
+    rows.sort(key=_sort_key)
     picked: list[tuple] = []
     for i in range(1, parts):
-        point = rows[i * SAMPLE_PER_PART]
-        if not picked or picked[-1] != point:
+        point = rows[i * len(rows) // parts] if rows else None
+        if point is not None and (not picked or _sort_key(picked[-1]) != _sort_key(point)):
             picked.append(point)
     return picked
 
@@ -51,15 +59,20 @@ def range_bucket(df: DataFrame, order: Sequence[str], points: list[tuple]) -> Co
     """Bucket number of a row: how many of the cut points lie at or before it.
 
     A balanced ``CASE`` tree, so a row needs ``log2(len(points))`` comparisons.
-    The order columns must not be null.
+    Nulls come before everything else.
     """
     types = [df.schema[c].dataType for c in order]
 
     def before(point: tuple) -> Column:
         result: Column | None = None
         for name, value, dtype in reversed(list(zip(order, point, types))):
-            col, lit = F.col(name), _literal(value, dtype)
-            result = col < lit if result is None else (col < lit) | ((col == lit) & result)
+            col = F.col(name)
+            if value is None:
+                less, equal = F.lit(False), col.isNull()
+            else:
+                lit = _literal(value, dtype)
+                less, equal = col.isNull() | (col < lit), col.eqNullSafe(lit)
+            result = less if result is None else less | (equal & result)
         return result
 
     def tree(low: int, high: int) -> Column:
@@ -77,25 +90,19 @@ def running_before(
     order: Sequence[str],
     sums: dict[str, Column],
     bucket: Column | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Add, per row, each sum over the rows of its group that come earlier.
 
-    ``order`` must be ascending, without nulls and total inside a group.
-    ``bucket`` may be any column that never falls along the order; without it the
-    cuts come from :func:`split_points`.
+    ``order`` is ascending, nulls first, and total inside a group.  ``bucket`` may
+    be any column that never falls along the order; without it the cuts come from
+    :func:`split_points`, and the input is written first, since the sample, the rows
+    and the totals all read it (``written``: it already is).
     """
     keys = list(keys)
     if bucket is None:
-        points = split_points(df, order)
-        bucket = range_bucket(df, order, points) if points else None
-    if bucket is None and keys:
-        # Fewer rows than the sample: one window per key is small by proof.
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({n: _or_zero(F.sum(e).over(window)) for n, e in sums.items()})
-
-    if bucket is None:
-        window = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({n: _or_zero(F.sum(e).over(window)) for n, e in sums.items()})
+        df = df if written else cut(df)
+        bucket = range_bucket(df, order, split_points(df, order))
 
     # One struct column: an input already hashed on the keys alone must not be reused,
     # since it would bring a whole hot group into one task.
@@ -163,7 +170,7 @@ def ranked_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     the result run the input again.
     """
     counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
-    return cut(running_before(counts, keys, [value, *keys], {"below": F.col("n")}))
+    return cut(running_before(counts, keys, [value, *keys], {"below": F.col("n")}, written=True))
 
 
 def quantiles_of(

@@ -423,11 +423,9 @@ RETRIEVAL = {
                 WHERE embedding IS NOT NULL AND record_created_at >= {VAL} AND record_created_at < {END}""",
     "sp": """SELECT model_run_id, at_uri, author_did, round(list_dot_product(vec, CAST(embedding AS DOUBLE[])), 9) AS score
              FROM pool JOIN user_vectors ON true""",
-    "buffered": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_run_id ORDER BY score DESC, at_uri) AS rn
-                                   FROM sp) WHERE rn <= {K * N.BUFFER_MULTIPLIER}""",
     "top_posts": f"""SELECT model_run_id, at_uri, author_did, score, like_count,
                             row_number() OVER (PARTITION BY model_run_id ORDER BY score DESC, at_uri) AS rank
-                     FROM buffered JOIN (SELECT subject_uri AS at_uri, count(*) AS like_count FROM raw_likes GROUP BY ALL)
+                     FROM sp JOIN (SELECT subject_uri AS at_uri, count(*) AS like_count FROM raw_likes GROUP BY ALL)
                      USING (at_uri) WHERE like_count >= {FLOOR} QUALIFY rank <= {K}""",
 }
 

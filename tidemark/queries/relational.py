@@ -392,6 +392,17 @@ def f10(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("o_orderkey", (F.col("position") + 1).alias("position"))
 
 
+@query(
+    "f10_null_order",
+    """SELECT o_orderkey, row_number() OVER (ORDER BY price NULLS FIRST, o_orderkey) AS position
+       FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice END AS price FROM orders)""",
+)
+def f10_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    price = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice")).alias("price")
+    placed = with_position(t.table(spark, sf, "orders").select("o_orderkey", price), [], ["price", "o_orderkey"])
+    return placed.select("o_orderkey", (F.col("position") + 1).alias("position"))
+
+
 @query(
     "f11_last_value",
     with_("SELECT did, arg_max(raw_prior_count, like_hour_bucket) AS history_len FROM history GROUP BY did"),
@@ -441,10 +452,8 @@ def g2(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "g3_top_k_with_floor",
     with_(
-        f"""SELECT at_uri, like_count, row_number() OVER (ORDER BY score DESC, at_uri) AS rank FROM (
-              SELECT * FROM (SELECT * FROM sv ORDER BY sv.score DESC, at_uri LIMIT 200) JOIN counts USING (at_uri)
-              WHERE like_count >= 40)
-            QUALIFY rank <= 10""",
+        """SELECT at_uri, like_count, row_number() OVER (ORDER BY score DESC, at_uri) AS rank
+           FROM sv JOIN counts USING (at_uri) WHERE like_count >= 40 QUALIFY rank <= 10""",
         sv=SCORED_VECTORS,
         counts="""SELECT printf('%06d', CAST(regexp_extract(props, '[0-9]+') AS BIGINT)) AS at_uri, count(*) AS like_count
                   FROM events GROUP BY ALL""",
