@@ -9,8 +9,8 @@ nothing is left out, but more probes hit by chance (:func:`false_positive_rate`)
 
 A token's probability mixes the orders from the shortest history on.  How far an
 order is trusted depends on the level of the history's count; these weights are
-set by deleted interpolation, one pass over the training documents for each
-order, in which every token is left out of the counts that predict it.
+set by deleted interpolation, one more pass over the training documents, in which
+every token is left out of the counts that predict it.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ BITS_PER_ENTRY, PROBES = 10, 5
 #: Bound of what is broadcast.
 MAX_FILTER_BYTES = 256 << 20
 #: Weights that an order may get, and levels told apart.
-GRID = np.array([0, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99])
+GRID = np.array([0, 0.01, 0.03, 0.1, 0.2, 0.4, 0.6, 0.8, 0.95])
 LEVELS = 128
+#: Weight of the orders below the one that is being weighed.
+MEANWHILE = 0.3
 #: Longer n-grams are counted by this many leading bits of their hash.
 _COUNTED = np.uint64(0xFFFFFFFFFFFF0000)
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -80,19 +82,25 @@ def count_of(levels: np.ndarray, least: int) -> np.ndarray:
     return np.where(levels > 0, (np.ceil(low) + np.ceil(low * BASE) - 1) / 2, 0.0)
 
 
-def _positions(keys: np.ndarray, level: int, sizes: np.ndarray, bases: np.ndarray) -> Iterator[np.ndarray]:
-    """The bit of each probe, inside the part of the filter that a key belongs to."""
+def _probe(keys: np.ndarray, level: int, sizes: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word of a key at a level, inside the part that the key belongs to, and its bits in that word.
+
+    All probes of a key lie in one word, so a lookup reads memory once.  A part has
+    fewer than 2**32 words.
+    """
     with np.errstate(over="ignore"):
-        first = mixed(keys + np.uint64(level) * ODD)
-        step = mixed(first ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
-        for k in range(PROBES):
-            yield bases + (first + np.uint64(k) * step) % sizes
+        hashed = mixed(keys + np.uint64(level) * ODD)
+        word = bases + ((hashed >> np.uint64(32)) * sizes >> np.uint64(32))
+        mask = np.uint64(1) << (hashed & np.uint64(63))
+        for probe in range(1, PROBES):
+            mask |= np.uint64(1) << (hashed >> np.uint64(6 * probe) & np.uint64(63))
+    return word, mask
 
 
 class Filter(NamedTuple):
-    """Bits of all parts end to end; part ``(order - 1) * slices + slice`` begins at ``bases`` and has ``sizes`` bits."""
+    """Words of all parts end to end; part ``(order - 1) * slices + slice`` begins at ``bases`` and has ``sizes`` words."""
 
-    bits: np.ndarray
+    words: np.ndarray
     bases: np.ndarray
     sizes: np.ndarray
     slices: int
@@ -106,10 +114,8 @@ class Filter(NamedTuple):
         open_ = np.flatnonzero(sizes > 0)
         at = 1
         while len(open_) and at < LEVELS:
-            hit = np.ones(len(open_), bool)
-            for bit in _positions(keys[open_], at, sizes[open_], bases[open_]):
-                hit &= (self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            open_ = open_[hit]
+            word, mask = _probe(keys[open_], at, sizes[open_], bases[open_])
+            open_ = open_[self.words[word] & mask == mask]
             level[open_] = at
             at += 1
         return level
@@ -123,16 +129,17 @@ class Model(NamedTuple):
     mixing: np.ndarray
 
     def orders(
-        self, filter_: Filter, words: np.ndarray, firsts: np.ndarray, left_out: bool = False
+        self, filter_: Filter, distinct: np.ndarray, inverse: np.ndarray, firsts: np.ndarray, left_out: bool = False
     ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """``(order, known, level, share, lower)`` at every token, from order 2 on, and at last order 0 with the probability as ``lower``.
 
         ``known``: the history was seen; ``level``: that of its count; ``share``: how
         often this token followed it; ``lower``: the probability after the next
         shorter history.  ``left_out`` takes the token itself out of all counts.
+        The tokens are ``distinct[inverse]``.
         """
         own = 1 if left_out else 0
-        level = filter_.levels(words, 1)
+        words, level = distinct[inverse], filter_.levels(distinct, 1)[inverse]
         lower = (np.maximum(count_of(level, 1) - own, 0) + 1) / (self.tokens - own + self.distinct + 1)
         least = 1
         for n, (keys, valid) in enumerate(gram_keys(words, firsts, len(self.mixing) + 1), start=2):
@@ -149,16 +156,23 @@ class Model(NamedTuple):
             lower = np.where(known, weight * share + (1 - weight) * lower, lower)
         yield 0, level, level, lower, lower
 
-    def log_probabilities(self, filter_: Filter, words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    def log_probabilities(
+        self, filter_: Filter, distinct: np.ndarray, inverse: np.ndarray, firsts: np.ndarray
+    ) -> np.ndarray:
         """log10 probability of each token after its history in its text."""
-        for *_, lower in self.orders(filter_, words, firsts):
+        for *_, lower in self.orders(filter_, distinct, inverse, firsts):
             pass
         return np.log10(lower)
 
 
-def false_positive_rate(entries: int, bits: int) -> float:
-    """Chance that a probe of something never entered hits."""
-    return (1 - np.exp(-PROBES * entries / max(bits, 1))) ** PROBES
+def false_positive_rate(bits_per_entry: float) -> float:
+    """Chance that a probe of something never entered hits: over words with a Poisson number of entries."""
+    load = 64 / bits_per_entry
+    share, total = np.exp(-load), 0.0
+    for entries in range(1, int(8 * load) + 64):
+        share *= load / entries
+        total += share * (1 - (63 / 64) ** (PROBES * entries)) ** PROBES
+    return float(total)
 
 
 def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
@@ -230,22 +244,20 @@ def _fill(bits_per_entry: float):
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                size = part_bits(batch.column("n_entries")[k].as_py(), bits_per_entry)
+                size = part_words(batch.column("n_entries")[k].as_py(), bits_per_entry)
                 keys, levels = B.unpack_sorted(batch.column("keys")[k].as_py()), B.unpack(batch.column("levels")[k].as_py())
-                bits = np.zeros(size, bool)
+                words = np.zeros(size, np.uint64)
                 for level in range(1, int(levels.max(initial=0)) + 1):
-                    own = keys[levels >= level]
-                    for bit in _positions(own, level, np.uint64(size), np.uint64(0)):
-                        bits[bit] = True
-                packed = np.packbits(bits, bitorder="little").tobytes()
+                    np.bitwise_or.at(words, *_probe(keys[levels >= level], level, np.uint64(size), np.uint64(0)))
+                packed = words.tobytes()
                 yield _rows([(batch.column("order")[k].as_py(), batch.column("slice")[k].as_py(), packed)], "order int, slice int, bits binary")
 
     return fill
 
 
-def part_bits(entries: int, bits_per_entry: float) -> int:
-    """Bits of a part: whole bytes, none without entries."""
-    return -(-int(entries * bits_per_entry + 8) // 8) * 8 if entries else 0
+def part_words(entries: int, bits_per_entry: float) -> int:
+    """64-bit words of a part, none without entries."""
+    return -(-int(entries * bits_per_entry + 1) // 64) if entries else 0
 
 
 def build_filter(merged: DataFrame, slices: int, order: int, min_count: int, max_filter_bytes: int) -> tuple[Filter, int, int]:
@@ -258,57 +270,62 @@ def build_filter(merged: DataFrame, slices: int, order: int, min_count: int, max
         F.sum("n_entries"), F.sum("n_tokens"), F.sum("n_distinct"), F.count(F.lit(1))
     ).first()
     total, n_parts = total or 0, n_parts or 0
-    room = max(8, max_filter_bytes - 2 * n_parts) * 8
+    room = 8 * max(8, max_filter_bytes - 8 * n_parts)
     per_entry = min(BITS_PER_ENTRY, room / max(total, 1))
     filled = parts.where("n_entries > 0").select("order", "slice", "keys", "levels", "n_entries")
     bits: dict[int, bytes] = {}
     for row in filled.mapInArrow(_fill(per_entry), "order int, slice int, bits binary").toLocalIterator():
         bits[(row["order"] - 1) * slices + row["slice"]] = row["bits"]
-    sizes = np.array([8 * len(bits.get(i, b"")) for i in range(order * slices)], np.uint64)
+    sizes = np.array([len(bits.get(i, b"")) // 8 for i in range(order * slices)], np.uint64)
     bases = np.cumsum(sizes) - sizes
-    flat = np.frombuffer(b"".join(bits[i] for i in sorted(bits)), np.uint8)
+    flat = np.frombuffer(b"".join(bits[i] for i in sorted(bits)), np.uint64)
     return Filter(flat, bases, sizes, slices, min_count), n_tokens or 0, n_distinct or 0
 
 
-def _weigh(shared, model: Model, order: int):
+def _weigh(shared, model: Model):
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Log-likelihood of left-out training tokens by the history's level and the weight of ``order``."""
+        """Log-likelihood of left-out training tokens by order, level of the history and weight.
+
+        Terms that are the same for every weight are left out.
+        """
         for batch in batches:
             for k in range(batch.num_rows):
                 words, firsts = tokens(*B.texts_of(batch, k))
                 held = batch.column("held_out")[k].values.to_numpy(zero_copy_only=False).astype(bool)
                 training = ~np.repeat(held, np.diff(firsts))
-                n, known, level, share, lower = next(
-                    x for x in model.orders(shared.value, words, firsts, left_out=True) if x[0] == order
-                )
-                known &= training
-                level, share, lower = level[known], share[known], lower[known]
-                sums = [np.bincount(level, weights=np.log(w * share + (1 - w) * lower), minlength=LEVELS) for w in GRID]
-                rows = [(q, g, float(sums[g][q])) for q in np.unique(level).tolist() for g in range(len(GRID))]
+                distinct, inverse = np.unique(words, return_inverse=True)
+                rows = []
+                for n, known, level, share, lower in model.orders(shared.value, distinct, inverse, firsts, left_out=True):
+                    if not n:
+                        break
+                    unseen = np.bincount(level[known & training & (share == 0)], minlength=LEVELS)
+                    seen = known & training & (share > 0)
+                    at, ratio = level[seen], share[seen] / lower[seen]
+                    for g, w in enumerate(GRID):
+                        sums = unseen * np.log(1 - w) + np.bincount(at, weights=np.log(w * ratio + 1 - w), minlength=LEVELS)
+                        rows += [(n, q, g, s) for q, s in enumerate(sums.tolist()) if s]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["level", "grid", "sum"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["order", "level", "grid", "sum"])
 
     return weigh
 
 
 def mixing_weights(blocks: DataFrame, shared, model: Model) -> Model:
-    """The model with the likeliest weight for each order and level, the orders one after the other."""
-    for n in range(2, len(model.mixing) + 2):
-        sums = blocks.select("offsets", "text", "held_out").mapInArrow(
-            _weigh(shared, model, n), "level long, grid long, sum double"
-        )
-        best: dict[int, tuple[float, int]] = {}
-        # At most LEVELS * len(GRID) rows.
-        for level, grid, value in sums.groupBy("level", "grid").agg(F.sum("sum")).collect():
-            best[level] = max(best.get(level, (-np.inf, 0)), (value, grid))
-        weights, last = np.zeros(LEVELS), 0.0
+    """The model with the likeliest weight for each order and level; the model's own weights stand for shorter orders."""
+    sums = blocks.select("offsets", "text", "held_out").mapInArrow(
+        _weigh(shared, model), "order long, level long, grid long, sum double"
+    )
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    # At most orders * LEVELS * len(GRID) rows; a weight of 0 has the sum 0.
+    for order, level, grid, value in sums.groupBy("order", "level", "grid").agg(F.sum("sum")).collect():
+        best[order, level] = max(best.get((order, level), (0.0, 0)), (value, grid))
+    mixing = np.zeros_like(model.mixing)
+    for n in range(2, len(mixing) + 2):
+        last = 0.0
         for level in reversed(range(LEVELS)):  # a level without tokens takes the next higher one's weight
-            last = GRID[best[level][1]] if level in best else last
-            weights[level] = last
-        mixing = model.mixing.copy()
-        mixing[n - 2] = weights
-        model = model._replace(mixing=mixing)
-    return model
+            last = GRID[best[n, level][1]] if (n, level) in best else last
+            mixing[n - 2, level] = last
+    return model._replace(mixing=mixing)
 
 
 def _score(shared, model: Model):
@@ -322,7 +339,7 @@ def _score(shared, model: Model):
                 counts = np.concatenate([B.unpack(a) for a in answers])[inverse] if len(keys) else np.zeros(0)
                 base = np.add.reduceat(np.log10((counts + 1) / (n + v + 1)), firsts[:-1])
                 known = np.add.reduceat((counts > 0).astype(np.int64), firsts[:-1])
-                own = np.add.reduceat(model.log_probabilities(shared.value, words, firsts), firsts[:-1])
+                own = np.add.reduceat(model.log_probabilities(shared.value, keys, inverse, firsts), firsts[:-1])
                 sizes = np.diff(firsts)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -376,7 +393,7 @@ def score_documents(
     filter_, n_tokens, n_distinct = build_filter(merged, slices, order, min_count, max_filter_bytes)
     shared = spark.sparkContext.broadcast(filter_)
     if mixing is None:
-        model = mixing_weights(blocks, shared, Model(n_tokens, n_distinct, np.zeros((order - 1, LEVELS))))
+        model = mixing_weights(blocks, shared, Model(n_tokens, n_distinct, np.full((order - 1, LEVELS), MEANWHILE)))
     else:
         model = Model(n_tokens, n_distinct, np.asarray(mixing, float))
     counted = B.answered(blocks, merged.where("block IS NOT NULL").select("block", "slice", "answer"), "counted")
