@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import public_tokenizers
 import pytest
-from cases import ROWS, SF_DIR, empty, frame
+from cases import LONG, ROWS, SF_DIR, empty, frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -67,6 +67,14 @@ def test_cases(spark, by_word):
     assert [r[1] for r in got] == [sum(sizes[:k]) for k in range(len(sizes))]
 
 
+def test_many_steps_in_a_batch(spark):
+    rows = [(i, LONG) for i in range(40)]
+    files = write_token_files(frame(spark, rows).coalesce(1), PATH, end_id=1, by_word=True, vocabulary=49_408)
+    got = result(read_documents(spark, files))
+    size = len(ids_of(LONG))
+    assert [(r[0], r[1], r[2]) for r in got] == [(i, i * size, size) for i in range(40)]
+
+
 def test_empty(spark):
     files = write_token_files(empty(spark), PATH, end_id=1)
     assert files.manifest.count() == 0

@@ -179,7 +179,8 @@ def write_token_files(
     wide = vocabulary > 1 << 16
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next((b for b in steps(batches, "text")), None)
+        parts = steps(batches, "text")
+        first = next(parts, None)
         if first is None:
             return
         shard, own = TaskContext.get().partitionId(), uuid.uuid4().hex
@@ -190,7 +191,7 @@ def write_token_files(
         n_docs = 0
         with fs.open_output_stream(names["tokens"]) as sink, fs.open_output_stream(names["docs"]) as side:
             writer, index = _Writer(sink, length, batch_rows, wide), pa.ipc.new_file(side, index_schema)
-            for batch in chain([first], steps(batches, "text")):
+            for batch in chain([first], parts):
                 data, offsets = text_buffer(batch.column("text"))
                 raw, edges = data.tobytes(), offsets.tolist()
                 found = encoder.encode([raw[a:b] for a, b in zip(edges, edges[1:])])
