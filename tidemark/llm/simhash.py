@@ -210,4 +210,5 @@ def drop_near_duplicates(
     prints = cut(narrow.groupBy("fp").agg(first.alias("first")))
     roots = components_of(prints, radius, tile).join(prints, "fp")
     kept = cut(roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key)))
-    return rows.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Kept rows grow with the table: merged at every size, never broadcast.
+    return rows.join(kept.hint("merge"), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
