@@ -17,6 +17,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 from typing import NamedTuple
 
@@ -33,8 +34,9 @@ from tidemark.plans.durable import cut, ensure_checkpoint_dir
 
 #: Ids of a sequence, and sequences of a record batch.
 LENGTH, BATCH_ROWS = 2048, 256
-#: Words whose ids a task remembers.
-MEMO = 1 << 18
+#: Words whose ids a Python worker remembers (twice as many just before it forgets; a step may add its own), and words
+#: encoded in one text.
+MEMO, WORDS = 1 << 19, 256
 
 
 class TokenFiles(NamedTuple):
@@ -56,31 +58,55 @@ class Encoder:
 
     ``by_word`` remembers the ids of single words.  It is right for tokenizers that
     drop white space and split at it first, so that no token, and no step before
-    the split, reaches over ASCII white space.
+    the split, reaches over ASCII white space.  Words not met yet are encoded many
+    at a time, and the place where a token begins tells its word.  Words in use
+    stay remembered: of a full memo those asked for again are carried over.
     """
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str, by_word: bool, wide: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
-        self.memo: dict[bytes, list[int]] = {}
-
-    def _encode(self, texts: list[bytes]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [f.ids for f in found]
-
-    def encode(self, texts: list[bytes]) -> list[list[int]]:
+        self.kind = np.dtype("<u4" if wide else "<u2")
+        self.memo: dict[bytes, bytes] = {}
+        self.former: dict[bytes, bytes] = {}
+
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        groups = [words[k : k + WORDS] for k in range(0, len(words), WORDS)]
+        found = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, encoded in zip(groups, found):
+            starts = np.cumsum([0, *(len(w) + 1 for w in group)])
+            begins = np.fromiter((begin for begin, _ in encoded.offsets), np.int64, len(encoded))
+            raw = np.array(encoded.ids, self.kind).tobytes()
+            edges = (np.searchsorted(begins, starts) * self.kind.itemsize).tolist()
+            yield from (raw[a:b] for a, b in zip(edges, edges[1:]))
+
+    def pack(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, as little-endian integers laid end to end."""
         if not self.by_word:
-            return self._encode(texts)
+            found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [np.array(f.ids, self.kind).tobytes() for f in found]
+        if len(self.memo) > MEMO:
+            self.memo, self.former = {}, self.memo
         words = [t.split() for t in texts]  # bytes split at ASCII white space only
-        new = list(set(chain.from_iterable(words)).difference(self.memo))
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = list(set(chain.from_iterable(words)))
-        for k in range(0, len(new), 4096):
-            self.memo.update(zip(new[k : k + 4096], self._encode(new[k : k + 4096])))
-        return [list(chain.from_iterable(map(self.memo.__getitem__, w))) for w in words]
+        new = set(chain.from_iterable(words)).difference(self.memo)
+        known = {w: self.former[w] for w in new if w in self.former}
+        self.memo.update(known)
+        rest = list(new.difference(known))
+        for k in range(0, len(rest), 64 * WORDS):
+            part = rest[k : k + 64 * WORDS]
+            self.memo.update(zip(part, self._encode_words([w.decode() for w in part])))
+        return [b"".join(map(self.memo.__getitem__, w)) for w in words]
+
+    def encode(self, texts: list[bytes]) -> list[list[int]]:
+        return [np.frombuffer(ids, self.kind).tolist() for ids in self.pack(texts)]
+
+
+@cache
+def shared_encoder(path: str, by_word: bool, wide: bool) -> Encoder:
+    """One encoder for all tasks that a Python worker runs, one after the other."""
+    return Encoder(path, by_word, wide)
 
 
 class _Writer:
@@ -185,7 +211,8 @@ def write_token_files(
             return
         shard, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, root = filesystem(folder)
-        encoder = Encoder(tokenizer, by_word)
+        encoder = shared_encoder(tokenizer, by_word, wide)
+        end = np.array([end_id], encoder.kind).tobytes()
         names = {kind: f"{root}/.{own}-{kind}" for kind in ("tokens", "docs")}
         index_schema = pa.schema([("doc_id", first.schema.field("doc_id").type), ("n_tokens", pa.int64())])
         n_docs = 0
@@ -194,11 +221,9 @@ def write_token_files(
             for batch in chain([first], parts):
                 data, offsets = text_buffer(batch.column("text"))
                 raw, edges = data.tobytes(), offsets.tolist()
-                found = encoder.encode([raw[a:b] for a, b in zip(edges, edges[1:])])
-                for ids in found:
-                    ids.append(end_id)
-                    writer.add(np.array(ids, np.uint32))
-                sizes = pa.array([len(ids) for ids in found], pa.int64())
+                found = encoder.pack([raw[a:b] for a, b in zip(edges, edges[1:])])
+                writer.add(np.frombuffer(end.join([*found, b""]), encoder.kind))
+                sizes = pa.array([len(ids) // encoder.kind.itemsize + 1 for ids in found], pa.int64())
                 index.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes], schema=index_schema))
                 n_docs += batch.num_rows
             writer.flush(last=True)
