@@ -14,6 +14,8 @@ repeated task leaves no half file under the final name.
 from __future__ import annotations
 
 import os
+import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,6 +39,8 @@ LENGTH, BATCH_ROWS = 2048, 256
 #: Words whose ids a Python worker remembers (twice as many just before it forgets; a step may add its own), and words
 #: encoded in one text.
 MEMO, WORDS = 1 << 19, 256
+#: Latin letters that stay letters in lower case (one, U+0130, does not).
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]"
 
 
 class TokenFiles(NamedTuple):
@@ -57,10 +61,11 @@ class Encoder:
     """Whole texts to ids.
 
     ``by_word`` remembers the ids of single words.  It is right for tokenizers that
-    drop white space and split at it first, so that no token, and no step before
-    the split, reaches over ASCII white space.  Words not met yet are encoded many
-    at a time, and the place where a token begins tells its word.  Words in use
-    stay remembered: of a full memo those asked for again are carried over.
+    drop white space and split first at it, and between Latin letters and ASCII
+    punctuation other than an apostrophe, so that no token, and no step before the
+    split, reaches over these places.  Words not met yet lose such punctuation at
+    their end, which is looked up on its own, and are encoded many at a time.
+    Words in use stay remembered: of a full memo those asked for again are carried over.
     """
 
     def __init__(self, path: str, by_word: bool, wide: bool = True):
@@ -71,8 +76,32 @@ class Encoder:
         self.kind = np.dtype("<u4" if wide else "<u2")
         self.memo: dict[bytes, bytes] = {}
         self.former: dict[bytes, bytes] = {}
+        if by_word:
+            # A special token is matched before anything is split, so its characters end no word.
+            special = set("".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
+            tail = "".join(c for c in string.punctuation if c not in special and c != "'")
+            self.tailed = re.compile(f"({LETTERS}+)([{re.escape(tail)}]+)" if tail else "(?!)")
+            self.letters = re.compile(f"{LETTERS}+")
+            suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+
+    def _encode_letters(self, words: list[str]) -> Iterator[bytes]:
+        """Words of letters: each has an end mark at least, so as many marks as words are one for each."""
+        groups = [words[k : k + WORDS] for k in range(0, len(words), WORDS)]
+        found = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, encoded in zip(groups, found):
+            ids = np.array(encoded.ids, self.kind)
+            edges = np.flatnonzero(self.ends[ids]) + 1
+            if len(edges) != len(group) or edges[-1] != len(ids):
+                yield from self._encode_words(group)
+                continue
+            raw, edges = ids.tobytes(), (edges * self.kind.itemsize).tolist()
+            yield from (raw[a:b] for a, b in zip([0, *edges], edges))
 
     def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Any words; the place where a token begins tells its word."""
         groups = [words[k : k + WORDS] for k in range(0, len(words), WORDS)]
         found = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
         for group, encoded in zip(groups, found):
@@ -90,14 +119,26 @@ class Encoder:
         if len(self.memo) > MEMO:
             self.memo, self.former = {}, self.memo
         words = [t.split() for t in texts]  # bytes split at ASCII white space only
-        new = set(chain.from_iterable(words)).difference(self.memo)
+        new = self._unknown(set(chain.from_iterable(words)))
+        split = {w: m.groups() for w in new if (m := self.tailed.fullmatch(w.decode()))}
+        pieces = self._unknown({p.encode() for pair in split.values() for p in pair} | new.difference(split))
+        plain, other = [], []
+        for piece in map(bytes.decode, pieces):
+            (plain if self.letters.fullmatch(piece) else other).append(piece)
+        for encode, part in ((self._encode_letters, plain), (self._encode_words, other)):
+            for k in range(0, len(part), 64 * WORDS):
+                some = part[k : k + 64 * WORDS]
+                self.memo.update(zip(map(str.encode, some), encode(some)))
+        for word, (first, last) in split.items():
+            self.memo[word] = self.memo[first.encode()] + self.memo[last.encode()]
+        return [b"".join(map(self.memo.__getitem__, w)) for w in words]
+
+    def _unknown(self, words: set[bytes]) -> set[bytes]:
+        """The words to encode; those that only the former memo has come back."""
+        new = words.difference(self.memo)
         known = {w: self.former[w] for w in new if w in self.former}
         self.memo.update(known)
-        rest = list(new.difference(known))
-        for k in range(0, len(rest), 64 * WORDS):
-            part = rest[k : k + 64 * WORDS]
-            self.memo.update(zip(part, self._encode_words([w.decode() for w in part])))
-        return [b"".join(map(self.memo.__getitem__, w)) for w in words]
+        return new.difference(known)
 
     def encode(self, texts: list[bytes]) -> list[list[int]]:
         return [np.frombuffer(ids, self.kind).tolist() for ids in self.pack(texts)]
