@@ -137,6 +137,13 @@ def test_small_filter_holds_every_entry(spark):
     assert all(tight[i]["base_score"] == roomy[i]["base_score"] and tight[i]["n_known"] == 4 for i in tight)
 
 
+def test_groups_of_parts_score_alike(spark):
+    """What is broadcast at a time is bounded, and every entry keeps its bits."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").withColumn("held_out", F.col("doc_id") % 7 == 2)
+    one, many = (result(L.score_documents(docs, max_filter_bytes=most)) for most in (1 << 28, 1 << 13))
+    assert many == one
+
+
 def test_error_rate():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 20_000, dtype=np.uint64)

@@ -3,9 +3,10 @@
 Counts are gathered from all training documents and quantised to levels that grow
 by a fixed factor.  An n-gram of level ``q`` is entered once for each level up to
 ``q``; a reader probes level after level until one is missing, so it reads the
-right level or, by a false positive, a higher one.  The filter has a few bits for
-each entry, up to a bound that makes it safe to broadcast; beyond the bound
-nothing is left out, but more probes hit by chance (:func:`false_positive_rate`).
+right level or, by a false positive, a higher one.  The filter has the same number
+of bits for each entry at every size (:func:`false_positive_rate`).  Its parts are
+broadcast in groups of a bounded size, with a pass over the blocks for each group;
+the levels that a pass reads are joined back to the blocks, so texts stay put.
 
 A token's probability mixes the orders from the shortest history on.  How far an
 order is trusted depends on the level of the history's count; these weights are
@@ -33,7 +34,7 @@ MIN_COUNT = 2
 #: Levels grow by this factor.
 BASE = 1.4
 BITS_PER_ENTRY, PROBES = 10, 5
-#: Bound of what is broadcast.
+#: Bound of what is broadcast at a time.
 MAX_FILTER_BYTES = 256 << 20
 #: Weights that an order may get, and levels told apart.
 GRID = np.array([0, 0.01, 0.03, 0.1, 0.2, 0.4, 0.6, 0.8, 0.95])
@@ -59,9 +60,14 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, firsts_out
 
 
+def place_of(firsts: np.ndarray) -> np.ndarray:
+    """Number of each token in its text, from 0."""
+    return np.arange(firsts[-1]) - np.repeat(firsts[:-1], np.diff(firsts))
+
+
 def gram_keys(words: np.ndarray, firsts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order from 2: keys at every token, and where a text has that many tokens up to there."""
-    place = np.arange(len(words)) - np.repeat(firsts[:-1], np.diff(firsts))
+    place = place_of(firsts)
     out, key = [], words
     with np.errstate(over="ignore"):
         for n in range(2, order + 1):
@@ -122,45 +128,43 @@ class Filter(NamedTuple):
 
 
 class Model(NamedTuple):
-    """What a task needs beside the filter: training tokens, distinct ones, and the weights by order and level."""
+    """What a task needs beside the levels: training tokens, distinct ones, the weights by order and level, and the least count of longer n-grams."""
 
     tokens: int
     distinct: int
     mixing: np.ndarray
+    min_count: int
 
     def orders(
-        self, filter_: Filter, distinct: np.ndarray, inverse: np.ndarray, firsts: np.ndarray, left_out: bool = False
+        self, levels: np.ndarray, firsts: np.ndarray, left_out: bool = False
     ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """``(order, known, level, share, lower)`` at every token, from order 2 on, and at last order 0 with the probability as ``lower``.
 
         ``known``: the history was seen; ``level``: that of its count; ``share``: how
         often this token followed it; ``lower``: the probability after the next
         shorter history.  ``left_out`` takes the token itself out of all counts.
-        The tokens are ``distinct[inverse]``.
+        ``levels`` has a row for each order and a column for each token.
         """
         own = 1 if left_out else 0
-        words, level = distinct[inverse], filter_.levels(distinct, 1)[inverse]
+        place, level = place_of(firsts), levels[0]
         lower = (np.maximum(count_of(level, 1) - own, 0) + 1) / (self.tokens - own + self.distinct + 1)
         least = 1
-        for n, (keys, valid) in enumerate(gram_keys(words, firsts, len(self.mixing) + 1), start=2):
+        for n in range(2, len(self.mixing) + 2):
             before = np.concatenate((np.zeros(1, np.int64), level[:-1]))
             times = np.maximum(count_of(before, least) - own, 0)
             # An n-gram can only be there if its history is.
-            known = valid & (times > 0)
-            level, least = np.zeros(len(words), np.int64), filter_.min_count
-            level[known] = filter_.levels(keys[known], n)
+            known = (place >= n - 1) & (times > 0)
+            level, least = np.where(known, levels[n - 1], 0), self.min_count
             seen = np.minimum(np.maximum(count_of(level, least) - own, 0), times)
-            share = np.divide(seen, times, out=np.zeros(len(words)), where=known)
+            share = np.divide(seen, times, out=np.zeros(len(place)), where=known)
             yield n, known, before, share, lower
             weight = self.mixing[n - 2][before]
             lower = np.where(known, weight * share + (1 - weight) * lower, lower)
         yield 0, level, level, lower, lower
 
-    def log_probabilities(
-        self, filter_: Filter, distinct: np.ndarray, inverse: np.ndarray, firsts: np.ndarray
-    ) -> np.ndarray:
+    def log_probabilities(self, levels: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """log10 probability of each token after its history in its text."""
-        for *_, lower in self.orders(filter_, distinct, inverse, firsts):
+        for *_, lower in self.orders(levels, firsts):
             pass
         return np.log10(lower)
 
@@ -260,29 +264,77 @@ def part_words(entries: int, bits_per_entry: float) -> int:
     return -(-int(entries * bits_per_entry + 1) // 64) if entries else 0
 
 
-def build_filter(merged: DataFrame, slices: int, order: int, min_count: int, max_filter_bytes: int) -> tuple[Filter, int, int]:
-    """The filter from :func:`_merge`'s rows, and the numbers of training tokens and of distinct ones.
+def filters(merged: DataFrame, slices: int, order: int, min_count: int, max_filter_bytes: int) -> Iterator[Filter]:
+    """The filter from :func:`_merge`'s rows, in groups of parts of ``max_filter_bytes`` at most, or one part.
 
-    The driver gets the finished bits, ``max_filter_bytes`` at most.
+    The driver holds the bits of one group.
     """
-    parts = merged.where("block IS NULL")
-    total, n_tokens, n_distinct, n_parts = parts.agg(
-        F.sum("n_entries"), F.sum("n_tokens"), F.sum("n_distinct"), F.count(F.lit(1))
-    ).first()
-    total, n_parts = total or 0, n_parts or 0
-    room = 8 * max(8, max_filter_bytes - 8 * n_parts)
-    per_entry = min(BITS_PER_ENTRY, room / max(total, 1))
-    filled = parts.where("n_entries > 0").select("order", "slice", "keys", "levels", "n_entries")
-    bits: dict[int, bytes] = {}
-    for row in filled.mapInArrow(_fill(per_entry), "order int, slice int, bits binary").toLocalIterator():
-        bits[(row["order"] - 1) * slices + row["slice"]] = row["bits"]
-    sizes = np.array([len(bits.get(i, b"")) // 8 for i in range(order * slices)], np.uint64)
-    bases = np.cumsum(sizes) - sizes
-    flat = np.frombuffer(b"".join(bits[i] for i in sorted(bits)), np.uint64)
-    return Filter(flat, bases, sizes, slices, min_count), n_tokens or 0, n_distinct or 0
-
-
-def _weigh(shared, model: Model):
+    number = (F.col("order") - 1) * slices + F.col("slice")
+    entered = merged.where("block IS NULL AND n_entries > 0").withColumn("part", number)
+    # One row for each order and slice.
+    bytes_of = {r["part"]: 8 * part_words(r["n_entries"], BITS_PER_ENTRY) for r in entered.select("part", "n_entries").collect()}
+    filled = cut(
+        entered.select("order", "slice", "keys", "levels", "n_entries")
+        .mapInArrow(_fill(BITS_PER_ENTRY), "order int, slice int, bits binary")
+        .withColumn("part", number)
+    )
+    groups: list[list[int]] = []
+    held = 0
+    for part, size in sorted(bytes_of.items()):
+        if not groups or held + size > max_filter_bytes:
+            groups.append([])
+            held = 0
+        groups[-1].append(part)
+        held += size
+    for group in groups:
+        own = filled.where(F.col("part").between(group[0], group[-1])).select("part", "bits")
+        bits = {row["part"]: row["bits"] for row in own.toLocalIterator()}
+        sizes = np.array([len(bits.get(i, b"")) // 8 for i in range(order * slices)], np.uint64)
+        yield Filter(np.frombuffer(b"".join(bits[i] for i in group), np.uint64), np.cumsum(sizes) - sizes, sizes, slices, min_count)
+
+
+def _levels(shared, order: int, group: int):
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Levels of every n-gram in one group of parts, by order and token; 0 for those of other groups."""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words, firsts = tokens(*B.texts_of(batch, k))
+                distinct, inverse = np.unique(words, return_inverse=True)
+                out = np.zeros((order, len(words)), np.uint8)
+                out[0] = shared.value.levels(distinct, 1)[inverse]
+                for n, (keys, valid) in enumerate(gram_keys(words, firsts, order), start=2):
+                    out[n - 1, valid] = shared.value.levels(keys[valid], n)
+                yield _rows([(batch.column("block")[k].as_py(), group, B.pack(out.reshape(-1)))], _LEVELS)
+
+    return levels
+
+
+_LEVELS = "block long, slice int, answer binary"
+
+
+def levelled(blocks: DataFrame, merged: DataFrame, slices: int, order: int, min_count: int, max_filter_bytes: int) -> DataFrame:
+    """``blocks`` with ``levels``, the answers of a pass for each group of parts."""
+    answers = None
+    for group, filter_ in enumerate(filters(merged, slices, order, min_count, max_filter_bytes)):
+        shared = blocks.sparkSession.sparkContext.broadcast(filter_)
+        # Written, so that the group's bits can go.
+        own = cut(blocks.select("block", "offsets", "text").mapInArrow(_levels(shared, order, group), _LEVELS))
+        shared.destroy()
+        answers = own if answers is None else answers.unionByName(own)
+    if answers is None:
+        answers = blocks.sparkSession.createDataFrame([], _LEVELS)
+    return B.answered(blocks, answers, "levels")
+
+
+def levels_at(batch: pa.RecordBatch, k: int, order: int, count: int) -> np.ndarray:
+    """Levels by order and token of block row ``k``; an n-gram has its level from one group at most."""
+    out = np.zeros(order * count, np.uint8)
+    for answer in B.answers_of(batch, "levels", k):
+        out += B.unpack(answer)
+    return out.reshape(order, count).astype(np.int64)
+
+
+def _weigh(model: Model):
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Log-likelihood of left-out training tokens by order, level of the history and weight.
 
@@ -293,9 +345,9 @@ def _weigh(shared, model: Model):
                 words, firsts = tokens(*B.texts_of(batch, k))
                 held = batch.column("held_out")[k].values.to_numpy(zero_copy_only=False).astype(bool)
                 training = ~np.repeat(held, np.diff(firsts))
-                distinct, inverse = np.unique(words, return_inverse=True)
+                levels = levels_at(batch, k, len(model.mixing) + 1, len(words))
                 rows = []
-                for n, known, level, share, lower in model.orders(shared.value, distinct, inverse, firsts, left_out=True):
+                for n, known, level, share, lower in model.orders(levels, firsts, left_out=True):
                     if not n:
                         break
                     unseen = np.bincount(level[known & training & (share == 0)], minlength=LEVELS)
@@ -310,10 +362,10 @@ def _weigh(shared, model: Model):
     return weigh
 
 
-def mixing_weights(blocks: DataFrame, shared, model: Model) -> Model:
+def mixing_weights(blocks: DataFrame, model: Model) -> Model:
     """The model with the likeliest weight for each order and level; the model's own weights stand for shorter orders."""
-    sums = blocks.select("offsets", "text", "held_out").mapInArrow(
-        _weigh(shared, model), "order long, level long, grid long, sum double"
+    sums = blocks.select("offsets", "text", "held_out", "levels").mapInArrow(
+        _weigh(model), "order long, level long, grid long, sum double"
     )
     best: dict[tuple[int, int], tuple[float, int]] = {}
     # At most orders * LEVELS * len(GRID) rows; a weight of 0 has the sum 0.
@@ -328,7 +380,7 @@ def mixing_weights(blocks: DataFrame, shared, model: Model) -> Model:
     return model._replace(mixing=mixing)
 
 
-def _score(shared, model: Model):
+def _score(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = model.tokens, model.distinct
         for batch in batches:
@@ -339,7 +391,7 @@ def _score(shared, model: Model):
                 counts = np.concatenate([B.unpack(a) for a in answers])[inverse] if len(keys) else np.zeros(0)
                 base = np.add.reduceat(np.log10((counts + 1) / (n + v + 1)), firsts[:-1])
                 known = np.add.reduceat((counts > 0).astype(np.int64), firsts[:-1])
-                own = np.add.reduceat(model.log_probabilities(shared.value, keys, inverse, firsts), firsts[:-1])
+                own = np.add.reduceat(model.log_probabilities(levels_at(batch, k, len(model.mixing) + 1, len(words)), firsts), firsts[:-1])
                 sizes = np.diff(firsts)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -390,15 +442,15 @@ def score_documents(
     slices = 1 << max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     asked = blocks.mapInArrow(_ask(order, slices), _ASKED)
     merged = cut(asked.groupBy("order", "slice").applyInArrow(_merge(min_count), _MERGED))
-    filter_, n_tokens, n_distinct = build_filter(merged, slices, order, min_count, max_filter_bytes)
-    shared = spark.sparkContext.broadcast(filter_)
+    n_tokens, n_distinct = (n or 0 for n in merged.where("block IS NULL").agg(F.sum("n_tokens"), F.sum("n_distinct")).first())
+    probed = levelled(blocks, merged, slices, order, min_count, max_filter_bytes)
     if mixing is None:
-        model = mixing_weights(blocks, shared, Model(n_tokens, n_distinct, np.full((order - 1, LEVELS), MEANWHILE)))
+        model = mixing_weights(probed, Model(n_tokens, n_distinct, np.full((order - 1, LEVELS), MEANWHILE), min_count))
     else:
-        model = Model(n_tokens, n_distinct, np.asarray(mixing, float))
-    counted = B.answered(blocks, merged.where("block IS NOT NULL").select("block", "slice", "answer"), "counted")
+        model = Model(n_tokens, n_distinct, np.asarray(mixing, float), min_count)
+    counted = B.answered(probed, merged.where("block IS NOT NULL").select("block", "slice", "answer"), "counted")
     kind = docs.schema[doc_id].dataType.simpleString()
     return counted.mapInArrow(
-        _score(shared, model),
+        _score(model),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
