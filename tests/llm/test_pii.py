@@ -160,3 +160,33 @@ def test_no_python_on_the_executors(spark):
     docs = frame(spark, list(enumerate(TEXTS)))
     plan = P.find_personal_data(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def planted():
+    """``(text, personal)``: known spans, and numbers of unknown truth that are or are not personal."""
+    rng = np.random.default_rng(7)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    phone = lambda: f"0{digits(2)} {digits(3)} {digits(4)}"
+    address = lambda first: ":".join([first, *(f"{v:x}" for v in rng.integers(4096, 65536, 7))])
+    out = []
+    for i in range(400):
+        out.append((f"call +1 {digits(3)} {digits(3)} {digits(4)} or mail u{i}@x.org, host 233.254.104.{i % 250}", None))
+        out.append((f"commit ede43f42c939b{digits(10)}c7 of 2024-01-1{i % 10} 12:30, order 7{digits(9)}", False))
+        out.append((f"at 10:{i % 60:02d}:11:{i % 24:02d} the device 0a:1b:2c:3d:4e:{i % 90 + 10} sent 9{digits(9)} bytes", False))
+        out.append((f"please call {phone()} today", True))
+        out.append((f"from {address('2001')} again", True))
+    return out
+
+
+def test_unknown_candidates(spark):
+    """Numbers that pass a check are rejected by what is around them, and others are found."""
+    texts = planted()
+    out = {r["doc_id"]: r for r in P.find_personal_data(frame(spark, [(i, t) for i, (t, _) in enumerate(texts)])).collect()}
+    for i, (text, personal) in enumerate(texts):
+        spans = [s for s in out[i]["spans"].split(",") if s]
+        if personal is None:
+            assert spans == list(filter(None, digest(brute(text)).split(","))), text
+    found = {p: [bool(out[i]["spans"]) for i, (_, own) in enumerate(texts) if own == p] for p in (True, False)}
+    right, wrong = sum(found[True]), sum(found[False])
+    assert right >= 0.95 * len(found[True]), right
+    assert wrong <= 0.02 * (right + wrong), wrong

@@ -3,10 +3,16 @@
 Base spans follow four patterns with their checks.  Generators then propose many
 more, overlapping ones: whatever looks like a number, an address of a machine or
 a mail address, also in disguise.  Each candidate has a few small features of its
-format and context.  Where the truth of a candidate is known (it meets a base
-span, or a check refutes it), its features are counted; boosted trees are grown
-from that table of counts and calibrated, and the lowest score that is precise
-enough accepts candidates whose truth is not known.
+format and context.  Where the truth of a candidate is known, its features are
+counted; boosted trees are grown from that table of counts and calibrated, and the
+lowest score that is precise enough accepts candidates whose truth is not known.
+
+A candidate is known to be one if it meets a base span of its kind or is a whole
+IPv6 address of an assigned range.  It is known to be none if its check fails, and
+also where it passes the check: in a hash or an identifier, in a date, or after a
+word that announces a number of another sort.  What meets a base span of another
+kind only is no candidate.  A phone number's plus and length, which tell the known
+from the unknown, are no features.
 
 Scanning, counting and scoring are DataFrame expressions.  The table of counts has
 a row for each combination of features at most, however many texts there are.
@@ -46,7 +52,19 @@ LOOSE_IP = r"(?<![0-9A-Fa-f:.])(?:[0-9]++(?:[.,][0-9]++){3}+|(?:[0-9A-Fa-f]{1,4}
 LOOSE_NUMBER = r"(?<![0-9])\+?[(]?[0-9](?:[ ().-]{0,2}[0-9]){6,}+"
 WORDS_BEFORE = "(?:tel|phone|call|fon|fax|mobil|card|visa|karte|carte|tarjeta|mail|contact|ip|host|server)[^a-z]*$"
 
-FEATURES = ("kind", "digits", "marks", "plus", "check", "left", "right", "word")
+#: What is announced here is a number, but nobody's.
+ID_BEFORE = "(?:^|[^a-z])(?:ids?|order|bestellung|invoice|rechnung|ref|reference|ticket|isbn|issn|sku|serial|version|commit|no|nr|number|#)[^a-z0-9]{0,3}$"
+#: A year, month and day in either order at the start of a number.
+DATE = (
+    r"^(?:(?:19|20)[0-9]{2}([-. ]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?![0-9]{1,3}$)"
+    r"|(?:0?[1-9]|[12][0-9]|3[01])([-.])(?:0?[1-9]|1[0-2])\2(?:19|20)[0-9]{2}(?![0-9]))"
+)
+#: Eight groups; those that are assigned to hosts, but for runs of bytes.
+IPV6 = "^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"
+IPV6_ASSIGNED = "^(?:[23][0-9A-Fa-f]{3}|[fF][cdCD][0-9A-Fa-f]{2}|[fF][eE]80):"
+
+#: Kind 4 is an address in hexadecimal groups.
+FEATURES = ("kind", "check", "digits", "marks", "left", "right", "word")
 #: Precision on known candidates that an accepted score must have.
 PRECISION = 0.98
 TREES, RATE, LEAST_CURVATURE = 20, 0.3, 5.0
@@ -126,62 +144,83 @@ def _proposed(text: Column) -> Column:
     )
 
 
+def _before(text: Column, x: Column) -> Column:
+    """Up to 24 characters before a candidate, in lower case."""
+    start = F.greatest(x["s"] - 24, F.lit(0))
+    return F.lower(F.substring(text, start + 1, x["s"] - start))
+
+
+def _hex_groups(x: Column) -> Column:
+    return (x["kind"] == 1) & F.contains(x["t"], F.lit(":"))
+
+
+def _passes(x: Column) -> Column:
+    """Whether the check of a candidate's kind holds."""
+    t, kind = x["t"], x["kind"]
+    return (
+        F.when(_hex_groups(x), t.rlike(IPV6))
+        .when(kind == 1, t.rlike(rf"^{PART}(?:[.,]{PART}){{3}}$"))
+        .when(kind == 2, _is_card(t))
+        .when(kind == 3, F.length(digits_of(t)).between(9, 15))
+        .otherwise(t.rlike(r"[A-Za-z]{2,}[\])]?$"))
+    )
+
+
 def _features(text: Column, x: Column) -> list[Column]:
     """Small integers, one for each of :data:`FEATURES`."""
-    t, kind = x["t"], x["kind"]
-    digits = digits_of(t)
-    count = F.length(digits)
+    t = x["t"]
+    count = F.length(digits_of(t))
     bucket = lambda *bounds: sum(((count >= b).cast("int") for b in bounds), F.lit(0))
     before = F.when(x["s"] > 0, F.substring(text, x["s"], F.lit(1))).otherwise(F.lit(" "))
     after = F.substring(text, x["e"] + 1, F.lit(1))
     side = lambda c: F.when(c.rlike(r"^\p{Alnum}$"), 2).when(c.rlike(r"^\S$"), 1).otherwise(0)
     marks = t.rlike(" ").cast("int") + 2 * t.rlike("[-.]").cast("int") + 4 * t.rlike(r"[(\[]").cast("int")
-    check = (
-        F.when(kind == 0, t.rlike(r"[A-Za-z]{2,}[\])]?$"))
-        .when(kind == 1, t.rlike(rf"^{PART}(?:[.,]{PART}){{3}}$"))
-        .when(kind == 2, _is_card(t))
-        .otherwise(count.between(9, 15))
-    )
-    start = F.greatest(x["s"] - 24, F.lit(0))
-    near = F.lower(F.substring(text, start + 1, x["s"] - start))
     return [
-        kind,
-        bucket(7, 9, 11, 12, 13, 16, 17, 20),
+        F.when(_hex_groups(x), 4).otherwise(x["kind"]),
+        _passes(x).cast("int"),
+        bucket(7, 9, 13, 16, 17, 20),  # known phone numbers have a country code, so their length decides no more than the plus
         marks,
-        t.startswith("+").cast("int"),
-        check.cast("int"),
         side(before),
         side(after),
-        near.rlike(WORDS_BEFORE).cast("int"),
+        _before(text, x).rlike(WORDS_BEFORE).cast("int"),
     ]
 
 
+def _in_token(text: Column, x: Column) -> Column:
+    """Whether a number is a piece of a hash or an identifier: what is glued to it has digits, or hexadecimal letters only."""
+    glued = lambda c: c.rlike("[0-9]") | c.rlike("^[_-]*[a-f][a-f_-]*$")
+    left = F.regexp_extract(_before(text, x), "[a-z0-9_-]+$", 0)
+    right = F.regexp_extract(F.lower(F.substring(text, x["e"] + 1, F.lit(24))), "^[a-z0-9_-]+", 0)
+    return glued(left) | (glued(right) & ~right.rlike("^(?:x|ext)[0-9]{1,6}$"))
+
+
 def _candidates(text: Column, base: Column) -> Column:
-    """Candidates ``(kind, s, e, known, features)``.
+    """Candidates ``(kind, s, e, met, foreign, known, features)``, without those that meet a base span of another kind only.
 
-    ``known`` is 1 if a base span of the kind is met, 0 if a check refutes the
-    candidate, else null.  Candidates inside a base span of their kind are met.
+    ``met``: a base span of the kind is met, so the candidate adds none.  ``known``
+    is 1 or 0 where the truth is known, else null.
     """
 
     def one(x: Column) -> Column:
         kind, t = x["kind"], x["t"]
-        met = F.lit(False)
+        met, foreign = F.lit(False), F.lit(False)
         for k, name in enumerate(KINDS):
             touches = F.exists(base[name], lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-            met = F.when(kind == k, touches).otherwise(met)
-        count = F.length(digits_of(t))
-        refuted = (
-            F.when(kind == 1, t.rlike("^[0-9.,]+$") & ~t.rlike(rf"^{PART}(?:[.,]{PART}){{3}}$"))
-            .when(kind == 2, ~_is_card(t))
-            .when(kind == 3, ~count.between(9, 15))
-            .otherwise(~t.rlike(r"[A-Za-z]{2,}[\])]?$"))
-        )
-        known = F.when(met, 1).when(refuted, 0)
+            met, foreign = F.when(kind == k, touches).otherwise(met), foreign | ((kind != k) & touches)
+        other = (kind >= 2) & (_in_token(text, x) | t.rlike(DATE) | _before(text, x).rlike(ID_BEFORE))
+        assigned = _hex_groups(x) & t.rlike(IPV6) & t.rlike(IPV6_ASSIGNED)
+        known = F.when(met, 1).when(~_passes(x) | other, 0).when(assigned, 1)
         return F.struct(
-            kind.alias("kind"), x["s"].alias("s"), x["e"].alias("e"), known.alias("known"), F.array(*_features(text, x)).alias("f")
+            kind.alias("kind"),
+            x["s"].alias("s"),
+            x["e"].alias("e"),
+            met.alias("met"),
+            (foreign & ~met).alias("foreign"),
+            known.alias("known"),
+            F.array(*_features(text, x)).alias("f"),
         )
 
-    return F.transform(_proposed(text), one)
+    return F.filter(F.transform(_proposed(text), one), lambda x: ~x["foreign"])
 
 
 class Trees(NamedTuple):
@@ -275,8 +314,9 @@ def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, str]:
 
 
 def accepted(trees: Trees, candidates: Column) -> Column:
-    """Candidates of unknown truth whose score reaches the threshold, as ``(kind, s, e)``."""
-    chosen = F.filter(candidates, lambda x: x["known"].isNull() & (trees.score(x["f"]) >= float(trees.threshold)))
+    """Candidates beside the base spans that are known, or unknown and reach the threshold, as ``(kind, s, e)``."""
+    precise = lambda x: x["known"].isNull() & (trees.score(x["f"]) >= float(trees.threshold))
+    chosen = F.filter(candidates, lambda x: ~x["met"] & (F.coalesce(x["known"] == 1, F.lit(False)) | precise(x)))
     return F.transform(chosen, lambda x: F.struct(x["kind"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
 
 
