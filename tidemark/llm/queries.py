@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom_lm, decontamination, image_copies, licenses, packing, pii, simhash, substring_dedup, token_files, toxicity
+from tidemark.llm import bloom_lm, bpe, decontamination, image_copies, licenses, packing, pii, simhash, substring_dedup, token_files, toxicity
 from tidemark.llm.rows import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,14 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer), tokenizer)
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": toxicity_scores,
     "op2_license_scan": license_scan,
@@ -77,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_bloom_language_model": language_model_scores,
     "op9_simhash_near_duplicates": simhash_components,
     "op10_best_fit_packing": best_fit_packing,
+    "op12_token_ids": token_ids,
 }
 
 #: Words of whole texts, in SQL.
