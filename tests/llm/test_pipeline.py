@@ -35,7 +35,7 @@ def test_sql(spark, con, name):
 
 def test_registered():
     names = entry_module.queries()
-    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in names
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom_lm, bpe, decontamination, image_copies, licenses, packing, pii, simhash, substring_dedup, token_files, toxicity
+from tidemark.llm import bloom_lm, bpe, decontamination, image_copies, lexical_search, licenses, packing, pii, simhash, substring_dedup, token_files, toxicity
 from tidemark.llm.rows import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,10 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": toxicity_scores,
     "op2_license_scan": license_scan,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash_near_duplicates": simhash_components,
     "op10_best_fit_packing": best_fit_packing,
     "op12_token_ids": token_ids,
+    "op13_ranked_search": ranked_search,
 }
 
 #: Words of whole texts, in SQL.
@@ -129,8 +134,28 @@ def _decontamination_oracle(size: int) -> str:
     FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def _search_oracle(k: int) -> str:
+    return f"""
+    WITH d AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n
+               FROM (SELECT doc_id, {_ALNUM.format(_LOWER.format("text"))} AS w FROM documents) WHERE len(w) > 0),
+    size AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS terms FROM d),
+    i AS (SELECT item_id, term, count(*) AS times
+          FROM (SELECT item_id, unnest({_ALNUM.format(_LOWER.format("text"))}) AS term FROM benchmark) GROUP BY ALL),
+    tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d)
+           WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+    weight AS (SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+               FROM tf, size GROUP BY term, documents),
+    scored AS (SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf)
+                   // (1000 * tf + 8 * (100 - 75 + (75 * n * documents) // size.terms)))) AS BIGINT) AS score
+               FROM tf JOIN weight USING (term) JOIN i USING (term), size GROUP BY item_id, doc_id),
+    ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+                      doc_id, score FROM scored WHERE score > 0)
+    SELECT * FROM ranked WHERE rank <= {k}"""
+
+
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": _substring_oracle(substring_dedup.WINDOW),
     "op6_benchmark_decontamination": _decontamination_oracle(decontamination.WINDOW),
     "op2_license_scan": licenses.oracle(),
+    "op13_ranked_search": _search_oracle(lexical_search.K),
 }
