@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom_lm, bpe, decontamination, image_copies, lexical_search, licenses, packing, pii, simhash, substring_dedup, token_files, toxicity
+from tidemark.llm import bloom_lm, bpe, conversation_repair, decontamination, image_copies, lexical_search, licenses, packing, pii, simhash, substring_dedup, token_files, toxicity
 from tidemark.llm.rows import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def conversation_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audit_of_damaged(table(spark, sf_dir, "conversations"))
+
+
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     decoded = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer), tokenizer)
@@ -89,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_bloom_language_model": language_model_scores,
     "op9_simhash_near_duplicates": simhash_components,
     "op10_best_fit_packing": best_fit_packing,
+    "op11_conversation_repair": conversation_repairs,
     "op12_token_ids": token_ids,
     "op13_ranked_search": ranked_search,
 }
@@ -157,5 +162,6 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": _substring_oracle(substring_dedup.WINDOW),
     "op6_benchmark_decontamination": _decontamination_oracle(decontamination.WINDOW),
     "op2_license_scan": licenses.oracle(),
+    "op11_conversation_repair": conversation_repair.ORACLE,
     "op13_ranked_search": _search_oracle(lexical_search.K),
 }
