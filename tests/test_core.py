@@ -388,3 +388,50 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     folder = durable.ensure_checkpoint_dir(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert folder and (configured is None or configured.rstrip("/") in folder)
+
+
+def test_hot_post_in_every_join(spark):
+    """A third of all likes on one post, a third in one user's day: core joins and positions against brute force."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(3000):
+        user = "hot" if i % 3 == 1 else f"u{rng.randrange(40)}"
+        post = "viral" if i % 3 == 0 else f"p{rng.randrange(60)}"
+        hours = 0 if user == "hot" else rng.randrange(200)
+        rows.append((user, post, datetime(2024, 1, 3) + timedelta(hours=hours, seconds=i)))
+    likes = spark.createDataFrame(rows, "did string, subject_uri string, record_created_at timestamp").repartition(7)
+    placed = {(r.did, r.subject_uri, r.record_created_at): r.like_order for r in likes_ops.like_positions(likes).collect()}
+    by_user = {}
+    for user, post, when in sorted(rows, key=lambda r: (r[2], r[1])):
+        by_user.setdefault(user, []).append((user, post, when))
+    assert placed == {r: k for found in by_user.values() for k, r in enumerate(found, 1)}
+
+    hourly = likes.withColumn(N.HOUR, F.date_trunc("hour", N.TS))
+    prior = hourly.groupBy(N.ITEM, F.col(N.HOUR).alias("target_hour")).agg(F.count("*").alias(N.PRIOR)).where("subject_uri != 'p1'")
+    known = {(r[0], r[1]): r[2] for r in prior.collect()}
+    got = popularity.with_prior_on_likes(hourly, prior).collect()
+    assert len(got) == len(rows)
+    assert all(r[N.PRIOR] == known.get((r[N.ITEM], r[N.HOUR]), 0) for r in got)
+    posts = spark.createDataFrame([(p,) for p in {r[1] for r in rows} if p != "p2"], "at_uri string")
+    kept = likes_ops.reverify(likes, posts, 0)
+    assert kept.count() == sum(r[1] != "p2" for r in rows)
+
+
+@pytest.mark.parametrize("max_prior", [1, 3, 40, 5000])
+def test_prior_items_against_brute_force(spark, max_prior):
+    """One user with a third of the likes, hours of more likes than the cap, ties in time."""
+    rng = random.Random(max_prior)
+    rows = []
+    for i in range(1500):
+        user = "hot" if i % 3 == 0 else f"u{rng.randrange(20)}"
+        when = datetime(2024, 1, 3, rng.randrange(24), rng.choice([0, 0, rng.randrange(60)]))
+        rows.append((user, when.replace(minute=0), when, rng.choice([None, i])))
+    likes = spark.createDataFrame(rows, f"did string, {N.HOUR} timestamp, {N.TS} timestamp, {N.EMB} long").repartition(5)
+    prior = history.prior_items(likes, max_prior)
+    got = {(r.did, r[N.HOUR]): (r.raw_prior_count, [(e[N.TS], e[N.EMB]) for e in r.prior]) for r in prior.collect()}
+    want = {}
+    for user, hour in {(r[0], r[1]) for r in rows}:
+        earlier = [(r[2], r[3]) for r in rows if r[0] == user and r[1] < hour]
+        earlier.sort(key=lambda e: (e[0], e[1] is not None, e[1] or 0), reverse=True)
+        want[(user, hour)] = (len(earlier), earlier[:max_prior])
+    assert got == want

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import seeded_hash
 from tidemark.plans import ordered
 from tidemark.plans.asof import asof_backward
-from tidemark.plans.spread import semi_join_spread
+from tidemark.plans.spread import heavy_keys, semi_join_spread, spread_join
 from tidemark.plans.sizes import broadcast_if_bounded
 from tidemark.plans.topn import one_per_key, salt_of, top_n_per_group
 
@@ -26,23 +26,27 @@ def skewed(spark):
     return spark.createDataFrame(frame).cache(), frame
 
 
-def test_split_points_are_bounded_and_sorted(skewed):
-    df, _ = skewed
-    points = ordered.split_points(df, ["x", "id"], parts=16)
-    assert 0 < len(points) < 16
-    assert points == sorted(points)
+@pytest.fixture
+def whole_parts(spark):
+    """Small parts stay apart, as those of large tables do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_range_bucket_never_falls_along_the_order(skewed):
-    df, _ = skewed
-    points = ordered.split_points(df, ["x", "id"], parts=16)
-    rows = df.withColumn("b", ordered.range_bucket(df, ["x", "id"], points)).toPandas().sort_values(["x", "id"])
-    assert rows["b"].is_monotonic_increasing
-    assert rows["b"].nunique() == len(points) + 1
+def part(column=ordered.PLACE):
+    return F.shiftright(column, ordered.PLACE_BITS)
+
+
+def test_ranged_places_follow_the_order(skewed, whole_parts):
+    df, frame = skewed
+    rows = ordered.ranged(df, ["x", "id"]).orderBy(ordered.PLACE).select("x", "id", part().alias("p")).toPandas()
+    assert rows["id"].tolist() == frame.sort_values(["x", "id"])["id"].tolist()
+    assert rows["p"].is_monotonic_increasing and rows["p"].nunique() > 4
 
 
 @pytest.mark.parametrize("keys", [[], ["key"]])
-def test_running_before_matches_brute_force(skewed, keys):
+def test_running_before_matches_brute_force(skewed, keys, whole_parts):
     df, frame = skewed
     out = ordered.running_before(
         df, keys, ["x", "id"], {"position": F.lit(1).cast("long"), "total": F.col("x")}
@@ -56,11 +60,23 @@ def test_running_before_matches_brute_force(skewed, keys):
     assert np.allclose(out["total"], want["total"])
 
 
-def test_hot_key_is_spread_over_buckets(skewed):
+def test_hot_key_alone_is_cut(skewed, whole_parts):
+    """A key with a third of the rows lies in several parts; pieces are as many as keys and cuts."""
     df, _ = skewed
-    points = ordered.split_points(df, ["x", "id"])
-    hot = df.where("key = 'hot'").groupBy(ordered.range_bucket(df, ["x", "id"], points).alias("b")).count().toPandas()
-    assert hot["count"].max() < 2000 * 0.1
+    pieces = ordered.ranged(df, ["key", "x", "id"]).groupBy("key", part().alias("p")).count().toPandas()
+    hot = pieces[pieces["key"] == "hot"]
+    assert len(hot) > 2 and hot["count"].max() < 2000 * 0.6
+    assert len(pieces) <= pieces["key"].nunique() + 8
+
+
+def test_one_exchange_and_no_tree(skewed):
+    """Global positions: the plan that writes has one range exchange, the one that reads compares nothing."""
+    df, _ = skewed
+    placed = df.repartitionByRange("x", "id").sortWithinPartitions("x", "id").withColumn("p", F.monotonically_increasing_id())
+    text = placed._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "rangepartitioning" in text
+    text = ordered.with_position(df, [], ["x", "id"])._jdf.queryExecution().executedPlan().toString()
+    assert "CASE" not in text and "rangepartitioning" not in text
 
 
 def test_positions_survive_an_input_hashed_on_the_key(skewed):
@@ -85,16 +101,6 @@ def test_a_table_of_nulls_alone(spark):
     assert got == {i: i for i in range(50)}
 
 
-def test_more_parts_with_a_larger_setting(spark, skewed):
-    df, _ = skewed
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "200")
-    try:
-        assert 100 < len(ordered.split_points(df, ["x", "id"])) < 200
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
 @pytest.mark.parametrize("n", [0, 1, 137, 6000, 9000])
 def test_first_by_hash_takes_exactly_n(skewed, n):
     df, frame = skewed
@@ -104,6 +110,14 @@ def test_first_by_hash_takes_exactly_n(skewed, n):
     assert sorted(got["id"]) == sorted(want["id"])
 
 
+def test_first_by_hash_of_groups(skewed):
+    df, _ = skewed
+    hashed = df.withColumn("h", seeded_hash(1, "t", "id")).withColumn("g", F.col("id") % 3)
+    got = ordered.first_by_hash(hashed, 50, "h", ["id"], ["g"]).toPandas()
+    want = hashed.toPandas().sort_values(["h", "id"]).groupby("g").head(50)
+    assert sorted(got["id"]) == sorted(want["id"])
+
+
 @pytest.mark.parametrize("keys", [[], ["key"]])
 def test_exact_quantiles(skewed, keys):
     df, frame = skewed
@@ -174,7 +188,7 @@ def test_asof_matches_merge_asof(spark, segment):
 def test_semi_join_spreads_the_copies(spark, skewed):
     df, frame = skewed
     keys = spark.createDataFrame([("hot",), ("k3",), ("hot",), ("absent",)], "key string")
-    got = semi_join_spread(df.repartition(12, "id"), keys, "key", spreads=4).toPandas()
+    got = semi_join_spread(df.repartition(12, "id"), keys, "key").toPandas()
     want = frame[frame["key"].isin(["hot", "k3"])]
     assert sorted(got["id"]) == sorted(want["id"]) and list(got.columns) == ["key", "x", "id"]
 
@@ -192,3 +206,51 @@ def test_broadcast_needs_a_bound(spark):
     assert broadcast_if_bounded(df, 1000, 100)[1]
     assert not broadcast_if_bounded(df, 10**9, 100)[1]
     assert not broadcast_if_bounded(df, None, 1)[1]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("measured", [False, True])
+def test_spread_join_equals_a_join(spark, skewed, how, measured):
+    df, frame = skewed
+    small = spark.createDataFrame([("hot", 1), ("hot", 2)] + [(f"k{i}", 3) for i in range(0, 300, 3)], "key string, v int")
+    got = spread_join(df, small, "key", how, df.select("key") if measured else None)
+    want = df.join(small, "key", how)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "_part" in plan
+
+
+def test_spread_join_of_two_keys_and_nulls(spark):
+    rows = [(None if i % 3 else "a", i % 2, i) for i in range(900)]
+    big = spark.createDataFrame(rows, "k string, h int, i int")
+    small = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), (None, 0, "z")], "k string, h int, v string")
+    for how in ("inner", "left"):
+        got, want = spread_join(big, small, ["k", "h"], how), big.join(small, ["k", "h"], how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(ValueError):
+        spread_join(big, small, ["k", "h"], "outer")
+
+
+def test_heavy_keys_names_hot_keys_alone(spark, skewed):
+    df, _ = skewed
+    found = heavy_keys(df, ["key"], 32).collect()
+    hot = df.where("key = 'hot'").select(F.xxhash64("key")).first()[0]
+    assert [(r["_heavy"], r["_copies"]) for r in found] == [(hot, 11)]
+    assert heavy_keys(spark.range(5000), ["id"]) is None
+    assert heavy_keys(spark.range(0), ["id"]) is None
+
+
+def test_hot_rows_lie_in_several_tasks(spark, skewed):
+    """The hot key's rows reach the join in more than one partition, equal rows too."""
+    df, _ = skewed
+    hot = df.where("key = 'hot'").select("key").repartition(8)
+    joined = spread_join(hot, spark.createDataFrame([("hot", 1)], "key string, v int"), "key")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 2000 and len(sizes) > 3 and max(sizes) < 1200

@@ -55,7 +55,7 @@ POSTS = [
 
 def test_candidates_and_labels(spark):
     batched = cand.assign_batches(cand.user_hours(likes_table(spark, LIKES)), 10)
-    sets = cand.candidate_sets(batched, posts_table(spark, POSTS))
+    sets = cand.candidate_sets(batched, likes_table(spark, LIKES), posts_table(spark, POSTS))
     by_hour = {}
     for r in sets.collect():
         by_hour.setdefault((r.split, r[N.HOUR].hour), {})[r.post_id] = r
@@ -81,7 +81,7 @@ def test_batches_limit_who_shares_candidates(spark):
     sizes = sorted(r["count"] for r in batched.groupBy("batch_id").count().collect())
     assert sizes == [1, 4, 4, 4, 4, 4, 4]
     assert cand.assign_batches(hours, 4, drop_last=True).count() == 24
-    sets = cand.candidate_sets(batched, posts_table(spark, []))
+    sets = cand.candidate_sets(batched, likes, posts_table(spark, []))
     assert sets.groupBy("batch_id").count().agg(F.max("count")).first()[0] == 4
     with pytest.raises(ValueError):
         cand.assign_batches(hours, 0)
@@ -102,7 +102,7 @@ def test_extra_negatives_never_drop_likes(spark):
     posts = posts_table(spark, [(f"n{i}", 10, "train", True) for i in range(30)])
 
     def draw(epoch):
-        sets = cand.candidate_sets(batched, posts, 5, epoch=epoch).where("hour(like_hour_bucket) = 10").collect()
+        sets = cand.candidate_sets(batched, likes_table(spark, LIKES), posts, 5, epoch=epoch).where("hour(like_hour_bucket) = 10").collect()
         assert {r.post_id for r in sets if r.from_likes} == {"p1", "p2", "p3"}
         return frozenset(r.post_id for r in sets if not r.from_likes)
 
@@ -110,15 +110,28 @@ def test_extra_negatives_never_drop_likes(spark):
 
 
 def test_liked_lists(spark):
-    row = cand.liked_lists(cand.user_hours(likes_table(spark, LIKES))).where("did = 'u1'").first()
+    row = cand.liked_lists(likes_table(spark, LIKES)).where("did = 'u1'").first()
     assert row.liked_post_ids == ["p1", "p2"] and row.liked_post_author_indices == [4, 1]
 
 
-def test_unbounded_user_hours_are_refused(spark):
-    likes = likes_table(spark, [("u", f"p{i}", 10, "train", 1) for i in range(6)])
-    assert cand.user_hours(likes, 6).count() == 1
-    with pytest.raises(Exception, match="cap the likes"):
-        cand.user_hours(likes, 5).collect()
+def test_a_hot_user_hour_is_labelled_whole(spark):
+    """50,000 likes of one user in one hour, some of them twice, beside users with one each."""
+    hot = spark.range(50_000).select(F.lit("hot").alias("did"), F.concat(F.lit("p"), F.col("id")).alias("subject_uri"))
+    repeated = hot.where("subject_uri LIKE '%7'")
+    others = spark.range(3).select(F.concat(F.lit("u"), F.col("id")).alias("did"), F.lit("p5").alias("subject_uri"))
+    hour = F.lit("2024-01-01 10:00:00").cast("timestamp")
+    likes = hot.unionByName(repeated).unionByName(others).withColumns(
+        {
+            "like_hour_bucket": hour, "record_created_at": hour, "split": F.lit("train"), "emb_idx": F.xxhash64("subject_uri"),
+            "author_idx": F.lit(None).cast("long"), "prior_cumulative_likes": F.lit(None).cast("long"),
+        }
+    ).repartition(8)
+    batched = cand.assign_batches(cand.user_hours(likes), 8)
+    sets = cand.candidate_sets(batched, likes, posts_table(spark, [("n1", 10, "train", True)]))
+    assert sets.agg(F.max(F.size("likers"))).first()[0] == 4
+    labels = cand.labelled_pairs(batched, sets).groupBy("did").agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()
+    assert {r.did: (r.n, r.p) for r in labels} == {"hot": (50_001, 50_000), **{f"u{i}": (50_001, 1) for i in range(3)}}
+    assert cand.liked_lists(likes).where("did = 'hot'").select(F.size("liked_post_ids")).first()[0] == 55_000
 
 
 def scores(spark, matrix, labels):
@@ -249,14 +262,33 @@ def test_listwise_loss(spark):
 
 
 def test_compare_models_long_table(spark):
-    base = scores(spark, [[0.2, 0.1], [0.7, 0.8]], [[1, 0], [0, 1]]).withColumn("split", F.lit("val"))
-    scored = comparison.score_with(
-        base, {"good": ("dot", F.col("score")), "bad": ("dot", -F.col("score"))}, ["did", "split", "post_id", "label"]
+    base = scores(spark, [[0.2, 0.1], [0.7, 0.8]], [[1, 0], [0, 1]]).withColumns(
+        {"split": F.lit("val"), "bad": -F.col("score")}
     )
-    table = {(r.model_name, r.metric): r.value for r in comparison.compare_models(scored, ["did", "split"], [1]).collect()}
+    models = {"good": ("dot", "score"), "bad": ("dot", "bad")}
+    first = sorted({r.did for r in base.select("did").collect()})[0]
+    base = base.withColumn("num_embedding_likes", F.when(F.col("did") == first, 0).otherwise(3))
+    compared = comparison.compare_models(base, models, ["did", "split"], [1])
+    table = {(r.model_name, r.metric): r.value for r in compared.collect()}
+    assert {m for _, m in table} == set(comparison.comparison_metrics([1]))
     assert table[("good", "recall_at_1")] == 1.0 and table[("bad", "recall_at_1")] == 0.0
     assert table[("good", "classification_average_precision")] == pytest.approx(5 / 6)
     assert table[("good", "classification_metric_pair_count")] == 4.0
+    assert table[("good", "classification_metric_sampled")] == 0.0
+    assert table[("good", "zero_history_rank_metric_user_count")] == 1.0 and table[("good", "zero_history_recall_at_1")] == 1.0
+    loss = sum(math.log(1 + math.exp(-0.1)) for _ in range(2)) / 2
+    assert table[("good", "loss")] == pytest.approx(loss) and table[("bad", "loss")] == pytest.approx(loss + 0.1)
+    drawn = comparison.compare_models(base, models, ["did", "split"], [1], max_pairs=3)
+    table = {(r.model_name, r.metric): r.value for r in drawn.collect()}
+    assert table[("good", "classification_metric_sampled_pair_count")] == 3.0
+    assert table[("good", "classification_metric_sampled")] == 1.0 and table[("good", "classification_metric_pair_count")] == 4.0
+
+
+def test_models_without_zero_history(spark):
+    base = scores(spark, [[0.2, 0.1]], [[1, 0]]).withColumns({"split": F.lit("val"), "num_embedding_likes": F.lit(2)})
+    compared = comparison.compare_models(base, {"m": ("dot", "score")}, ["did", "split"], [1])
+    table = {r.metric: r.value for r in compared.collect()}
+    assert table["zero_history_rank_metric_user_count"] == 0.0 and table["zero_history_ndcg_at_1"] == 0.0
 
 
 ROWS = [
@@ -331,11 +363,11 @@ def test_classification(spark):
 
 def test_popularity_log_stats_defaults(spark):
     history = spark.createDataFrame([], "prior_cumulative_likes array<bigint>")
-    hours = cand.user_hours(likes_table(spark, []))
+    likes = likes_table(spark, [])
     negatives = cand.sampled_posts(posts_table(spark, []))
-    assert tuple(evaluation.popularity_log_stats(history, hours, negatives).first()) == (0.0, 1.0, 0)
+    assert tuple(evaluation.popularity_log_stats(history, likes, negatives).first()) == (0.0, 1.0, 0)
     same = spark.createDataFrame([([3, 3],)], "prior_cumulative_likes array<bigint>")
-    row = evaluation.popularity_log_stats(same, hours, negatives).first()
+    row = evaluation.popularity_log_stats(same, likes, negatives).first()
     assert row.log_mean == pytest.approx(math.log(4)) and row.log_std == 1.0
 
 
@@ -348,9 +380,30 @@ def test_pairs_dataset(spark):
     assert len(liked) == 3 and len(negative) == 2 and not liked & negative
 
 
-def test_pair_steps_are_prime():
-    for step in pairs.STEPS:
-        assert step > 2**31 and all(step % d for d in range(2, int(step**0.5) + 1))
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 97, 1000])
+def test_places_are_a_permutation(spark, n):
+    df = spark.range(n).select("id", pairs.shuffled_place(F.col("id"), F.lit(n).cast("long"), F.lit("u")).alias("p"))
+    assert sorted(r.p for r in df.collect()) == list(range(n))
+
+
+def test_places_beyond_32_bits(spark):
+    n = 5 * 10**12
+    df = spark.range(2000).select(pairs.shuffled_place(F.col("id"), F.lit(n), F.lit("u")).alias("p"))
+    got = [r.p for r in df.collect()]
+    assert len(set(got)) == 2000 and all(0 <= p < n for p in got)
+    assert max(got) > 2**32 and 0.4 < sum(got) / 2000 / n < 0.6
+
+
+def test_users_draw_on_their_own(spark):
+    """Two users with 100 draws of 1,000 share about 10, whatever their names."""
+    users = spark.createDataFrame([(f"u{i}",) for i in range(60)], "did string").crossJoin(spark.range(100))
+    place = pairs.shuffled_place(F.col("id"), F.lit(1000).cast("long"), "did")
+    drawn = {}
+    for r in users.select("did", place.alias("p")).collect():
+        drawn.setdefault(r.did, set()).add(r.p)
+    sets = list(drawn.values())
+    shared = [len(a & b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert 9.5 < sum(shared) / len(shared) < 10.5 and max(shared) < 30
 
 
 def test_negative_pairs_of_a_hot_user(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.names import AUTHOR, AUTHOR_IDX, FIRST_AUTHOR, MIN_AUTHOR_SUPPORT, USER
 from tidemark.plans.durable import cut
+from tidemark.plans.spread import spread_join
 from tidemark.sources.embeddings import dense_ids
 
 
@@ -52,9 +53,9 @@ def author_stats(posts: DataFrame, likes: DataFrame, min_support: int = MIN_AUTH
 
 
 def with_author_idx(df: DataFrame, index: DataFrame, on: str = AUTHOR) -> DataFrame:
-    """Add the author id; null for authors below the support."""
+    """Add the author id, null for authors below the support; hot authors are parted."""
     lookup = index.select(F.col(AUTHOR).alias(on), AUTHOR_IDX)
-    return df.join(lookup, on, "left")
+    return spread_join(df, lookup, on, "left")
 
 
 def author_table_size(index: DataFrame, column: str = AUTHOR_IDX) -> DataFrame:

@@ -10,20 +10,25 @@ from tidemark.functions.splits import window_of_split
 from tidemark.functions.vectors import author_or_unknown, count_or_zero
 from tidemark.names import AUTHOR_IDX, EMB, HOUR, ITEM, NEG_HOUR, POST, PRIOR, SEED, TS, USER
 from tidemark.plans.ordered import hash_bucket, with_position
-from tidemark.plans.topn import one_per_key, top_n_per_group
+from tidemark.plans.spread import spread_join
+from tidemark.plans.topn import top_n_per_group
 
 GROUP = ["split", HOUR, "batch_id"]
+USER_HOUR = ["split", USER, HOUR]
 NEGATIVE_SALTS = 16
-MAX_LIKES_PER_ROW = 10_000
 
 
-def user_hours(likes: DataFrame, limit: int = MAX_LIKES_PER_ROW) -> DataFrame:
-    """One row per (split, user, hour) with the liked posts, in time order.
+def user_hours(likes: DataFrame) -> DataFrame:
+    """The distinct (split, user, hour) of the likes."""
+    return likes.select(*USER_HOUR).distinct()
 
-    Capped likes stay far below ``limit``.  A user-hour above it is an error: the
-    list is never collected beyond ``limit + 1`` entries and never cut in silence.
+
+def liked_lists(likes: DataFrame) -> DataFrame:
+    """The liked posts of each user-hour as aligned lists, in time order.
+
+    For output only: a row is as long as its user-hour.  Candidates and labels work on the
+    likes themselves, a row each.
     """
-    keys = ["split", USER, HOUR]
     entry = F.struct(
         F.col(TS).alias("ts"),
         F.col(ITEM).alias("item"),
@@ -31,22 +36,13 @@ def user_hours(likes: DataFrame, limit: int = MAX_LIKES_PER_ROW) -> DataFrame:
         F.coalesce(PRIOR, F.lit(0)).alias("prior"),
         author_or_unknown(AUTHOR_IDX).alias("author"),
     )
-    bounded = top_n_per_group(likes, keys, [TS, ITEM], limit + 1)
-    grouped = bounded.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("liked"))
-    too_long = F.raise_error(F.lit(f"a user-hour has more than {limit} likes: cap the likes per user"))
-    return grouped.withColumn("liked", F.when(F.size("liked") <= limit, F.col("liked")).otherwise(too_long))
-
-
-def liked_lists(hours: DataFrame) -> DataFrame:
-    """The liked posts of each user-hour as aligned lists."""
+    grouped = likes.groupBy(*USER_HOUR).agg(F.sort_array(F.collect_list(entry)).alias("liked"))
 
     def column(field: str, name: str) -> Column:
         return F.transform("liked", lambda e: e[field]).alias(name)
 
-    return hours.select(
-        "split",
-        USER,
-        HOUR,
+    return grouped.select(
+        *USER_HOUR,
         column("item", "liked_post_ids"),
         column("emb", "liked_post_emb_indices"),
         column("prior", "liked_post_prior_cumulative_likes"),
@@ -76,16 +72,22 @@ def assign_batches(
     return batched.drop("_order", "_position")
 
 
-def batch_positives(batched: DataFrame) -> DataFrame:
-    """Distinct liked posts of each batch; the earliest like gives the attributes."""
-    entries = batched.select(*GROUP, F.explode("liked").alias("e")).select(*GROUP, "e.*")
-    first = one_per_key(entries, [*GROUP, "item"], ["ts", "emb", "prior", "author"])
-    return first.select(
-        *GROUP,
-        F.col("item").alias("post_id"),
-        F.col("emb").alias(EMB),
-        F.col("author").alias(AUTHOR_IDX),
-        count_or_zero("prior").alias(PRIOR),
+def batch_positives(batched: DataFrame, likes: DataFrame) -> DataFrame:
+    """Distinct liked posts of each batch; the earliest like gives the attributes.
+
+    ``likers`` are the users of the batch who liked the post: as many as a batch has users at most,
+    however many likes a user-hour has.  A hot user-hour is parted in the join, and its posts
+    spread over the groups.
+    """
+    rows = spread_join(likes, batched.select(*USER_HOUR, "batch_id"), USER_HOUR)
+    earliest = F.struct(
+        F.col(TS), F.col(EMB), F.coalesce(PRIOR, F.lit(0)).alias(PRIOR), author_or_unknown(AUTHOR_IDX).alias(AUTHOR_IDX)
+    )
+    posts = rows.groupBy(*GROUP, F.col(ITEM).alias("post_id")).agg(
+        F.min(earliest).alias("first"), F.collect_set(USER).alias("likers")
+    )
+    return posts.select(
+        *GROUP, "post_id", F.col(f"first.{EMB}"), F.col(f"first.{AUTHOR_IDX}"), count_or_zero(f"first.{PRIOR}").alias(PRIOR), "likers"
     )
 
 
@@ -122,6 +124,7 @@ def batch_negatives(batches: DataFrame, posts: DataFrame) -> DataFrame:
 
 def candidate_sets(
     batched: DataFrame,
+    likes: DataFrame,
     posts: DataFrame,
     extra_negatives: int | None = None,
     seed: int = SEED,
@@ -131,26 +134,27 @@ def candidate_sets(
 
     A post that is both keeps the attributes of the like.  ``extra_negatives``
     keeps that many sampled posts per batch, drawn by seed and epoch; liked posts
-    are never dropped.
+    are never dropped.  ``likers`` is null for the sampled ones.
     """
-    liked = batch_positives(batched)
+    liked = batch_positives(batched, likes)
     batches = batched.select(*GROUP).distinct()
     negatives = batch_negatives(batches, posts).join(liked.select(*GROUP, "post_id"), [*GROUP, "post_id"], "left_anti")
     if extra_negatives is not None:
         drawn = negatives.withColumn("_draw", seeded_hash(seed, f"extra:{epoch}", "split", "batch_id", "post_id"))
         negatives = top_n_per_group(drawn, GROUP, ["_draw", "post_id"], extra_negatives).drop("_draw")
-    return liked.withColumn("from_likes", F.lit(True)).unionByName(negatives.withColumn("from_likes", F.lit(False)))
+    return liked.withColumn("from_likes", F.lit(True)).unionByName(
+        negatives.withColumn("from_likes", F.lit(False)), allowMissingColumns=True
+    )
 
 
 def labelled_pairs(batched: DataFrame, candidates: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every user-hour against the candidates of its batch, with the label.
 
     Work is bounded by the batch: a group has at most ``batch_size`` users, and its
-    candidates are their likes and the negatives of one hour.  The label comes from
-    the list on the user row, so the pairs themselves are never shuffled.
+    candidates are their likes and the negatives of one hour.  The label comes from the
+    likers on the candidate, so a pair costs a look at ``batch_size`` users at most and the
+    pairs themselves are never shuffled.
     """
-    liked = F.transform("liked", lambda e: e["item"])
-    users = batched.select(*GROUP, USER, *keep, liked.alias("_liked"))
-    return users.join(candidates, GROUP).withColumn(
-        "label", F.array_contains("_liked", F.col("post_id")).cast("int")
-    ).drop("_liked")
+    users = batched.select(*GROUP, USER, *keep)
+    label = F.coalesce(F.array_contains("likers", F.col(USER)), F.lit(False)).cast("int")
+    return users.join(candidates, GROUP).withColumn("label", label).drop("likers")

@@ -193,14 +193,14 @@ def prediction_health(predictions: DataFrame, edges: Sequence[int] = BIN_EDGES)
     )
 
 
-def popularity_log_stats(history: DataFrame, hours: DataFrame, negatives: DataFrame) -> DataFrame:
+def popularity_log_stats(history: DataFrame, likes: DataFrame, negatives: DataFrame) -> DataFrame:
     """Mean and population deviation of ``log(1 + count)`` over all three sources.
 
     No rows give (0, 1); a deviation below 1e-6 becomes 1.
     """
     counts = (
         history.select(F.explode(F.transform("prior_cumulative_likes", lambda c: c.cast("double"))).alias("c"))
-        .unionByName(hours.select(F.explode(F.transform("liked", lambda e: e["prior"].cast("double"))).alias("c")))
+        .unionByName(likes.select(F.coalesce(F.col("prior_cumulative_likes"), F.lit(0)).cast("double").alias("c")))
         .unionByName(negatives.select(F.coalesce(F.col("prior_cumulative_likes"), F.lit(0)).cast("double").alias("c")))
     )
     logs = counts.select(F.log1p(F.greatest("c", F.lit(0.0))).alias("x"))

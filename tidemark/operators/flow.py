@@ -12,6 +12,7 @@ from tidemark.functions.splits import Windows
 from tidemark.operators import authors, history, likes as likes_ops, popularity, posts as posts_ops
 from tidemark.operators.cohorts import cohort_size_bound, sample_cohorts
 from tidemark.plans.durable import cut
+from tidemark.plans.spread import spread_join
 from tidemark.plans.topn import one_per_key
 from tidemark.sources import embeddings as emb
 from tidemark.sources.tables import scan, write_table
@@ -48,13 +49,16 @@ class CoreTables:
     curve: DataFrame
 
 
-def with_post_ids(likes: DataFrame, posts: DataFrame) -> DataFrame:
-    """Add the embedding id and the author of the liked post; one row per (user, post)."""
+def with_post_ids(likes: DataFrame, posts: DataFrame, measured: DataFrame | None = None) -> DataFrame:
+    """Add the embedding id and the author of the liked post; one row per (user, post).
+
+    Hot posts are parted; ``measured`` may be a written table with the same posts.
+    """
     ids = posts.select(F.col(N.POST).alias(N.ITEM), N.EMB, F.col(N.USER).alias(N.AUTHOR))
     # A post has one row per sampled hour; its id and author are the same in all.
     unique = one_per_key(ids, [N.ITEM], [N.EMB, N.AUTHOR])
     first_like = one_per_key(likes, [N.USER, N.ITEM], [N.TS])
-    return first_like.join(unique, N.ITEM)
+    return spread_join(first_like, unique, N.ITEM, measured=measured)
 
 
 def core_tables(
@@ -107,7 +111,7 @@ def core_tables(
         ids = embeddings.select(N.POST, N.EMB)
     posts = cut(posts.join(ids, N.POST))
 
-    likes = cut(with_post_ids(likes_ops.reverify(likes, posts, s.min_likes), posts))
+    likes = cut(with_post_ids(likes_ops.reverify(likes, posts, s.min_likes, sampled_likes), posts, sampled_likes))
     index = keep(authors.author_index(posts, likes, s.min_author_support), "author_idx")
     curve = popularity.popularity_curve(hourly, likes.select(N.ITEM, N.EMB).distinct())
     return CoreTables(

@@ -6,14 +6,14 @@ import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions.times import age_seconds
 from tidemark.names import AUTHOR_IDX, EMB, HOUR, PRIOR, TS, USER
 from tidemark.operators.popularity import CURVE_HOUR
 from tidemark.plans.asof import asof_backward
-from tidemark.plans.ordered import quantiles_of, ranked_counts
-from tidemark.plans.topn import top_n_per_group
+from tidemark.plans.durable import cut
+from tidemark.plans.ordered import quantiles_of, ranked_counts, with_position
+from tidemark.plans.spread import spread_join
 
 LONG_LIST = 10_000
 
@@ -37,29 +37,28 @@ def prior_items(likes: DataFrame, max_prior: int, group: str = HOUR) -> DataFram
     Returns ``(did, group, raw_prior_count, prior)`` where ``prior`` is a list of
     ``(ts, emb_idx, author_idx)``, newest first, ties by larger ``emb_idx``.
 
-    The likes of a (user, hour) are first cut to the latest ``max_prior`` and put
-    in one row.  The window then runs over hours, not likes: the last
-    ``max_prior`` non-empty hours always hold the last ``max_prior`` likes.  A hot
-    user has as many rows as there are hours, whatever the number of likes, and no
-    (hour, like) pair is formed.
+    A user's likes are numbered in time order and cut into pieces of ``max_prior``; an
+    hour's last ``max_prior`` earlier likes lie in two neighbouring pieces.  Each piece goes
+    into one row with the piece before it, so a row has at most ``2 * max_prior`` entries, an
+    hour meets one row, and the pieces of a hot user are as many keys.
     """
     if AUTHOR_IDX not in likes.columns:
-        likes = likes.withColumn(AUTHOR_IDX, F.lit(None).cast("int"))
-    counts = likes.groupBy(USER, group).agg(F.count(F.lit(1)).alias("_n"))
-    newest = [F.col(TS).desc(), F.col(EMB).desc(), F.col(AUTHOR_IDX).desc()]
-    latest = top_n_per_group(likes.select(USER, group, TS, EMB, AUTHOR_IDX), [USER, group], newest, max_prior)
-    lists = latest.groupBy(USER, group).agg(
-        F.sort_array(F.collect_list(F.struct(TS, EMB, AUTHOR_IDX)), asc=False).alias("_items")
-    )
-    earlier = Window.partitionBy(USER).orderBy(group)
-    recent = F.collect_list("_items").over(earlier.rowsBetween(-max_prior, -1))
-    before = F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
-    return counts.join(lists, [USER, group]).select(
-        USER,
-        group,
-        F.coalesce(before, F.lit(0)).alias("raw_prior_count"),
-        F.slice(F.flatten(F.reverse(recent)), 1, max_prior).alias("prior"),
+        likes = likes.withColumn(AUTHOR_IDX, F.lit(None).cast("long"))
+    narrow = likes.select(USER, group, TS, EMB, AUTHOR_IDX)
+    placed = cut(with_position(narrow, [USER], [group, TS, EMB, AUTHOR_IDX], "_at"))
+    piece = F.floor(F.col("_at") / max_prior)
+    rows = placed.withColumn("_piece", F.explode(F.array(piece, piece + 1)))
+    pieces = rows.groupBy(USER, "_piece").agg(
+        F.sort_array(F.collect_list(F.struct("_at", TS, EMB, AUTHOR_IDX)), asc=False).alias("_items")
     )
+    before = F.col("raw_prior_count")
+    hours = placed.groupBy(USER, group).agg(F.min("_at").alias("raw_prior_count"))
+    hours = hours.withColumn("_piece", F.floor(F.greatest(before - 1, F.lit(0)) / max_prior))
+    # Positions fall by one along the row, so the newest earlier like is found by its distance.
+    start = F.col("_items")[0]["_at"] - before + 2
+    recent = F.slice("_items", start.cast("int"), F.least(before, F.lit(max_prior)).cast("int"))
+    entries = F.transform(recent, lambda e: F.struct(e[TS].alias(TS), e[EMB].alias(EMB), e[AUTHOR_IDX].alias(AUTHOR_IDX)))
+    return hours.join(pieces, [USER, "_piece"]).select(USER, group, before, entries.alias("prior"))
 
 
 def user_history(
@@ -68,17 +67,17 @@ def user_history(
     """One row per (user, like hour) with aligned lists, newest first.
 
     Popularity is taken at the target hour.  The distinct (post, hour) pairs of
-    all lists are looked up once and joined back to the list entries.
+    all lists are looked up once and joined back to the list entries, hot pairs parted.
     """
     if max_prior is None or max_prior <= 0:
         max_prior = longest_history(likes)
-    prior = prior_items(likes, max_prior)
+    prior = cut(prior_items(likes, max_prior))  # read for the lookup and for the join
     entries = prior.select(USER, HOUR, "raw_prior_count", F.posexplode_outer("prior").alias("pos", "item")).select(
         USER, HOUR, "raw_prior_count", "pos", "item.*"
     )
     needed = entries.where(F.col("pos").isNotNull()).select(EMB, HOUR)
     lookup = asof_backward(needed, curve, EMB, HOUR, CURVE_HOUR, PRIOR)
-    filled = entries.join(lookup, [EMB, HOUR], "left")
+    filled = spread_join(entries, lookup, [EMB, HOUR], "left")
     entry = F.struct(
         "pos",
         F.col(EMB).alias("emb"),
@@ -112,7 +111,7 @@ def history_vectors(history: DataFrame, embeddings: DataFrame, max_len: int) ->
     entries = history.select(
         USER, HOUR, F.posexplode_outer(F.slice("prior_emb_indices", 1, max_len)).alias("pos", EMB)
     )
-    joined = entries.join(embeddings.select(EMB, "embedding"), EMB, "left")
+    joined = spread_join(entries, embeddings.select(EMB, "embedding"), EMB, "left")
     return (
         joined.groupBy(USER, HOUR)
         # At most max_len vectors per row.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.names import USER
 from tidemark.plans.durable import cut
-from tidemark.plans.ordered import quantiles_of, ranked_counts, running_before
+from tidemark.plans.ordered import quantiles_of, ranged, ranked_counts, running_before
 
 
 def per_user_ranking(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -54,14 +54,12 @@ def gini_of(ranked: DataFrame, keys: Sequence[str] = ("metric",), value: str = "
 def lorenz(values: DataFrame, value: str = "value", tie: str = USER, keys: Sequence[str] = ("metric",)) -> DataFrame:
     """Lorenz curve per group: position, population share and value share, with the origin.
 
-    Positions and sums come from order buckets, cut on value and user together, so
+    Positions and sums come from parts of the order, cut on value and user together, so
     that equal values do not pile up in one task.
     """
     keys = list(keys)
-    values = cut(values.select(*keys, value, tie))
-    placed = running_before(
-        values, keys, [value, tie, *keys], {"_i": F.lit(1), "_before": F.col(value)}
-    )
+    values = ranged(values.select(*keys, value, tie), [*keys, value, tie])
+    placed = running_before(values, keys, [value, tie], {"_i": F.lit(1), "_before": F.col(value)}, placed=True)
     totals = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_total"))
     joined = placed.join(totals, keys)
     point = F.col("_i") + 1

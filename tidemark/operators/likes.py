@@ -12,6 +12,7 @@ from tidemark.names import HOUR, ITEM, MAX_LIKES_PER_USER, MIN_LIKES_PER_USER, S
 from tidemark.operators.cohorts import eligible_users, keep_members, user_is
 from tidemark.plans.ordered import with_position
 from tidemark.plans.sizes import broadcast_if_bounded
+from tidemark.plans.spread import semi_join_spread
 from tidemark.plans.topn import salt_of, top_n_per_group
 
 COHORT_ROW_BYTES = 120
@@ -85,18 +86,20 @@ def likes_core(
     )
 
 
-def reverify(likes: DataFrame, posts: DataFrame, min_likes: int = MIN_LIKES_PER_USER) -> DataFrame:
-    """Drop likes whose post is gone, then users who fell below the minimum."""
-    joined = likes.join(posts.select(F.col("at_uri").alias(ITEM)).distinct(), ITEM, "left_semi")
+def reverify(
+    likes: DataFrame, posts: DataFrame, min_likes: int = MIN_LIKES_PER_USER, measured: DataFrame | None = None
+) -> DataFrame:
+    """Drop likes whose post is gone, then users who fell below the minimum.
+
+    Hot posts are parted; ``measured`` may be a written table with the same posts.
+    """
+    joined = semi_join_spread(likes, posts.select(F.col("at_uri").alias(ITEM)), ITEM, measured)
     if min_likes <= 0:
         return joined
     return keep_members(joined, eligible_users(joined, min_likes), USER)
 
 
 def like_positions(likes: DataFrame) -> DataFrame:
-    """Which like of the user each row is, by time.
-
-    Days follow the order, so they serve as the pieces a user's likes are cut into.
-    """
-    placed = with_position(likes, [USER], [TS, ITEM], "like_order", F.to_date(TS))
+    """Which like of the user each row is, by time; a hot user, or a hot day of one, is cut into parts."""
+    placed = with_position(likes, [USER], [TS, ITEM], "like_order")
     return placed.withColumn("like_order", F.col("like_order") + 1)

@@ -21,6 +21,7 @@ from tidemark.names import (
     TS,
 )
 from tidemark.plans.asof import asof_backward
+from tidemark.plans.spread import spread_join
 
 CURVE_HOUR = "popularity_hour_bucket"
 TARGET_HOUR = "target_hour"
@@ -97,7 +98,8 @@ def prior_popularity(hourly: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def with_prior_on_likes(likes: DataFrame, prior: DataFrame) -> DataFrame:
-    joined = likes.join(prior.withColumnRenamed(TARGET_HOUR, HOUR), [ITEM, HOUR], "left")
+    """Likes with the count of their post at their hour, 0 when unknown; hot (post, hour) pairs are parted."""
+    joined = spread_join(likes, prior.withColumnRenamed(TARGET_HOUR, HOUR), [ITEM, HOUR], "left")
     return joined.withColumn(PRIOR, F.coalesce(PRIOR, F.lit(0)))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.hashing import seeded_hash
 from tidemark.names import SEED, TOP_KS
 from tidemark.plans.durable import cut
-from tidemark.plans.ordered import first_by_hash, running_before
+from tidemark.plans.ordered import first_by_hash, ranged, running_before
 from tidemark.plans.scalars import row_of
 
 ZERO_HISTORY = "zero_history_"
@@ -29,28 +29,30 @@ def discount_sum(n: Column) -> Column:
     return F.when(n >= 1, total).otherwise(F.lit(0.0))
 
 
-def ranked(scores: DataFrame, keys: Sequence[str], score: str = "score", item: str = "post_id") -> DataFrame:
+def ranked(
+    scores: DataFrame, keys: Sequence[str], score: str = "score", item: str = "post_id", prefix: str = ""
+) -> DataFrame:
     """Rank the candidates of each row and add the counts its metrics need.
 
     All windows share one partitioning and one sort.  A group is one user-hour and
     its batch candidates.  When the keys begin with those the pairs were joined on,
-    no shuffle is needed at all.
+    no shuffle is needed at all.  Several scores of the same pairs are ranked one after the
+    other, each under its ``prefix``, with a sort and no shuffle for each.
     """
     by_rank = Window.partitionBy(*keys).orderBy(F.col(score).desc(), item)
     by_score = Window.partitionBy(*keys).orderBy(F.col(score).desc())
     so_far = by_rank.rowsBetween(Window.unboundedPreceding, 0)
     down_to = by_score.rangeBetween(Window.unboundedPreceding, 0)
     same = by_score.rangeBetween(0, 0)
-    return scores.withColumns(
-        {
-            "rank": F.row_number().over(by_rank),
-            "hits": F.sum("label").over(so_far),
-            "n_down_to": F.count(F.lit(1)).over(down_to),
-            "pos_down_to": F.sum("label").over(down_to),
-            "n_same": F.count(F.lit(1)).over(same),
-            "pos_same": F.sum("label").over(same),
-        }
-    )
+    places = {
+        "rank": F.row_number().over(by_rank),
+        "hits": F.sum("label").over(so_far),
+        "n_down_to": F.count(F.lit(1)).over(down_to),
+        "pos_down_to": F.sum("label").over(down_to),
+        "n_same": F.count(F.lit(1)).over(same),
+        "pos_same": F.sum("label").over(same),
+    }
+    return scores.withColumns({prefix + n: c for n, c in places.items()})
 
 
 def ranking_rows(
@@ -67,41 +69,58 @@ def ranking_rows(
     equal scores as one threshold.  Without positives the gains are 0 and the rest
     is null; AUC also needs a negative.  ``extra`` columns are constant per row.
     """
-    placed = ranked(scores, keys, score, item)
-    hit = F.col("label") == 1
-    rank = F.col("rank").cast("double")
-    below = (F.col("_n") - F.col("_p")) - (F.col("n_down_to") - F.col("pos_down_to"))
+    placed = sized(ranked(scores, keys, score, item), keys)
+    rows = placed.groupBy(*keys).agg(*row_counts(), *row_aggregates(top_ks), *[F.first(c).alias(c) for c in extra])
+    return with_gains(rows, top_ks)
+
+
+def sized(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the candidates and positives of each row."""
     per_key = Window.partitionBy(*keys)
-    sized = placed.withColumns({"_n": F.count(F.lit(1)).over(per_key), "_p": F.sum("label").over(per_key)})
-    aggs = [
-        F.count(F.lit(1)).alias("candidate_count"),
-        F.sum("label").alias("positive_count"),
-        F.min(F.when(hit, rank)).alias("positive_rank_min"),
-        F.avg(F.when(hit, rank)).alias("positive_rank_mean"),
-        F.max(F.when(hit, rank)).alias("positive_rank_max"),
-        F.avg(F.when(hit, F.col("hits") / rank)).alias("strict_average_precision"),
-        F.avg(F.when(hit, F.col("pos_down_to") / F.col("n_down_to"))).alias("average_precision"),
-        F.avg(
-            F.when(hit, (below + (F.col("n_same") - F.col("pos_same")) * 0.5) / F.nullif(F.col("_n") - F.col("_p"), F.lit(0)))
-        ).alias("auc_roc"),
-        *[F.first(c).alias(c) for c in extra],
-    ]
+    return placed.withColumns({"_n": F.count(F.lit(1)).over(per_key), "_p": F.sum("label").over(per_key)})
+
+
+def row_counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("candidate_count"), F.sum("label").alias("positive_count")]
+
+
+def row_aggregates(top_ks: Sequence[int] = TOP_KS, prefix: str = "") -> list[Column]:
+    """What the candidates of one row come to under the ranks of ``prefix``."""
+
+    def of(name: str) -> Column:
+        return F.col(prefix + name)
+
+    hit = F.col("label") == 1
+    rank = of("rank").cast("double")
+    below = (F.col("_n") - F.col("_p")) - (of("n_down_to") - of("pos_down_to"))
+    auc = (below + (of("n_same") - of("pos_same")) * 0.5) / F.nullif(F.col("_n") - F.col("_p"), F.lit(0))
+    values = {
+        "positive_rank_min": F.min(F.when(hit, rank)),
+        "positive_rank_mean": F.avg(F.when(hit, rank)),
+        "positive_rank_max": F.max(F.when(hit, rank)),
+        "strict_average_precision": F.avg(F.when(hit, of("hits") / rank)),
+        "average_precision": F.avg(F.when(hit, of("pos_down_to") / of("n_down_to"))),
+        "auc_roc": F.avg(F.when(hit, auc)),
+    }
     for k in top_ks:
-        inside = hit & (F.col("rank") <= k)
-        aggs.append(F.coalesce(F.sum(F.when(inside, discount(rank))), F.lit(0.0)).alias(f"dcg_at_{k}"))
-        aggs.append(F.count_if(inside).alias(f"_hits_at_{k}"))
-    rows = sized.groupBy(*keys).agg(*aggs)
+        inside = hit & (of("rank") <= k)
+        values[f"dcg_at_{k}"] = F.coalesce(F.sum(F.when(inside, discount(rank))), F.lit(0.0))
+        values[f"_hits_at_{k}"] = F.count_if(inside)
+    return [c.alias(prefix + n) for n, c in values.items()]
+
+
+def with_gains(rows: DataFrame, top_ks: Sequence[int] = TOP_KS, prefix: str = "") -> DataFrame:
+    """Add ndcg and recall from dcg, hits and counts."""
     for k in top_ks:
         k_eff = F.least(F.lit(k), F.col("candidate_count"))
         ideal = discount_sum(F.least(F.col("positive_count"), k_eff))
+        hits = F.col(f"{prefix}_hits_at_{k}")
         rows = rows.withColumns(
             {
-                f"ndcg_at_{k}": F.col(f"dcg_at_{k}") / F.greatest(ideal, F.lit(1e-12)),
-                f"recall_at_{k}": F.coalesce(
-                    F.col(f"_hits_at_{k}") / F.nullif(F.col("positive_count"), F.lit(0)), F.lit(0.0)
-                ),
+                f"{prefix}ndcg_at_{k}": F.col(f"{prefix}dcg_at_{k}") / F.greatest(ideal, F.lit(1e-12)),
+                f"{prefix}recall_at_{k}": F.coalesce(hits / F.nullif(F.col("positive_count"), F.lit(0)), F.lit(0.0)),
             }
-        ).drop(f"_hits_at_{k}")
+        ).drop(f"{prefix}_hits_at_{k}")
     return rows
 
 
@@ -160,16 +179,17 @@ def threshold_metrics(
 ) -> DataFrame:
     """AUC with ties and threshold average precision per group of any size.
 
-    Rows are first counted per distinct score and written; the running counts then
-    go over score ranges, so that neither a whole table nor a hot group sits in one
-    task.
+    Rows are first counted per distinct score and written in the order of group and
+    score.  Only groups that a cut of this order falls into have more than one piece, so
+    neither a whole table nor a hot group sits in one task, and many small groups stay whole.
     """
     keys = list(keys)
-    counts = cut(
-        pairs.groupBy(*keys, score).agg(F.sum(label).cast("long").alias("_pos"), F.count(F.lit(1)).alias("_all"))
+    counts = ranged(
+        pairs.groupBy(*keys, score).agg(F.sum(label).cast("long").alias("_pos"), F.count(F.lit(1)).alias("_all")),
+        [*keys, score],
     )
     below = running_before(
-        counts, keys, [score, *keys], {"_pos_below": F.col("_pos"), "_all_below": F.col("_all")}, written=True
+        counts, keys, [score], {"_pos_below": F.col("_pos"), "_all_below": F.col("_all")}, placed=True
     )
     totals = counts.groupBy(*keys).agg(F.sum("_pos").alias("_p"), F.sum("_all").alias("_n"))
     if keys:

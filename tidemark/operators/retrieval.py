@@ -149,12 +149,12 @@ def retrieval_summary(top: DataFrame, candidates: DataFrame, history: DataFrame)
 def sampled_prior_likes(likes: DataFrame, n_targets: int, max_prior: int, seed: int = SEED) -> DataFrame:
     """A hash sample of likes with an earlier like, each with its latest earlier posts.
 
-    Likes of earlier hours come from the hourly lists, those of the same hour from
+    Likes of earlier hours come from the history pieces, those of the same hour from
     the sampled targets' own hour, so that no target meets all likes of its user.
     """
     targets = cut(
         first_by_hash(
-            with_position(likes.select(USER, HOUR, TS, ITEM, EMB), [USER], [TS, EMB, ITEM], "_order", F.to_date(TS))
+            with_position(likes.select(USER, HOUR, TS, ITEM, EMB), [USER], [TS, EMB, ITEM], "_order")
             .where(F.col("_order") > 0)
             .withColumn("_hash", seeded_hash(seed, "target", USER, ITEM, F.unix_micros(TS))),
             n_targets,
@@ -178,7 +178,7 @@ def sampled_prior_likes(likes: DataFrame, n_targets: int, max_prior: int, seed:
         F.sort_array(F.collect_list(entry), asc=False).alias("_recent")
     )
     older = F.transform("prior", lambda e: e["emb_idx"])
-    newer = F.coalesce(F.transform("_recent", lambda e: e["emb"]), F.array().cast("array<int>"))
+    newer = F.coalesce(F.transform("_recent", lambda e: e["emb"]), F.array().cast("array<long>"))
     return cut(
         targets.join(recent, [USER, "target_uri", "target_ts"], "left")
         .join(before_hour, [USER, HOUR])

@@ -1,10 +1,11 @@
 """Positions and running sums that never put one whole group in one task.
 
 A plain ``Window.partitionBy(key).orderBy(x)`` sorts all rows of a key in one
-task, and a window without a key sorts the whole table there.  Every function
-here cuts the order into consecutive buckets first.  The window then works per
-``(key, bucket)``; the totals of the earlier buckets of a key, one small row per
-bucket, are added back with a join.
+task, and a window without a key sorts the whole table there.  Here a range
+exchange on keys and order deals the rows out first: its own row sample cuts a hot
+key in proportion to its share and leaves ordinary keys whole.  A window then works
+per ``(key, part)``; the totals of the earlier parts of a key, one small row per key
+and part, are added back with a join.
 """
 
 from __future__ import annotations
@@ -13,75 +14,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.plans.durable import cut
 
-SAMPLE_PER_PART = 16
 MIN_PARTS = 32
+#: Column of :func:`ranged`, and its bits for the place inside a part (as Spark numbers rows).
+PLACE = "_place"
+PLACE_BITS = 33
 
 
 def parts_of(df: DataFrame) -> int:
-    """Pieces that an order is cut into: as many as the session gives a shuffle, 32 at least."""
+    """Pieces that a hot key is cut into: as many as the session gives a shuffle, 32 at least."""
     return max(MIN_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _sort_key(row: tuple) -> tuple:
-    """Spark's ascending order: nulls first, NaN last."""
-    return tuple((0, 0) if v is None else (2, 0) if v != v else (1, v) for v in row)
+def ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows in ascending order, nulls first, written with the part and the place of each as ``_place``.
 
-
-def split_points(df: DataFrame, order: Sequence[str], parts: int | None = None) -> list[tuple]:
-    """At most ``parts - 1`` rows that cut ``df`` into even pieces along ``order``, nulls first.
-
-    Collects a uniform row sample of ``parts * 16`` rows at most, so a hot key,
-    which fills much of the table, also gets many of the cuts.  Only the balance
-    depends on the sample, never the result; tables of all sizes are cut alike.
-    """
-    parts = parts or parts_of(df)
-    # Sorted here: a bounded number of small rows, and text sorts by code point as in Spark.
-    rows = [tuple(row) for row in df.select(*order).orderBy(F.rand(7)).limit(parts * SAMPLE_PER_PART).collect()]
-    rows.sort(key=_sort_key)
-    picked: list[tuple] = []
-    for i in range(1, parts):
-        point = rows[i * len(rows) // parts] if rows else None
-        if point is not None and (not picked or _sort_key(picked[-1]) != _sort_key(point)):
-            picked.append(point)
-    return picked
-
-
-def _literal(value, dtype: T.DataType) -> Column:
-    return F.lit(value).cast(dtype)
-
-
-def range_bucket(df: DataFrame, order: Sequence[str], points: list[tuple]) -> Column:
-    """Bucket number of a row: how many of the cut points lie at or before it.
-
-    A balanced ``CASE`` tree, so a row needs ``log2(len(points))`` comparisons.
-    Nulls come before everything else.
+    One range exchange; no cut point passes through the driver or enters an
+    expression, and a written table keeps its places whatever is lost later.
     """
-    types = [df.schema[c].dataType for c in order]
-
-    def before(point: tuple) -> Column:
-        result: Column | None = None
-        for name, value, dtype in reversed(list(zip(order, point, types))):
-            col = F.col(name)
-            if value is None:
-                less, equal = F.lit(False), col.isNull()
-            else:
-                lit = _literal(value, dtype)
-                less, equal = col.isNull() | (col < lit), col.eqNullSafe(lit)
-            result = less if result is None else less | (equal & result)
-        return result
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(before(points[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
-
-    return tree(0, len(points))
+    return cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(PLACE, F.monotonically_increasing_id()))
 
 
 def running_before(
@@ -90,19 +44,18 @@ def running_before(
     order: Sequence[str],
     sums: dict[str, Column],
     bucket: Column | None = None,
-    written: bool = False,
+    placed: bool = False,
 ) -> DataFrame:
     """Add, per row, each sum over the rows of its group that come earlier.
 
     ``order`` is ascending, nulls first, and total inside a group.  ``bucket`` may
-    be any column that never falls along the order; without it the cuts come from
-    :func:`split_points`, and the input is written first, since the sample, the rows
-    and the totals all read it (``written``: it already is).
+    be any column that never falls along the order; without it the parts are those of
+    :func:`ranged` over keys and order (``placed``: the input comes from there already).
     """
     keys = list(keys)
     if bucket is None:
-        df = df if written else cut(df)
-        bucket = range_bucket(df, order, split_points(df, order))
+        df = df if placed else ranged(df, [*keys, *order])
+        bucket, order = F.shiftright(PLACE, PLACE_BITS), [PLACE]
 
     # One struct column: an input already hashed on the keys alone must not be reused,
     # since it would bring a whole hot group into one task.
@@ -110,7 +63,7 @@ def running_before(
     local = Window.partitionBy("_group").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = cut_rows.withColumns({n: _or_zero(F.sum(e).over(local)) for n, e in sums.items()})
 
-    # One row per key and bucket: bounded by the number of buckets per key.
+    # One row per key and part: as many as there are keys, and one more for each cut.
     group_keys = [F.col(f"_group.{k}") for k in keys] or [F.lit(0)]
     earlier = Window.partitionBy(*group_keys).orderBy("_group._bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut_rows.groupBy("_group").agg(*[F.sum(e).alias(f"_total_{n}") for n, e in sums.items()])
@@ -119,7 +72,7 @@ def running_before(
     )
     joined = rows.join(carry, "_group")
     return joined.withColumns({n: F.col(n) + F.col(f"_carry_{n}") for n in sums}).drop(
-        "_group", *[f"_carry_{n}" for n in sums]
+        "_group", PLACE, *[f"_carry_{n}" for n in sums]
     )
 
 
@@ -130,8 +83,19 @@ def _or_zero(col: Column) -> Column:
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", bucket: Column | None = None
 ) -> DataFrame:
-    """Add the 0-based position of each row in its group."""
-    return running_before(df, keys, order, {name: F.lit(1).cast("long")}, bucket)
+    """Add the 0-based position of each row in its group.
+
+    Without keys the parts are counted and their offsets joined back on the part number: one
+    exchange in all.
+    """
+    if keys or bucket is not None:
+        return running_before(df, keys, order, {name: F.lit(1).cast("long")}, bucket)
+    rows = ranged(df, order).withColumn("_part", F.shiftright(PLACE, PLACE_BITS))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")).select("_part", _or_zero(F.sum("_size").over(earlier)).alias("_offset"))
+    inside = F.col(PLACE).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    # One row a part of the exchange.
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + inside).drop("_part", "_offset", PLACE)
 
 
 def hash_bucket(hash_col: str, digits: int = 2) -> Column:
@@ -139,24 +103,28 @@ def hash_bucket(hash_col: str, digits: int = 2) -> Column:
     return F.substring(hash_col, 1, digits)
 
 
-def first_by_hash(df: DataFrame, n: int | Column, hash_col: str, ties: Sequence[str]) -> DataFrame:
-    """The ``n`` rows with the smallest hash, ties by the given columns.
+def first_by_hash(
+    df: DataFrame, n: int | Column, hash_col: str, ties: Sequence[str], keys: Sequence[str] = ()
+) -> DataFrame:
+    """The ``n`` rows with the smallest hash (of each group of ``keys``), ties by the given columns.
 
     A global ``orderBy.limit(n)`` gathers ``n`` rows from every task in one
     place.  Here 4096 hash buckets are counted, the buckets past ``n`` are dropped
-    by a join with that count table, and rows are ranked inside their bucket.
+    by a join with that count table, and rows are ranked inside their bucket.  Groups
+    must be few, such as splits.
     """
+    parts = [*keys, "_bucket"]
     bucketed = df.withColumn("_bucket", hash_bucket(hash_col, 3))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy("_bucket")
+        bucketed.groupBy(*parts)
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_bucket", _or_zero(F.sum("_size").over(earlier)).alias("_before"))
+        .select(*parts, _or_zero(F.sum("_size").over(earlier)).alias("_before"))
         .where(F.col("_before") < n)
     )
-    inside = Window.partitionBy("_bucket").orderBy(hash_col, *ties)
+    inside = Window.partitionBy(*parts).orderBy(hash_col, *ties)
     return (
-        bucketed.join(F.broadcast(offsets), "_bucket")  # at most 16**3 rows
+        bucketed.join(F.broadcast(offsets), parts)  # at most 16**3 rows a group
         .withColumn("_rank", F.row_number().over(inside) + F.col("_before"))
         .where(F.col("_rank") <= n)
         .drop("_bucket", "_before", "_rank")
@@ -166,11 +134,10 @@ def first_by_hash(df: DataFrame, n: int | Column, hash_col: str, ties: Sequence[
 def ranked_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``(keys, value, n, below)``: distinct values with their count and the count below.
 
-    The counts are written once, so that neither the cut points nor the readers of
-    the result run the input again.
+    The result is written, so that its readers do not run the input again.
     """
-    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
-    return cut(running_before(counts, keys, [value, *keys], {"below": F.col("n")}, written=True))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return cut(running_before(counts, keys, [value], {"below": F.col("n")}))
 
 
 def quantiles_of(

@@ -172,7 +172,7 @@ def e9(spark: SparkSession, sf: str) -> DataFrame:
               FROM likes_core GROUP BY split, did, like_hour_bucket"""),
 )
 def e10(spark: SparkSession, sf: str) -> DataFrame:
-    lists = cand.liked_lists(cand.user_hours(t.core(spark, sf).likes))
+    lists = cand.liked_lists(t.core(spark, sf).likes)
     names = [c for c in lists.columns if c.startswith("liked_post")]
     return lists.withColumns({N.HOUR: t.time_text(N.HOUR), **{c: t.list_text(c) for c in names}})
 
@@ -554,7 +554,7 @@ def e28(spark: SparkSession, sf: str) -> DataFrame:
 def e29(spark: SparkSession, sf: str) -> DataFrame:
     core = t.core(spark, sf)
     stats = evaluation.popularity_log_stats(
-        t.history(spark, sf), cand.user_hours(core.likes), cand.sampled_posts(core.posts)
+        t.history(spark, sf), core.likes, cand.sampled_posts(core.posts)
     )
     return stats.withColumns({"log_mean": t.rounded("log_mean"), "log_std": t.rounded("log_std")})
 

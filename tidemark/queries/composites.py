@@ -137,14 +137,14 @@ CANDIDATE_COLUMNS = f"""split, {hour('like_hour_bucket')} AS like_hour_bucket, b
 
 
 def _candidates_text(candidates: DataFrame) -> DataFrame:
-    return candidates.withColumns(
+    return candidates.drop("likers").withColumns(
         {N.HOUR: t.time_text(N.HOUR), N.EMB: F.col(N.EMB).cast("long"), N.AUTHOR_IDX: F.col(N.AUTHOR_IDX).cast("long")}
     )
 
 
 @query("i9_candidate_sets", with_(f"SELECT {CANDIDATE_COLUMNS} FROM candidates"))
 def i9(spark: SparkSession, sf: str) -> DataFrame:
-    return _candidates_text(cand.candidate_sets(sc.batched(spark, sf), t.core(spark, sf).posts))
+    return _candidates_text(cand.candidate_sets(sc.batched(spark, sf), t.core(spark, sf).likes, t.core(spark, sf).posts))
 
 
 @query(
@@ -171,7 +171,7 @@ EXTRA, EPOCH = 3, 2
     ),
 )
 def i10(spark: SparkSession, sf: str) -> DataFrame:
-    sets = cand.candidate_sets(sc.batched(spark, sf), t.core(spark, sf).posts, EXTRA, epoch=EPOCH)
+    sets = cand.candidate_sets(sc.batched(spark, sf), t.core(spark, sf).likes, t.core(spark, sf).posts, EXTRA, epoch=EPOCH)
     return _candidates_text(sets)
 
 
@@ -186,7 +186,7 @@ def _batch_sql(salt: str, drop_last: bool) -> str:
 
 
 def _batches(spark: SparkSession, sf: str, **options) -> DataFrame:
-    hours = cand.user_hours(t.core(spark, sf).likes).drop("liked")
+    hours = cand.user_hours(t.core(spark, sf).likes)
     assigned = cand.assign_batches(hours, t.BATCH, **options)
     return assigned.select("split", N.USER, t.time_text(N.HOUR).alias(N.HOUR), "batch_id")
 
@@ -201,7 +201,27 @@ def i11_shuffled(spark: SparkSession, sf: str) -> DataFrame:
     return _batches(spark, sf, shuffle=True, drop_last=True, epoch=3)
 
 
-STEP_SQL = "[" + ", ".join(str(s) for s in pairs_ops.STEPS) + "]"
+def _place_sql(place: str, n: str, key: str) -> str:
+    """The permutation of :func:`tidemark.operators.pairs.shuffled_place` in SQL."""
+    columns = f"CAST(ceil(sqrt({n})) AS BIGINT)"
+    rows = f"(({n} + {columns} - 1) // {columns})"
+
+    def moved(at: str, size: str, other: str, step: int) -> str:
+        return f"({at} + CAST('0x' || substr(md5('42:place{step}:' || {key} || ':' || {other}), 1, 8) AS BIGINT)) % {size}"
+
+    def permuted(cell: str, mark: str) -> str:
+        def turn(row: str, column: str, step: int) -> str:
+            if step == pairs_ops.ROUNDS:
+                return f"{row} * {columns} + {column}"
+            name = f"{mark}{step}"
+            if step % 2 == 0:
+                return f"list_transform([{moved(row, rows, column, step)}], lambda {name}: {turn(name, column, step + 1)})[1]"
+            return f"list_transform([{moved(column, columns, row, step)}], lambda {name}: {turn(row, name, step + 1)})[1]"
+
+        return turn(f"({cell} // {columns})", f"({cell} % {columns})", 0)
+
+    again = f"lambda v, w: CASE WHEN v < {n} THEN v ELSE {permuted('v', 'q')} END"
+    return f"list_reduce(list_prepend({permuted(place, 'p')}, range({pairs_ops.WALKS})), {again})"
 
 
 @query(
@@ -214,12 +234,9 @@ STEP_SQL = "[" + ", ".join(str(s) for s in pairs_ops.STEPS) + "]"
         features="SELECT at_uri, CAST(embedding[1] AS DOUBLE) AS first_value FROM post_vectors WHERE embedding IS NOT NULL",
         numbered="SELECT at_uri, row_number() OVER (ORDER BY at_uri) - 1 AS post_no FROM features",
         positives="SELECT DISTINCT did, subject_uri AS at_uri FROM raw_likes WHERE subject_uri IN (SELECT at_uri FROM features)",
-        stops=f"""SELECT did, k, i, ((step % n) * i + start) % n AS post_no
-                  FROM (SELECT did, k, n, unnest(range(least(2 * k, n))) AS i,
-                               CAST('0x' || substr(h, 1, 8) AS BIGINT) AS start,
-                               {STEP_SQL}[CAST('0x' || substr(h, 9, 8) AS BIGINT) % {len(pairs_ops.STEPS)} + 1] AS step
-                        FROM (SELECT did, count(*) AS k, md5('42:walk:' || did) AS h,
-                                     (SELECT count(*) FROM features) AS n FROM positives GROUP BY did))""",
+        stops=f"""SELECT did, k, i, {_place_sql('i', 'n', 'did')} AS post_no
+                  FROM (SELECT did, k, n, unnest(range(least(2 * k, n))) AS i
+                        FROM (SELECT did, count(*) AS k, (SELECT count(*) FROM features) AS n FROM positives GROUP BY did))""",
         walked="""SELECT did, at_uri, k, row_number() OVER (PARTITION BY did ORDER BY i) AS taken
                   FROM stops JOIN numbered USING (post_no)
                   WHERE NOT EXISTS (SELECT 1 FROM positives p WHERE p.did = stops.did AND p.at_uri = numbered.at_uri)""",
@@ -494,7 +511,7 @@ MODELS = {"by_popularity": ("popularity", "popularity"), "by_mean": ("dot", "dot
 MODEL_KEYS = "model_name, model_type, split, like_hour_bucket, batch_id, did"
 
 
-def _model_ctes() -> dict[str, str]:
+def _model_ctes(max_pairs: int | None) -> dict[str, str]:
     weighted = """
         SELECT did, like_hour_bucket, d, sum(x) / count(*) AS mean_v,
                sum(x * 0.1 * pow(0.9, pos - 1)) / sum(0.1 * pow(0.9, pos - 1)) AS ema_v
@@ -507,14 +524,15 @@ def _model_ctes() -> dict[str, str]:
         "weighted": weighted,
         "uv": """SELECT did, like_hour_bucket, list(mean_v ORDER BY d) AS mean_vec, list(ema_v ORDER BY d) AS ema_vec
                  FROM weighted GROUP BY did, like_hour_bucket""",
-        "vp": f"""SELECT p.split, p.like_hour_bucket, p.batch_id, p.did, p.post_id, p.label,
+        "vp": f"""SELECT p.split, p.like_hour_bucket, p.batch_id, p.did, p.post_id, p.label, least(h.n_prior, 20) AS n_prior,
                          ln(1 + p.prior_cumulative_likes) AS popularity,
                          round(list_dot_product(coalesce(u.mean_vec, {zeros}), CAST(m.embedding AS DOUBLE[])), 9) + 0.0 AS dot_mean,
                          round(list_dot_product(coalesce(u.ema_vec, {zeros}), CAST(m.embedding AS DOUBLE[])), 9) + 0.0 AS dot_ema
-                  FROM pairs p JOIN emb_table m USING (emb_idx) LEFT JOIN uv u USING (did, like_hour_bucket)""",
+                  FROM pairs p JOIN emb_table m USING (emb_idx) JOIN history h USING (did, like_hour_bucket)
+                  LEFT JOIN uv u USING (did, like_hour_bucket)""",
         "ms": " UNION ALL ".join(
             f"""SELECT '{name}' AS model_name, '{kind}' AS model_type, split, like_hour_bucket, batch_id, did, post_id, label,
-                       {col} AS score FROM vp"""
+                       n_prior, {col} AS score FROM vp"""
             for name, (kind, col) in MODELS.items()
         ),
         "mr": f"""SELECT *, row_number() OVER r AS rank, sum(label) OVER (r ROWS UNBOUNDED PRECEDING) AS hits,
@@ -524,8 +542,10 @@ def _model_ctes() -> dict[str, str]:
                        r AS (PARTITION BY {MODEL_KEYS} ORDER BY score DESC, post_id),
                        s AS (PARTITION BY {MODEL_KEYS} ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                        t AS (PARTITION BY {MODEL_KEYS}, score)""",
-        "mrows": row_metrics("mr", MODEL_KEYS),
-        "pooled": """SELECT model_name, model_type, split, count(*) AS n_pairs, sum(label) AS p,
+        "mrows": row_metrics("mr", MODEL_KEYS, "max(n_prior) AS n_prior, ln(sum(exp(score))) - sum(label * score) / max(p) AS loss,"),
+        "draws": f"""SELECT *, row_number() OVER (PARTITION BY model_name, split ORDER BY
+                              md5('42:pairs:' || split || ':' || {hour('like_hour_bucket')} || ':' || batch_id || ':' || did || ':' || post_id)) AS rn FROM ms""",
+        "pooled": f"""SELECT model_name, model_type, split, count(*) AS n_pairs,
                             (sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2)
                               / (sum(label) * (count(*) - sum(label))) AS auc_roc,
                             avg(pos_down / n_down) FILTER (label = 1) AS ap
@@ -534,29 +554,47 @@ def _model_ctes() -> dict[str, str]:
                                   sum(label) OVER (PARTITION BY model_name, split ORDER BY score DESC
                                                    RANGE UNBOUNDED PRECEDING) AS pos_down,
                                   count(*) OVER (PARTITION BY model_name, split ORDER BY score DESC
-                                                 RANGE UNBOUNDED PRECEDING) AS n_down FROM ms)
+                                                 RANGE UNBOUNDED PRECEDING) AS n_down
+                           FROM draws{f" WHERE rn <= {max_pairs}" if max_pairs else ""})
                      GROUP BY ALL""",
-        "mm": f"""SELECT model_name, model_type, split, {', '.join(f'avg({m}) AS {m}' for m in RANK_NAMES)},
-                         avg(strict_average_precision) AS mean_average_precision, count(*) AS rank_metric_user_count
-                  FROM mrows WHERE positive_count > 0 GROUP BY model_name, model_type, split""",
+        "all_pairs": "SELECT model_name, model_type, split, count(*) AS n_all, sum(label) AS p FROM ms GROUP BY ALL",
+        **{name: f"""SELECT model_name, model_type, split, {', '.join(f'avg({m}) AS {m}' for m in RANK_NAMES)},
+                            avg(strict_average_precision) AS mean_average_precision, count(*) AS rank_metric_user_count, avg(loss) AS loss
+                     FROM mrows WHERE positive_count > 0 {which} GROUP BY model_name, model_type, split"""
+           for name, which in (("mm", ""), ("zm", "AND n_prior = 0"))},
     }
 
 
-def _compare_sql() -> str:
-    rank_part = [f"SELECT model_name, model_type, split, '{m}' AS metric, {rnd(m, 5)} AS value FROM mm"
-                 for m in [*RANK_NAMES, "mean_average_precision", "rank_metric_user_count"]]
-    pooled = {"auc_roc": "auc_roc", "classification_average_precision": "ap",
-              "classification_metric_pair_count": "n_pairs", "classification_metric_positive_count": "p"}
-    pool_part = [f"SELECT model_name, model_type, split, '{m}', {rnd(c, 5)} FROM pooled" for m, c in pooled.items()]
-    return with_(" UNION ALL ".join(rank_part + pool_part), **_model_ctes())
+def _compare_sql(max_pairs: int | None = None) -> str:
+    keys = "model_name, model_type, split"
+    ranks = [*RANK_NAMES, "mean_average_precision", "rank_metric_user_count"]
+    parts = [f"SELECT {keys}, '{m}' AS metric, {rnd(m, 5)} AS value FROM mm" for m in [*ranks, "loss"]]
+    parts += [f"SELECT {keys}, 'zero_history_{m}', {rnd(f'coalesce(z.{m}, 0)', 5)} FROM mm LEFT JOIN zm z USING ({keys})" for m in ranks]
+    pooled = {"auc_roc": "auc_roc", "classification_average_precision": "ap", "classification_metric_pair_count": "n_all",
+              "classification_metric_positive_count": "p", "classification_metric_sampled_pair_count": "n_pairs",
+              "classification_metric_sampled": "CASE WHEN n_all > n_pairs THEN 1 ELSE 0 END"}
+    parts += [f"SELECT {keys}, '{m}', {rnd(c, 5)} FROM pooled JOIN all_pairs USING ({keys})" for m, c in pooled.items()]
+    return with_(" UNION ALL ".join(parts), **_model_ctes(max_pairs))
+
+
+SAMPLED_PAIRS = 2000
+
+
+def _compared(spark: SparkSession, sf: str, max_pairs: int | None = None) -> DataFrame:
+    # Times enter the draw as text.
+    pairs = sc.vector_pairs(spark, sf).withColumn(N.HOUR, t.time_text(N.HOUR))
+    return comparison.compare_models(pairs, MODELS, sc.KEYS, TOP_KS, max_pairs=max_pairs).withColumn("value", t.rounded("value", 5))
+
+
+@query("i22_sampled_comparison", _compare_sql(SAMPLED_PAIRS))
+def i22_sampled(spark: SparkSession, sf: str) -> DataFrame:
+    """The comparison with classification over a draw of pairs from each split."""
+    return _compared(spark, sf, SAMPLED_PAIRS)
 
 
 @query("i22_model_comparison", _compare_sql())
 def i22(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = sc.vector_pairs(spark, sf)
-    scorers = {name: (kind, F.col(col)) for name, (kind, col) in MODELS.items()}
-    scored = comparison.score_with(pairs, scorers, [*sc.KEYS, "post_id", "label"])
-    return comparison.compare_models(scored, sc.KEYS, TOP_KS).withColumn("value", t.rounded("value", 5))
+    return _compared(spark, sf)
 
 
 N_TARGETS, N_PRIOR = 100, 5

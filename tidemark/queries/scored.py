@@ -12,6 +12,7 @@ from tidemark.operators.evaluation import total_likes
 from tidemark.operators.history import history_vectors
 from tidemark.operators.ranking import ranking_rows
 from tidemark.plans.durable import cut
+from tidemark.plans.spread import spread_join
 from tidemark.queries import tables as t
 
 KEYS = [*cand.GROUP, N.USER]
@@ -30,7 +31,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
         total_likes(core.likes), N.USER
     )
     keep = ("num_embedding_likes", "num_total_likes")
-    return cand.labelled_pairs(described, cand.candidate_sets(hours, core.posts), keep)
+    return cand.labelled_pairs(described, cand.candidate_sets(hours, core.likes, core.posts), keep)
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +57,7 @@ def rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs with three scores: popularity, and the mean and the EMA history vector."""
+    """Pairs with the history length and three scores: popularity, and the mean and the EMA history vector."""
     core = t.core(spark, sf)
     hours = batched(spark, sf)
     lists = history_vectors(t.history(spark, sf), core.embeddings, N.MAX_HISTORY_LEN)
@@ -66,10 +67,13 @@ def vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
         summary_vector("vectors", t.DIM, "mean").alias("mean_vector"),
         summary_vector("vectors", t.DIM, "ema").alias("ema_vector"),
     )
-    described = hours.join(users, [N.USER, N.HOUR])
-    vectors = cand.candidate_sets(hours, core.posts).join(core.embeddings.select(N.EMB, "embedding"), N.EMB)
+    n_prior = F.least(F.size("prior_emb_indices"), F.lit(N.MAX_HISTORY_LEN)).alias("num_embedding_likes")
+    lengths = t.history(spark, sf).select(N.USER, N.HOUR, n_prior)
+    described = hours.join(users, [N.USER, N.HOUR]).join(lengths, [N.USER, N.HOUR])
+    sets = cut(cand.candidate_sets(hours, core.likes, core.posts))
+    vectors = spread_join(sets, core.embeddings.select(N.EMB, "embedding"), N.EMB)
     return (
-        cand.labelled_pairs(described, vectors, ("mean_vector", "ema_vector"))
+        cand.labelled_pairs(described, vectors, ("mean_vector", "ema_vector", "num_embedding_likes"))
         .withColumns(
             {
                 "popularity": F.ln(F.lit(1.0) + F.col(N.PRIOR)),

@@ -31,9 +31,9 @@ def raw_vector(model: str, column: str = "embeddings") -> Column:
 
 
 def dense_ids(keys: DataFrame, key: str, name: str, start: int = 0) -> DataFrame:
-    """Consecutive ids of distinct keys in key order, without a one-task window."""
+    """Consecutive 64-bit ids of distinct keys in key order, by one range exchange."""
     numbered = with_position(keys.select(key).distinct(), [], [key], name)
-    return numbered.withColumn(name, (F.col(name) + start).cast("int"))
+    return numbered.withColumn(name, F.col(name) + F.lit(start).cast("long"))
 
 
 def candidate_vectors(posts: DataFrame, candidates: DataFrame, vector: Column) -> DataFrame:
