@@ -1,6 +1,8 @@
 """Scans, stamped files, filters and sinks."""
 
 import datetime as dt
+import fnmatch
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +40,40 @@ def test_stamped_files(spark, tmp_path):
         io.scan_stamped(spark, folder, "likes", "2025-01-01")
 
 
+def test_stamp_globs_match_the_window_alone():
+    """Patterns against names, for many windows over 100,000 hourly names and names between hours."""
+    first = dt.datetime(2019, 11, 28)
+    names = [f"likes_{first + dt.timedelta(hours=h):%Y%m%d_%H%M%S}.parquet" for h in range(100_000)]
+    names += ["likes_20240101_003000.parquet", "likes_20240101_005959.parquet", "posts_20240101_000000.parquet", "likes_2024_bad.parquet"]
+    bounds = ["2024-01-01", "2024-01-01 00:30:00", "2023-12-31T23:00:00", "2024-01-01 00:59:59", "2031-01-01", "2020-02-29 05:00:00"]
+    for start in [None, *bounds]:
+        for end in [None, *bounds]:
+            globs = io.stamp_globs("likes", start, end)
+            assert len(globs) <= 28
+            whole = re.compile("|".join(fnmatch.translate(g) for g in globs) or "(?!)")
+            low, high = ((dt.datetime.fromisoformat(b) if b else None) for b in (start, end))
+            want = []
+            for name in names:
+                found = re.fullmatch(r"likes_(\d{8})_(\d{6})\.parquet", name)
+                if found and (low is None or dt.datetime.strptime("".join(found.groups()), "%Y%m%d%H%M%S") >= low):
+                    if high is None or dt.datetime.strptime("".join(found.groups()), "%Y%m%d%H%M%S") < high:
+                        want.append(name)
+            assert [n for n in names if whole.match(n)] == want
+    assert io.stamp_globs("likes", "2024-01-01 00:00:00.5", "2024-01-01 00:00:01") == []
+
+
+def test_stamped_files_round_trip(spark, tmp_path):
+    """Many hours, hours in several batches, a null time; a second write replaces the files."""
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i)) for i in range(2000)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "id long, record_created_at timestamp").repartition(4)
+    for _ in range(2):
+        io.write_stamped(df, str(tmp_path / "out"), "likes")
+    assert len(list((tmp_path / "out").iterdir())) == len({r[1].replace(minute=0) for r in rows if r[1]})
+    back = io.scan_stamped(spark, str(tmp_path / "out"), "likes", "2024-01-02", "2024-01-03 06:00:00")
+    want = [r for r in rows if r[1] and dt.datetime(2024, 1, 2) <= r[1] < dt.datetime(2024, 1, 3, 6)]
+    assert sorted(map(tuple, back.collect())) == want
+
+
 def test_file_stamp_of_other_names(spark):
     names = ["a/likes_20240101_120000.parquet", "a/xlikes_20240101_120000.parquet", "a/likes_20240101.parquet"]
     df = spark.createDataFrame([(n,) for n in names], "p string")

@@ -120,6 +120,17 @@ def binned_predictions(predictions: DataFrame, edges: Sequence[int] = BIN_EDGES)
     )
 
 
+def history_totals(rows: DataFrame) -> DataFrame:
+    """Rows, users and mean history length, one row; users are counted in one grouping with the rest."""
+    length = F.coalesce(F.col(HISTORY), F.lit(0)).cast("long")
+    per_user = rows.groupBy(USER).agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("sum"))
+    return per_user.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
+        F.count(F.lit(1)).alias("total_users"),
+        (F.sum("sum") / F.sum("n")).alias("mean_history"),
+    )
+
+
 def history_stats(rows: DataFrame) -> DataFrame:
     """Totals and spread of the history length over all rows, one row."""
     length = F.coalesce(F.col(HISTORY), F.lit(0)).cast("long")

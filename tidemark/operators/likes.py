@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import seeded_hash
@@ -18,25 +18,30 @@ from tidemark.plans.topn import salt_of, top_n_per_group
 COHORT_ROW_BYTES = 120
 
 
-def likes_of_cohorts(likes: DataFrame, cohorts: DataFrame, max_users: int | None = None) -> DataFrame:
-    """Likes of the sampled users with cohort and like count.
+def likes_of_cohorts(
+    likes: DataFrame, cohorts: DataFrame, max_users: int | None = None, how: str = "inner"
+) -> DataFrame:
+    """Likes of the sampled users with cohort and like count (``left``: all likes, nulls for other users).
 
     ``max_users`` is the bound that the cohort caps imply; when it is small enough
     the likes are joined in place, without a shuffle.
     """
     small, _ = broadcast_if_bounded(cohorts, max_users, COHORT_ROW_BYTES)
-    return likes.join(small, USER)
+    return likes.join(small, USER, how)
 
 
-def cohort_window(likes: DataFrame, windows: Windows) -> DataFrame:
+def in_cohort_window(windows: Windows) -> Column:
     """Train and later likes of seen users, val and later likes of unseen users."""
     ts = F.col(TS)
     keep = (user_is("trainval") & (ts >= time_literal(windows.train_start))) | (
         user_is("unseen_eval") & (ts >= time_literal(windows.val_start))
     )
-    if windows.holdout_end is not None:
-        keep = keep & (ts < time_literal(windows.holdout_end))
-    return likes.where(keep)
+    return keep if windows.holdout_end is None else keep & (ts < time_literal(windows.holdout_end))
+
+
+def cohort_window(likes: DataFrame, windows: Windows) -> DataFrame:
+    """The likes inside the window of their user's cohort."""
+    return likes.where(in_cohort_window(windows))
 
 
 def split_or_error(likes: DataFrame) -> DataFrame:

@@ -37,6 +37,15 @@ def eligible_hours(posts: DataFrame, hours: int = ELIGIBLE_HOURS) -> DataFrame:
     return posts.withColumn(NEG_HOUR, F.explode(F.sequence(first, last, F.expr("INTERVAL 1 HOUR"))))
 
 
+def inside_bounds(expanded: DataFrame, windows: Windows, posts_end: str | None = None) -> DataFrame:
+    """Hours from the start of training up to the earlier of ``posts_end`` and the end of the holdout."""
+    kept = expanded.where(F.col(NEG_HOUR) >= time_literal(windows.train_start))
+    for bound in (posts_end, windows.holdout_end):
+        if bound is not None:
+            kept = kept.where(F.col(NEG_HOUR) < time_literal(bound))
+    return kept
+
+
 def hourly_scores(expanded: DataFrame, alpha: float = NEGATIVE_ALPHA, seed: int = SEED) -> DataFrame:
     """Sampling score of every (post, hour); the smallest win."""
     drawn = uniform(seeded_hash(seed, "negative", POST, F.date_format(NEG_HOUR, HOUR_TEXT)))
@@ -65,10 +74,7 @@ def choose_hourly(
         posts = posts.where(candidate_sample(POST, share, seed))
     created = posts.groupBy(POST).agg(F.min(TS).alias(TS))
     weighted = created.join(counts.withColumnRenamed(ITEM, POST), POST)
-    expanded = eligible_hours(weighted).where(F.col(NEG_HOUR) >= time_literal(windows.train_start))
-    for bound in (posts_end, windows.holdout_end):
-        if bound is not None:
-            expanded = expanded.where(F.col(NEG_HOUR) < time_literal(bound))
+    expanded = inside_bounds(eligible_hours(weighted), windows, posts_end)
     scored = hourly_scores(expanded, alpha, seed).select(POST, NEG_HOUR, "sample_score")
     best = top_n_per_group(scored, [NEG_HOUR], ["sample_score", POST], per_hour, salt_of(POST))
     return best.select(POST, NEG_HOUR)

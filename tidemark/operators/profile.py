@@ -86,26 +86,43 @@ def share_above_cap(counts: DataFrame, cap: int, value: str = "like_count") -> D
     )
 
 
-def step(df: DataFrame, order: int, name: str, key: str) -> DataFrame:
-    """Distinct keys and rows that are left after one step."""
-    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return per_key.agg(
-        F.count(F.lit(1)).alias("n_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows")
-    ).select(F.lit(order).alias("step"), F.lit(name).alias("name"), "n_keys", "n_rows")
-
-
-def attrition(steps: Sequence[DataFrame]) -> DataFrame:
-    """Steps one below the other with the share kept of the first step."""
-    out = steps[0]
-    for part in steps[1:]:
-        out = out.unionByName(part)
-    out = cut(out)  # one row per step
-    first = row_of(out.agg(F.min_by("n_keys", "step").alias("keys"), F.min_by("n_rows", "step").alias("rows")))
-    return out.withColumn("_first", first).select(
-        "step",
-        "name",
-        "n_keys",
-        "n_rows",
-        (F.lit(100.0) * F.col("n_keys") / F.nullif(F.col("_first.keys"), F.lit(0))).alias("keys_kept_pct"),
-        (F.lit(100.0) * F.col("n_rows") / F.nullif(F.col("_first.rows"), F.lit(0))).alias("rows_kept_pct"),
+def marked(df: DataFrame, key: str, steps: dict[int, Column | bool]) -> DataFrame:
+    """``(key, steps)``: a row each with a bit for every step it survives."""
+    mask = F.lit(0)
+    for step, survives in steps.items():
+        bit = F.lit(1 << step)
+        mask = mask.bitwiseOR(bit if survives is True else F.when(survives, bit).otherwise(0))
+    return df.select(F.col(key).alias("key"), mask.alias("steps"))
+
+
+def attrition(rows: DataFrame, names: Sequence[str], least: dict[int, tuple[int, int]] | None = None) -> DataFrame:
+    """Distinct keys and rows left after each step, with the share kept of the first step.
+
+    ``rows`` come from :func:`marked`, the tables of several steps one below the other.  One
+    grouping by key counts every step at once.  ``least`` names steps that keep the keys with
+    enough rows in another step: ``{step: (other, rows)}``; they need no mark and no pass.
+    """
+    counts = [F.count_if(F.col("steps").bitwiseAND(F.lit(1 << i)) != 0).alias(f"n{i}") for i in range(len(names))]
+    per_key = rows.groupBy("key").agg(*counts)
+    for step, (other, enough) in sorted((least or {}).items()):
+        per_key = per_key.withColumn(f"n{step}", F.when(F.col(f"n{other}") >= enough, F.col(f"n{other}")).otherwise(0))
+    totals = per_key.agg(
+        *[F.count_if(F.col(f"n{i}") > 0).alias(f"keys{i}") for i in range(len(names))],
+        *[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"rows{i}") for i in range(len(names))],
     )
+
+    def share(part: str, i: int) -> Column:
+        return F.lit(100.0) * F.col(f"{part}{i}") / F.nullif(F.col(f"{part}0"), F.lit(0))
+
+    lines = [
+        F.struct(
+            F.lit(i + 1).alias("step"),
+            F.lit(name).alias("name"),
+            F.col(f"keys{i}").alias("n_keys"),
+            F.col(f"rows{i}").alias("n_rows"),
+            share("keys", i).alias("keys_kept_pct"),
+            share("rows", i).alias("rows_kept_pct"),
+        )
+        for i, name in enumerate(names)
+    ]
+    return totals.select(F.inline(F.array(*lines)))

@@ -652,29 +652,27 @@ def _kept(report: DataFrame) -> DataFrame:
 
 @query("e35_attrition_likes", with_(_attrition_sql(STEPS)))
 def e35_likes(spark: SparkSession, sf: str) -> DataFrame:
-    core, likes = t.core(spark, sf), t.raw_likes(spark, sf)
-    joined = cohorts.keep_members(
-        core.sampled_likes, core.posts.select(F.col(N.POST).alias(N.ITEM)), N.ITEM
+    """Three tables, each read once: raw, sampled and final likes."""
+    core, run = t.core(spark, sf), t.settings(spark, sf)
+    bound = cohorts.cohort_size_bound(run.max_trainval, run.max_unseen)
+    raw = likes_ops.likes_of_cohorts(t.raw_likes(spark, sf), core.cohorts, bound, "left")
+    posts = core.posts.select(F.col(N.POST).alias(N.ITEM), F.lit(True).alias("_there")).distinct()
+    matched = core.sampled_likes.join(posts, N.ITEM, "left")
+    rows = (
+        profile.marked(raw, N.USER, {0: True, 2: likes_ops.in_cohort_window(run.windows)})
+        .unionByName(profile.marked(matched, N.USER, {3: True, 4: F.col("_there")}))
+        .unionByName(profile.marked(core.likes, N.USER, {6: True}))
     )
-    tables = [
-        likes,
-        cohorts.keep_members(likes, cohorts.eligible_users(likes, t.MIN_LIKES), N.USER),
-        labelled(spark, sf),
-        core.sampled_likes,
-        joined,
-        likes_ops.reverify(core.sampled_likes, core.posts, t.MIN_LIKES),
-        core.likes,
-    ]
-    steps = [profile.step(df, i, name, N.USER) for i, (df, (name, _, _)) in enumerate(zip(tables, STEPS), 1)]
-    return _kept(profile.attrition(steps))
+    least = {1: (0, t.MIN_LIKES), 5: (4, t.MIN_LIKES)}
+    return _kept(profile.attrition(rows, [name for name, _, _ in STEPS], least))
 
 
 @query("e35_attrition_posts", with_(_attrition_sql(POST_STEPS)))
 def e35_posts(spark: SparkSession, sf: str) -> DataFrame:
     core = t.core(spark, sf)
     tables = [posts_ops.post_window(t.raw_posts(spark, sf), t.WINDOWS), core.sampled_posts, core.posts]
-    steps = [profile.step(df, i, name, N.POST) for i, (df, (name, _, _)) in enumerate(zip(tables, POST_STEPS), 1)]
-    return _kept(profile.attrition(steps))
+    rows = [profile.marked(df, N.POST, {i: True}) for i, df in enumerate(tables)]
+    return _kept(profile.attrition(rows[0].unionByName(rows[1]).unionByName(rows[2]), [name for name, _, _ in POST_STEPS]))
 
 
 HISTOGRAM_SQL = """

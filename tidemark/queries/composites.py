@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import names as N
+from tidemark.functions.hashing import leading_number
 from tidemark.operators import candidates as cand, comparison, coverage, evaluation, flow, history as history_ops
 from tidemark.operators import inequality, likes as likes_ops, pairs as pairs_ops, popularity, posts as posts_ops
 from tidemark.operators import ranking, retrieval
 from tidemark.operators.cohorts import cohort_size_bound, sample_cohorts
 from tidemark.plans.durable import cut
+from tidemark.plans.scalars import row_of
 from tidemark.queries import scored as sc
 from tidemark.queries import tables as t
 from tidemark.queries.aggregates import BINNED_ROWS, HISTORY_SQL, METRICS, history_text
-from tidemark.queries.oracle import BATCH, END, TOP_KS, VAL, hour, micro, rnd, row_metrics, with_
+from tidemark.queries.oracle import BATCH, END, TOP_KS, VAL, hour, listed, micro, rnd, row_metrics, with_
 from tidemark.queries.predictions import predictions
 from tidemark.queries.registry import query
 from tidemark.queries.relational import TOP_USER, top_user
@@ -380,16 +382,15 @@ def i18(spark: SparkSession, sf: str) -> DataFrame:
 def i19(spark: SparkSession, sf: str) -> DataFrame:
     """Cold-start table with the totals of the analysis on each line."""
     rows = sc.rows(spark, sf)
-    stats = evaluation.history_stats(rows)
-    table = evaluation.binned_ranking(rows, METRICS).select("bin", "n_ranking_rows", "n_users", *METRICS)
+    table = evaluation.binned_ranking(rows, METRICS).withColumn("_all", row_of(evaluation.history_totals(rows)))
     return table.select(
         "bin",
         "n_ranking_rows",
         "n_users",
         *[t.rounded(m).alias(m) for m in METRICS],
-        stats.select("total_rows").scalar().alias("total_rows"),
-        stats.select("total_users").scalar().alias("total_users"),
-        t.rounded(stats.select("mean_history").scalar()).alias("mean_history"),
+        "_all.total_rows",
+        "_all.total_users",
+        t.rounded(F.col("_all.mean_history")).alias("mean_history"),
     )
 
 
@@ -673,38 +674,71 @@ def i24(spark: SparkSession, sf: str) -> DataFrame:
 # -- the whole flow --------------------------------------------------------
 
 
-FLOW_TABLES = ["likes_core", "posts_core", "author_idx", "liked_post_hour_cumulative_likes", "embeddings", "history"]
+#: Columns of the written tables that enter a row's digest; times, vectors and lists as text.
+FLOW_COLUMNS = {
+    "likes_core": ["did", "subject_uri", "micro:record_created_at", "split", "hour:like_hour_bucket", "prior_cumulative_likes", "emb_idx",
+                   "author_did", "author_idx"],
+    "posts_core": ["at_uri", "micro:record_created_at", "did", "record_text", "flag:is_liked", "flag:in_random_sample",
+                   "hour:negative_hour_bucket", "split_window", "prior_cumulative_likes", "emb_idx", "author_idx"],
+    "author_idx": ["author_did", "author_train_count", "author_idx"],
+    "liked_post_hour_cumulative_likes": ["emb_idx", "hour:popularity_hour_bucket", "prior_cumulative_likes"],
+    "embeddings": ["at_uri", "emb_idx", "vector:embedding"],
+    "history": ["did", "hour:like_hour_bucket", "raw_prior_count", "list:prior_emb_indices", "list:prior_cumulative_likes",
+                "list:prior_author_indices"],
+}
+FLOW_SOURCES = {"author_idx": "authors", "liked_post_hour_cumulative_likes": "curve", "embeddings": "emb_table"}
+
+
+def _cell_sql(column: str) -> str:
+    kind, _, name = column.rpartition(":")
+    text = {
+        "": f"CAST({name} AS VARCHAR)",
+        "micro": micro(name),
+        "hour": hour(name),
+        "flag": f"CASE WHEN {name} THEN 'yes' ELSE 'no' END",
+        "list": listed(name),
+        "vector": f"CAST(CAST(round(list_sum(list_transform({name}, lambda x: CAST(x AS DOUBLE))) * 10000) AS BIGINT) AS VARCHAR)",
+    }[kind]
+    return f"coalesce({text}, '-')"
+
+
+def _cell(column: str) -> Column:
+    kind, _, name = column.rpartition(":")
+    if kind == "vector":
+        total = F.aggregate(name, F.lit(0.0), lambda a, x: a + x.cast("double"))
+        text = F.round(total * 10000).cast("long").cast("string")
+    elif kind == "list":
+        text = t.list_text(name)
+    elif kind == "flag":
+        text = F.when(F.col(name), "yes").otherwise("no")
+    elif kind:
+        text = t.micro_text(name) if kind == "micro" else t.time_text(name)
+    else:
+        text = F.col(name).cast("string")
+    return F.coalesce(text, F.lit("-"))
 
 
 @query(
     "i25_full_flow",
     with_(
-        """SELECT 'likes_core' AS name, count(*) AS n_rows, CAST(sum(emb_idx) AS BIGINT) AS checksum FROM likes_core
-           UNION ALL SELECT 'posts_core', count(*), CAST(sum(emb_idx) AS BIGINT) FROM posts_core
-           UNION ALL SELECT 'author_idx', count(*), CAST(sum(author_idx) AS BIGINT) FROM authors
-           UNION ALL SELECT 'liked_post_hour_cumulative_likes', count(*), CAST(sum(prior_cumulative_likes) AS BIGINT) FROM curve
-           UNION ALL SELECT 'embeddings', count(*), CAST(sum(emb_idx) AS BIGINT) FROM emb_table
-           UNION ALL SELECT 'history', count(*), CAST(sum(raw_prior_count) AS BIGINT) FROM history"""
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS name, count(*) AS n_rows,
+                       CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {', '.join(map(_cell_sql, columns))})), 1, 8) AS BIGINT)) AS BIGINT) AS digest
+                FROM {FLOW_SOURCES.get(name, name)}"""
+            for name, columns in FLOW_COLUMNS.items()
+        )
     ),
 )
 def i25(spark: SparkSession, sf: str) -> DataFrame:
-    """Build everything from the raw tables, write it and count what was written."""
+    """Build everything from the raw tables with encoded vectors, write it, and digest every row of what was written."""
     folder = shared_folder(spark, "flow")
-    core = t.build_core(spark, sf, folder)
+    core = t.build_core(spark, sf, folder, encoded=True)
     history = history_ops.user_history(core.likes, core.curve, t.MAX_PRIOR)
     flow.write_and_read(history, f"{folder}/history")
-    written = {name: scan(spark, f"{folder}/{name}") for name in FLOW_TABLES}
-    sums = {
-        "likes_core": N.EMB,
-        "posts_core": N.EMB,
-        "author_idx": N.AUTHOR_IDX,
-        "liked_post_hour_cumulative_likes": N.PRIOR,
-        "embeddings": N.EMB,
-        "history": "raw_prior_count",
-    }
     out = None
-    for name in FLOW_TABLES:
-        part = written[name].agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(sums[name]).cast("long")).alias("checksum"))
-        part = part.select(F.lit(name).alias("name"), "n_rows", "checksum")
+    for name, columns in FLOW_COLUMNS.items():
+        digest = leading_number(F.md5(F.concat_ws("|", *map(_cell, columns)))).cast("long")
+        part = scan(spark, f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(digest).alias("digest"))
+        part = part.select(F.lit(name).alias("name"), "n_rows", "digest")
         out = part if out is None else out.unionByName(part)
     return out

@@ -62,12 +62,35 @@ def c4(spark: SparkSession, sf: str) -> DataFrame:
               WHERE negative_hour_bucket >= {TRAIN} AND negative_hour_bucket < {END} GROUP BY ALL"""),
 )
 def c5(spark: SparkSession, sf: str) -> DataFrame:
-    expanded = _expanded(spark, sf).where(
-        F.col(N.NEG_HOUR).between(F.lit(t.WINDOWS.train_start).cast("timestamp"), F.lit("2024-01-30 23:00:00").cast("timestamp"))
-    )
+    return _posts_per_hour(posts_ops.inside_bounds(_expanded(spark, sf), t.WINDOWS))
+
+
+def _posts_per_hour(expanded: DataFrame) -> DataFrame:
     return expanded.groupBy(t.time_text(N.NEG_HOUR).alias(N.NEG_HOUR)).agg(F.count(F.lit(1)).alias("n_posts"))
 
 
+POSTS_END = "2024-01-28 07:00:00"
+
+
+@query(
+    "c5_posts_end",
+    with_(
+        f"""SELECT {hour('negative_hour_bucket')} AS negative_hour_bucket, at_uri FROM early""",
+        early=f"""SELECT at_uri, negative_hour_bucket FROM (
+                    SELECT *, row_number() OVER (PARTITION BY negative_hour_bucket ORDER BY sample_score, at_uri) AS rn
+                    FROM scored WHERE negative_hour_bucket < TIMESTAMP '{POSTS_END}')
+                  WHERE rn <= {t.NEGATIVES_PER_HOUR}""",
+    ),
+)
+def c5_posts_end(spark: SparkSession, sf: str) -> DataFrame:
+    """The hourly draw where the posts end before the holdout does."""
+    window = posts_ops.post_window(t.raw_posts(spark, sf), t.WINDOWS)
+    chosen = posts_ops.choose_hourly(
+        window, _counts(spark, sf), t.WINDOWS, t.NEGATIVES_PER_HOUR, posts_end=POSTS_END, share=t.NEGATIVE_SHARE
+    )
+    return chosen.select(t.time_text(N.NEG_HOUR).alias(N.NEG_HOUR), N.POST)
+
+
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
     return popularity.candidate_counts(t.raw_likes(spark, sf), t.NEGATIVE_SHARE, t.MIN_NEGATIVE_LIKES)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import names as N
-from tidemark.functions.codec import decode_vector, encode_vector
+from tidemark.functions.codec import decode_vector
 from tidemark.functions.times import parse_timestamp
 from tidemark.functions.vectors import pick_embedding
 from tidemark.plans.durable import ensure_checkpoint_dir
@@ -43,40 +43,27 @@ def a1(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _name_by_stamp(spark: SparkSession, folder: str) -> None:
-    """Give the one file of each ``day=`` folder its hourly-file name."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(folder)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for day in fs.listStatus(root):
-        name = day.getPath().getName()
-        if name.startswith("day="):
-            for part in fs.listStatus(day.getPath()):
-                if part.getPath().getName().endswith(".parquet"):
-                    fs.rename(part.getPath(), hadoop.Path(folder, f"likes_{name[4:]}_000000.parquet"))
-
-
 A2_START, A2_END = "2024-01-05 06:00:00", "2024-01-20 00:00:00"
 
 
 @query(
     "a2_stamped_files",
-    f"""SELECT {hour("date_trunc('day', ts)")} AS stamp, count(*) AS n_rows FROM events
-        WHERE date_trunc('day', ts) >= TIMESTAMP '{A2_START}' AND date_trunc('day', ts) < TIMESTAMP '{A2_END}'
+    f"""SELECT {hour("date_trunc('hour', ts)")} AS stamp, count(*) AS n_rows,
+               {micro('min(ts)')} AS first_ts, {micro('max(ts)')} AS last_ts FROM events
+        WHERE date_trunc('hour', ts) >= TIMESTAMP '{A2_START}' AND date_trunc('hour', ts) < TIMESTAMP '{A2_END}'
         GROUP BY ALL""",
 )
 def a2(spark: SparkSession, sf: str) -> DataFrame:
-    """Events of the given tables as stamped files, one per day, then read back by window."""
+    """Events of the given tables as stamped files, one an hour, then read back by window."""
     folder = shared_folder(spark, "stamped")
-    stamped = t.raw_likes(spark, sf).withColumn("day", F.date_format(N.TS, "yyyyMMdd"))
-    io.write_table(stamped.repartition("day"), folder, ["day"])
-    _name_by_stamp(spark, folder)
+    io.write_stamped(t.raw_likes(spark, sf), folder, "likes")
     found = io.scan_stamped(spark, folder, "likes", A2_START, A2_END)
-    file_day = io.file_stamp(F.col("_metadata.file_path"), "likes")
+    stamp = io.file_stamp(F.col("_metadata.file_path"), "likes")
     return (
-        found.select(t.time_text(F.date_trunc("day", file_day)).alias("stamp"))
+        found.select(t.time_text(stamp).alias("stamp"), N.TS)
         .groupBy("stamp")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.min(N.TS).alias("a"), F.max(N.TS).alias("b"))
+        .select("stamp", "n_rows", t.micro_text("a").alias("first_ts"), t.micro_text("b").alias("last_ts"))
     )
 
 
@@ -193,30 +180,38 @@ def a9(spark: SparkSession, sf: str) -> DataFrame:
     with_(
         """SELECT (SELECT count(*) FROM sampled_posts) AS n_posts_candidate,
                   (SELECT count(DISTINCT at_uri) FROM sampled_posts) AS n_posts_candidate_unique,
-                  count(embedding) AS n_embeddings_valid, count(*) - count(embedding) AS n_embeddings_null,
-                  0 AS n_embeddings_wrong_dim, 0 AS n_embeddings_duplicate_uri,
+                  count(embedding) AS n_embeddings_valid,
+                  CAST(sum(CASE WHEN embedding IS NULL THEN 1 + nth % 2 + (nth // 2) % 2 ELSE 0 END) AS BIGINT) AS n_embeddings_null,
+                  CAST(sum(CASE WHEN embedding IS NOT NULL THEN nth % 2 ELSE 0 END) AS BIGINT) AS n_embeddings_wrong_dim,
+                  CAST(sum(CASE WHEN embedding IS NOT NULL THEN (nth // 2) % 2 ELSE 0 END) AS BIGINT) AS n_embeddings_duplicate_uri,
                   (SELECT count(DISTINCT at_uri) FROM sampled_posts) - count(embedding)
                     AS n_posts_dropped_no_embedding
-           FROM post_vectors WHERE at_uri IN (SELECT at_uri FROM sampled_posts)"""
+           FROM (SELECT *, CAST('0x' || substr(md5(at_uri), 1, 6) AS BIGINT) % 4 AS nth FROM post_vectors)
+           WHERE at_uri IN (SELECT at_uri FROM sampled_posts)"""
     ),
 )
 def a9_stats(spark: SparkSession, sf: str) -> DataFrame:
-    posts = t.raw_posts(spark, sf, with_vectors=True)
+    """Counts over encoded posts that come again with short and with other vectors."""
+    posts = t.encoded_posts(spark, sf)
     candidates = t.core(spark, sf).sampled_posts
-    vectors = emb.candidate_vectors(posts, candidates, F.col("embedding"))
-    return emb.embedding_stats(vectors, candidates, t.DIM)
+    return emb.embedding_stats(emb.candidate_vectors(posts, candidates, emb.raw_vector(t.MODEL)), candidates, t.DIM)
 
 
-def encoded_posts(spark: SparkSession, sf: str) -> DataFrame:
-    """The vectors as raw posts carry them: a list of ``{key, value}`` with text bodies."""
-    vectors = t.table(spark, sf, "embeddings")
-    return vectors.select(
-        "vec_id",
-        F.array(
-            F.struct(F.lit("other").alias("key"), F.lit("unused").alias("value")),
-            F.struct(F.lit("all_MiniLM_L6_v2").alias("key"), encode_vector("embedding").alias("value")),
-        ).alias("embeddings"),
-    )
+@query(
+    "a9_first_vector",
+    with_("""SELECT at_uri, emb_idx, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS vector_sum
+             FROM emb_table"""),
+)
+def a9_first(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of the same encoded posts: the first vector of the right length counts."""
+    posts = t.encoded_posts(spark, sf)
+    vectors = emb.candidate_vectors(posts, t.core(spark, sf).sampled_posts, emb.raw_vector(t.MODEL))
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return emb.embedding_table(vectors, t.DIM).select(N.POST, N.EMB, F.round(total, 6).alias("vector_sum"))
+
+
+def encoded_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return t.table(spark, sf, "embeddings").select("vec_id", t.encoded_vector("embedding").alias("embeddings"))
 
 
 @query(
@@ -228,7 +223,7 @@ def encoded_posts(spark: SparkSession, sf: str) -> DataFrame:
 )
 def b2(spark: SparkSession, sf: str) -> DataFrame:
     """Write the vectors in their text form and decode them again."""
-    decoded = encoded_posts(spark, sf).select(
+    decoded = encoded_vectors(spark, sf).select(
         "vec_id", decode_vector(pick_embedding("embeddings", "all_MiniLM_L6_v2")).alias("v")
     )
     return decoded.select(

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import names as N
+from tidemark.functions.codec import encode_vector
 from tidemark.functions.splits import Windows
 from tidemark.operators.cohorts import eligible_users
 from tidemark.operators.flow import CoreTables, Settings, core_tables, history_table
 from tidemark.session import use_utc
+from tidemark.sources.embeddings import raw_vector
 from tidemark.sources.tables import scan
 
 WINDOWS = Windows("2024-01-01 00:00:00", "2024-01-21 00:00:00", "2024-01-26 00:00:00", "2024-01-31 00:00:00")
@@ -64,6 +66,37 @@ def raw_posts(spark: SparkSession, sf_dir: str, with_vectors: bool = False) -> D
     return keyed.join(vectors, "vec_id", "left").drop("vec_id")
 
 
+MODEL = "all_MiniLM_L6_v2"
+
+
+def encoded_vector(vector: Column | str) -> Column:
+    """A vector as raw posts carry it: a list of ``{key, value}`` with text bodies."""
+    return F.array(
+        F.struct(F.lit("other").alias("key"), F.lit("unused").alias("value")),
+        F.struct(F.lit(MODEL).alias("key"), encode_vector(vector).alias("value")),
+    )
+
+
+def encoded_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw posts with encoded vectors; by their hash some come again, a moment later, with a vector that is
+    cut short, some with a negated one, and some with both.
+
+    Posts without a vector have a null list.
+    """
+    posts = raw_posts(spark, sf_dir, with_vectors=True)
+    digit = F.conv(F.substring(F.md5(N.POST), 1, 6), 16, 10).cast("long")
+    later = lambda us: (F.unix_micros(N.TS) + us).cast("long")
+    half = posts.where(digit % 2 == 1).withColumns(
+        {N.TS: F.timestamp_micros(later(1)), "embedding": F.slice("embedding", 1, DIM // 2)}
+    )
+    other = posts.where(F.floor(digit / 2) % 2 == 1).withColumns(
+        {N.TS: F.timestamp_micros(later(2)), "embedding": F.transform("embedding", lambda x: -x)}
+    )
+    every = posts.unionByName(half).unionByName(other)
+    encoded = F.when(F.col("embedding").isNotNull(), encoded_vector("embedding"))
+    return every.withColumn("embeddings", encoded).drop("embedding")
+
+
 def orders_likes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as likes: customer, part, order date, with the supplier as author."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -76,9 +109,18 @@ def orders_likes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_settings: dict[tuple[str, str], Settings] = {}
+
+
 def settings(spark: SparkSession, sf_dir: str) -> Settings:
-    """Test settings: six in ten eligible users for training, three in ten unseen."""
-    eligible = eligible_users(raw_likes(spark, sf_dir), MIN_LIKES).count()
+    """Test settings: six in ten eligible users for training, three in ten unseen; users are counted once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _settings:
+        _settings[key] = _settings_of(eligible_users(raw_likes(spark, sf_dir), MIN_LIKES).count())
+    return _settings[key]
+
+
+def _settings_of(eligible: int) -> Settings:
     return Settings(
         windows=WINDOWS,
         min_likes=MIN_LIKES,
@@ -97,12 +139,12 @@ _core: dict[tuple[str, str], CoreTables] = {}
 _history: dict[tuple[str, str], DataFrame] = {}
 
 
-def build_core(spark: SparkSession, sf_dir: str, folder: str | None = None) -> CoreTables:
+def build_core(spark: SparkSession, sf_dir: str, folder: str | None = None, encoded: bool = False) -> CoreTables:
     return core_tables(
         raw_likes(spark, sf_dir),
-        raw_posts(spark, sf_dir, with_vectors=True),
+        encoded_posts(spark, sf_dir) if encoded else raw_posts(spark, sf_dir, with_vectors=True),
         settings(spark, sf_dir),
-        F.col("embedding"),
+        raw_vector(MODEL) if encoded else F.col("embedding"),
         DIM,
         folder,
     )
