@@ -27,7 +27,7 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_copy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The tables hold no pictures: one is drawn of each vector, and an edited copy of each query.
+    # The tables hold no pictures: one is drawn of each vector, and an edited copy of each query (ids by 100: vectors by 50).
     images = image_copies.pictures_of(table(spark, sf_dir, "embeddings"), every=50)
     return image_copies.find_copies(images, queries="image_id % 100 = 0")
 
