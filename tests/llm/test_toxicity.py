@@ -2,6 +2,7 @@ import os
 import zlib
 
 import numpy as np
+import pytest
 from cases import ROWS, empty, frame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,73 @@ def test_hidden_positives_are_found():
     assert right >= 970
 
 
+def risk(w, bias, positive, unlabelled, prior):
+    """The non-negative risk, text by text."""
+    loss = lambda texts, sign: np.mean([np.log1p(np.exp(-sign * (bias + sum(w[f] for f in x)))) for x in texts])
+    return prior * loss(positive, 1) + max(0.0, loss(unlabelled, -1) - prior * loss(positive, -1))
+
+
+def test_descent_reaches_the_least_risk():
+    """No small change of a weight or of the bias lowers the risk, and the risk is that of the definition."""
+    rng = np.random.default_rng(3)
+    positive = [rng.choice(6, 3, replace=False) for _ in range(40)]
+    unlabelled = [rng.choice(6, 3, replace=False) if rng.random() < 0.3 else rng.choice(np.arange(2, 8), 3, replace=False) for _ in range(120)]
+    rows = positive + unlabelled
+    row, column = np.repeat(np.arange(len(rows)), 3), np.concatenate(rows)
+    first = np.arange(len(rows)) < 40
+    w, bias = X._descend(row, column, first, 0.3, np.zeros(8), 0.0, 0.0, 0.05)
+    penalised = lambda w, b: risk(w, b, positive, unlabelled, 0.3) + 0.05 / 2 * (w**2).sum()
+    least = penalised(w, bias)
+    for k in range(8):
+        for step in (-0.02, 0.02):
+            moved = w.copy()
+            moved[k] += step
+            assert penalised(moved, bias) >= least - 1e-5
+    assert min(penalised(w, bias + 0.02), penalised(w, bias - 0.02)) >= least - 1e-5
+
+
+def test_share_of_a_mixture():
+    rng = np.random.default_rng(4)
+    for share in (0.02, 0.3, 0.8):
+        known = rng.normal(2, 1, 500), rng.normal(-2, 1, 500)
+        own = np.concatenate([rng.normal(2, 1, int(3000 * share)), rng.normal(-2, 1, int(3000 * (1 - share)))])
+        assert abs(X.mixed_share(*known, own) - share) < 0.04
+
+
+def test_near_copies_count_once():
+    rng = np.random.default_rng(6)
+    base = [np.unique(rng.integers(0, X.DIMENSIONS, 300)) for _ in range(50)]
+    copies = [np.delete(b, rng.integers(len(b), size=5)) for b in base for _ in range(6)]
+    assert len(X.without_near_copies(base)) == 50
+    assert 50 <= len(X.without_near_copies(base + copies)) <= 55
+
+
+@pytest.mark.parametrize("copies", [2, 15])
+def test_more_toxic_documents_than_labels(spark, copies):
+    """Unlabelled near copies of every toxic document: the labels' share is far from that of the documents."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{BIG}/labels.parquet")
+    toxic = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id")
+    number = F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("n")
+    changed = F.concat(F.lit("Copy "), F.col("n"), F.lit(" of "), F.regexp_replace("text", "e([^e]*)$", "$1"))
+    more = toxic.select("doc_id", "text", number).select((F.col("doc_id") + 10_000_000 * F.col("n")).alias("doc_id"), changed.alias("text"))
+    scored = X.score(docs.unionByName(more), labels).where("held_out").select((F.col("doc_id") % 10_000_000).alias("doc_id"), "predicted")
+    counts = {(r["toxic"], r["predicted"]): r["count"] for r in scored.join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert counts[1, 1] >= 0.8 * (counts[1, 1] + counts.get((1, 0), 0))
+    assert counts.get((0, 1), 0) <= 0.03 * (counts[0, 0] + counts.get((0, 1), 0))
+
+
+@pytest.mark.parametrize("positives,recall", [(100, 0.6), (350, 0.8)])
+def test_few_labels(spark, positives, recall):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{BIG}/labels.parquet")
+    few = labels.where((X.fold(F.col("doc_id"), 5) == 0) | (F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < positives * 1000 // 420))
+    scored = X.score(docs, few).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    counts = {(r["toxic"], r["predicted"]): r["count"] for r in scored}
+    assert counts[1, 1] >= recall * (counts[1, 1] + counts.get((1, 0), 0))
+    assert counts.get((0, 1), 0) <= 0.03 * (counts[0, 0] + counts.get((0, 1), 0))
+
+
 def test_held_out(spark):
     scored = QUERIES["op1_toxicity"](spark, BIG).where("held_out")
     labels = spark.read.parquet(f"{BIG}/labels.parquet")
