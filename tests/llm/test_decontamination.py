@@ -22,11 +22,11 @@ def brute(docs, items, window=10):
     windows = {}
     for item, text in items:
         w = words(text)
-        if item is None or not w:
+        if not w:
             continue
         k = min(window, len(w))
         for i in range(len(w) - k + 1):
-            windows.setdefault(k, {}).setdefault(tuple(w[i : i + k]), set()).add(str(item))
+            windows.setdefault(k, {}).setdefault(tuple(w[i : i + k]), set()).add(None if item is None else str(item))
     rows = []
     for doc, text in docs:
         w, hit, found = words(text), set(), set()
@@ -35,7 +35,7 @@ def brute(docs, items, window=10):
                 if names := own.get(tuple(w[i : i + k])):
                     hit |= set(range(i, i + k))
                     found |= names
-        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        digest = hashlib.sha256(",".join(sorted(f for f in found if f is not None)).encode()).hexdigest()
         rows.append((doc, len(w), len(hit), len(found), digest, bool(hit)))
     return sorted(rows, key=repr)
 
@@ -102,6 +102,25 @@ def test_longest_passages(spark):
     assert max(lengths) == 80_000
 
 
+def test_every_item_has_its_longest_passage(spark):
+    """Items that share a beginning with another, a nameless one among them, each against brute force."""
+    rng = np.random.default_rng(9)
+    text = lambda n: [str(x) for x in rng.choice(list("abcdefgh"), n)]
+    head = text(20)
+    bench = [(1, head + text(10)), (2, head + text(20)), (3, text(5) + head), (None, head[3:18])]
+    doc = text(7) + bench[1][1] + text(9) + bench[0][1][:25] + text(4)
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in bench], "item_id long, text string")
+    found, *_ = find_passages(frame(spark, [(1, " ".join(doc))]), rows)
+    longest = {}
+    for m in found.first()["matches"]:
+        longest[m["item_id"]] = max(longest.get(m["item_id"], 0), m["length"])
+        item = next(w for i, w in bench if (None if i is None else str(i)) == m["item_id"])
+        assert doc[m["doc_start"] : m["doc_start"] + m["length"]] == item[m["item_start"] : m["item_start"] + m["length"]]
+    for item, w in bench:
+        want = max(n for a in range(len(w)) for b in range(len(doc)) for n in [next((k for k in range(len(w) - a) if b + k >= len(doc) or w[a + k] != doc[b + k]), len(w) - a)])
+        assert longest[None if item is None else str(item)] == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=80), st.integers(1, 12))
 def test_suffix_array(values, depth):

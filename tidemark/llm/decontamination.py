@@ -14,7 +14,7 @@ word outside the vocabulary: no benchmark suffix goes on beyond it.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.rows import appended, fresh, schema_with, steps, text_buffer
 from tidemark.llm.words import hash_text_words, hash_words, lower_table, spans
+from tidemark.plans.durable import cut
 
 WINDOW = 10
 #: Text of benchmark items that is broadcast at a time; more items make more passes.
@@ -75,8 +76,11 @@ class TestSet:
         #: Per distinct window: the first window with its words, its length, and its items.
         self.first = np.unique(self.kind, return_index=True)[1]
         self.depth = depth[self.first]
-        pairs = np.unique(np.stack([self.kind, self.item]), axis=1)
-        self.items = np.split(pairs[1], np.flatnonzero(np.diff(pairs[0])) + 1) if len(depth) else []
+        #: Items of each distinct window, and the first window with its words in each of them.
+        pairs, self.first_in = np.unique(self.kind * max(1, len(words)) + self.item, return_index=True)
+        pair_kind, self.pair_item = np.divmod(pairs, max(1, len(words)))
+        self.pairs_of = np.searchsorted(pair_kind, np.arange(len(self.first) + 1))
+        self.items = np.split(self.pair_item, self.pairs_of[1:-1]) if len(depth) else []
 
 
 def suffix_array(numbers: np.ndarray, depth: int, vocabulary: int) -> np.ndarray:
@@ -162,23 +166,28 @@ def find(numbers: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray]:
 
 
 def passages(who: np.ndarray, where: np.ndarray, tests: TestSet) -> list[tuple[int, int, int, int]]:
-    """Longest verbatim passages ``(item, item start, position, length)`` from the occurrences of windows.
+    """Longest verbatim passages ``(item, item start, position, length)`` of each item from the occurrences of windows.
 
-    From left to right: a window goes on with the passage before it if the item
-    does; else it starts a passage of the first item with its words.
+    Item by item, from left to right: a window goes on with the passage before it if the item
+    does; else it starts a passage where the item first has its words.
     """
-    order = np.lexsort((where, tests.depth[who]))
+    sizes = np.diff(tests.pairs_of)[who]
+    pair = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(tests.pairs_of[who], sizes)
+    where, who = np.repeat(where, sizes), np.repeat(who, sizes)
+    order = np.lexsort((where, tests.depth[who], tests.pair_item[pair]))
     found: list[tuple[int, int, int, int]] = []
     kind, item = tests.kind.tolist(), tests.item.tolist()
     kind.append(-1)
+    item.append(-1)
     test = place = head = length = -2
-    for k, at in zip(who[order].tolist(), where[order].tolist()):
-        if at == place + 1 and kind[test + 1] == k and item[test + 1] == item[test]:
+    own, start = tests.pair_item[pair][order].tolist(), tests.first_in[pair][order].tolist()
+    for k, at, i, begin in zip(who[order].tolist(), where[order].tolist(), own, start):
+        if at == place + 1 and item[head] == i and kind[test + 1] == k and item[test + 1] == i:
             test, place, length = test + 1, at, length + 1
             continue
         if length > 0:
             found.append((item[head], int(tests.item_start[head]), place - (test - head), length))
-        test = head = int(tests.first[k])
+        test = head = begin
         place, length = at, int(tests.depth[k])
     if length > 0:
         found.append((item[head], int(tests.item_start[head]), place - (test - head), length))
@@ -210,14 +219,19 @@ def _search(tests: TestSet, batch: pa.RecordBatch, text: str) -> tuple[np.ndarra
             )
         for row, kind in np.unique(np.stack([row_of(where), who]), axis=1).T.tolist():
             items[row] += [tests.names[i] for i in tests.items[kind]]
-    return counts, found, [sorted(set(names)) for names in items]
+    return counts, found, [_named(names) for names in items]
+
+
+def _named(names: Iterable[str | None]) -> list[str | None]:
+    """Distinct names in order, null last."""
+    return sorted(set(names), key=lambda n: (n is None, n or ""))
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """The items as lists of about ``block_bytes`` of text, streamed through the driver."""
     block, size = [], 0
     for name, words in benchmark.select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
-        if name is None or not words:
+        if not words:
             continue
         block.append((name, words))
         size += len(words)
@@ -242,22 +256,23 @@ def find_passages(
     Returns the DataFrame and the names of the three columns added, ``n_words``,
     ``matches`` and ``items`` (underscores in front where ``docs`` has such a
     column).  A passage has at least ``window`` words, or is a whole item of fewer;
-    words that several items share are reported once, for the first of them, and
-    ``items`` names them all.  The benchmark is
+    words that several items share are reported for each of them.  The benchmark is
     the query set: it goes to the tasks in blocks of bounded size, and each block
-    passes over all documents.
+    passes over all documents.  With several blocks the result of each is written, so that the driver and the
+    tasks hold one block at a time.
 
-    Null and empty texts have no words and no matches; items with a null id or
-    without words match nothing; items that share an id are one item; equal rows
-    give equal results; an empty benchmark or table gives no matches or no rows.
+    Null and empty texts have no words and no matches; items without words match
+    nothing; items that share an id are one item, so are those with a null id, whose matches have
+    no name; equal rows give equal results; an empty benchmark or table gives no matches or no rows.
     """
     count, matches, items = (fresh(docs, name) for name in ("n_words", "matches", "items"))
     context = docs.sparkSession.sparkContext
     docs_columns = list(range(len(docs.columns)))
-    blocks = list(blocks_of(benchmark, item_id, item_text, block_bytes)) or [[]]
+    blocks = blocks_of(benchmark, item_id, item_text, block_bytes)
     added = [(count, T.LongType()), (matches, MATCH), (items, T.ArrayType(T.StringType()))]
-    out = docs
-    for k, block in enumerate(blocks):
+    out, k, block = docs, 0, next(blocks, [])
+    while block is not None:
+        following = next(blocks, None)
         shared = context.broadcast(TestSet(block, window))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0) -> Iterator[pa.RecordBatch]:
@@ -266,7 +281,7 @@ def find_passages(
                 if not first:
                     found = [a + b for a, b in zip(batch.column(batch.schema.get_field_index(matches)).to_pylist(), found)]
                     before = batch.column(batch.schema.get_field_index(items)).to_pylist()
-                    names = [sorted({*a, *b}) for a, b in zip(before, names)]
+                    names = [_named([*a, *b]) for a, b in zip(before, names)]
                     batch = batch.select(docs_columns)
                 yield appended(
                     batch,
@@ -278,13 +293,18 @@ def find_passages(
                 )
 
         out = out.mapInArrow(search, schema_with(docs, *added))
+        if following is not None:
+            out = cut(out)
+            shared.destroy()
+        k, block = k + 1, following
     return out, count, matches, items
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
-    ``n_hit`` counts the words inside any passage, ``n_items`` the items that have one.
+    ``n_hit`` counts the words inside any passage, ``n_items`` the items that have one (all items with a null id are
+    one, which the digest leaves out).
     Of ``docs`` only ``doc_id`` and ``text`` are read.  Cases as in :func:`find_passages`.
     """
     found, *_ = find_passages(docs.select("doc_id", "text"), benchmark, window=window, **options)
@@ -299,7 +319,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *
                     reach = max(reach, end)
                 hits.append(total)
                 items.append(len(names))
-                sums.append(hashlib.sha256(",".join(names).encode()).hexdigest())
+                sums.append(hashlib.sha256(",".join(n for n in names if n is not None).encode()).hexdigest())
             hits = pa.array(hits, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -321,6 +341,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **options) -> DataFrame:
-    """``docs`` without the rows that hold a passage of the benchmark; columns unchanged."""
+    """``docs`` without the rows that hold a passage of the benchmark; columns unchanged.
+
+    Null and empty texts stay; repeated rows go or stay together; null ids are judged by their text;
+    an empty benchmark keeps all, an empty table gives none.
+    """
     found, _, matches, _ = find_passages(docs, benchmark, window=window, **options)
     return found.where(F.size(F.col(f"`{matches}`")) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
