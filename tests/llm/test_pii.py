@@ -166,27 +166,60 @@ def planted():
     """``(text, personal)``: known spans, and numbers of unknown truth that are or are not personal."""
     rng = np.random.default_rng(7)
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + str(c) for c in range(10) if luhn(body + str(c)))
+
     phone = lambda: f"0{digits(2)} {digits(3)} {digits(4)}"
     address = lambda first: ":".join([first, *(f"{v:x}" for v in rng.integers(4096, 65536, 7))])
     out = []
-    for i in range(400):
+    for i in range(300):
+        c = card()
         out.append((f"call +1 {digits(3)} {digits(3)} {digits(4)} or mail u{i}@x.org, host 233.254.104.{i % 250}", None))
+        out.append((f"paid by {card()[:16]} and by phone +44 20 {digits(4)} {digits(4)}", None))
         out.append((f"commit ede43f42c939b{digits(10)}c7 of 2024-01-1{i % 10} 12:30, order 7{digits(9)}", False))
         out.append((f"at 10:{i % 60:02d}:11:{i % 24:02d} the device 0a:1b:2c:3d:4e:{i % 90 + 10} sent 9{digits(9)} bytes", False))
+        out.append((f"The population was 1{digits(9)} and more", False))
+        out.append((f"total 1{digits(11)} units", False))
+        out.append((f"e is 2.71828{digits(10)} or so", False))
+        out.append((f"a sum of 1.{digits(3)}.{digits(3)}.{digits(3)} in all", False))
         out.append((f"please call {phone()} today", True))
         out.append((f"from {address('2001')} again", True))
+        out.append((f"my phone: 0{digits(2)}-{digits(3)}-{digits(4)}", True))
+        out.append((f"Visa {c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]} is mine", True))
+        out.append((f"write to jane{i} [at] mail [dot] org please", True))
     return out
 
 
 def test_unknown_candidates(spark):
-    """Numbers that pass a check are rejected by what is around them, and others are found."""
+    """Numbers that pass a check are rejected by format and context, and others are found, with precision and recall of 0.95."""
     texts = planted()
     out = {r["doc_id"]: r for r in P.find_personal_data(frame(spark, [(i, t) for i, (t, _) in enumerate(texts)])).collect()}
     for i, (text, personal) in enumerate(texts):
         spans = [s for s in out[i]["spans"].split(",") if s]
         if personal is None:
             assert spans == list(filter(None, digest(brute(text)).split(","))), text
-    found = {p: [bool(out[i]["spans"]) for i, (_, own) in enumerate(texts) if own == p] for p in (True, False)}
-    right, wrong = sum(found[True]), sum(found[False])
-    assert right >= 0.95 * len(found[True]), right
-    assert wrong <= 0.02 * (right + wrong), wrong
+    found = {p: {i: bool(out[i]["spans"]) for i, (_, own) in enumerate(texts) if own == p} for p in (True, False)}
+    right, wrong = (sum(found[p].values()) for p in (True, False))
+    assert right >= 0.95 * len(found[True]), [texts[i] for i, f in found[True].items() if not f][:8]
+    assert wrong <= 0.05 * (right + wrong), [(texts[i], out[i]["spans"]) for i, f in found[False].items() if f][:8]
+
+
+def test_the_trees_decide(spark):
+    """The same candidates are accepted or not by the threshold alone."""
+    texts = [(i, t) for i, (t, _) in enumerate(planted()[:260])]
+    found, base, candidates = P.scan(frame(spark, texts))
+    trees = P.train(found, base, candidates)
+    count = lambda t: found.select(F.sum(F.size(P.accepted(t, F.col(candidates))))).first()[0]
+    everything, some = count(trees._replace(threshold=-np.inf)), count(trees)
+    assert count(trees._replace(threshold=np.inf)) == 0 < some < everything
+
+
+def test_numbers_of_the_given_documents(spark):
+    """Texts of the tables with look-alikes added: their base spans stay and nothing comes beside them."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    added = ["The population was 1234567890", "total 123456789012 units", "e = 2.718281828459045", "in 1.234.567.890 cases"]
+    more = frame(spark, [(10**6 + i, t) for i, t in enumerate(added)])
+    out = {r["doc_id"]: r["spans"] for r in P.find_personal_data(docs.unionByName(more)).collect()}
+    assert [out[10**6 + i] for i in range(len(added))] == [""] * len(added)

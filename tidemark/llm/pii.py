@@ -4,15 +4,16 @@ Base spans follow four patterns with their checks.  Generators then propose many
 more, overlapping ones: whatever looks like a number, an address of a machine or
 a mail address, also in disguise.  Each candidate has a few small features of its
 format and context.  Where the truth of a candidate is known, its features are
-counted; boosted trees are grown from that table of counts and calibrated, and the
-lowest score that is precise enough accepts candidates whose truth is not known.
+counted; boosted trees are grown from that table of counts, and the
+lowest score that is precise enough on documents they have not seen accepts candidates.
 
-A candidate is known to be one if it meets a base span of its kind or is a whole
-IPv6 address of an assigned range.  It is known to be none if its check fails, and
-also where it passes the check: in a hash or an identifier, in a date, or after a
-word that announces a number of another sort.  What meets a base span of another
-kind only is no candidate.  A phone number's plus and length, which tell the known
-from the unknown, are no features.
+A candidate is known to be one if it meets a base span of its kind, and to be none if its check fails
+or if it meets a base span of another kind only.  A plus before a number, which makes a phone number a base span, is no
+feature.  Known spans also stand for what they would be elsewhere (surrogates): the digits of a card or phone number
+are personal in any format after a word that announces them, and are not as a decimal, as a count in thousands, as a
+bare number without such a word, after a word that announces another number, in a date, glued into a longer token, or
+cut short.
+No rule accepts or rejects a candidate whose truth is not known: its score does.
 
 Scanning, counting and scoring are DataFrame expressions.  The table of counts has
 a row for each combination of features at most, however many texts there are.
@@ -63,11 +64,16 @@ DATE = (
 IPV6 = "^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"
 IPV6_ASSIGNED = "^(?:[23][0-9A-Fa-f]{3}|[fF][cdCD][0-9A-Fa-f]{2}|[fF][eE]80):"
 
-#: Kind 4 is an address in hexadecimal groups.
-FEATURES = ("kind", "check", "digits", "marks", "left", "right", "word")
+FEATURES = ("kind", "check", "digits", "format", "left", "right", "word", "glued", "date")
+#: Formats, from those of other numbers to those of personal ones.
+PLAIN_DIGITS, DECIMAL, THOUSANDS, DOTS, BLANKS, HYPHENS, BRACKETS = range(7)
+#: What is said before: a word for another number, nothing, or a word for such data.
+OTHER_WORD, NO_WORD, OWN_WORD = range(3)
+#: One document in this many is kept for the threshold.
+HELD_OUT = 4
 #: Precision on known candidates that an accepted score must have.
 PRECISION = 0.98
-TREES, RATE, LEAST_CURVATURE = 20, 0.3, 5.0
+TREES, RATE, LEAST_CURVATURE = 40, 0.3, 2.0
 
 _SPANS = "array<struct<s:int,e:int,t:string>>"
 
@@ -158,7 +164,7 @@ def _passes(x: Column) -> Column:
     """Whether the check of a candidate's kind holds."""
     t, kind = x["t"], x["kind"]
     return (
-        F.when(_hex_groups(x), t.rlike(IPV6))
+        F.when(_hex_groups(x), t.rlike(IPV6) & t.rlike(IPV6_ASSIGNED))
         .when(kind == 1, t.rlike(rf"^{PART}(?:[.,]{PART}){{3}}$"))
         .when(kind == 2, _is_card(t))
         .when(kind == 3, F.length(digits_of(t)).between(9, 15))
@@ -166,26 +172,75 @@ def _passes(x: Column) -> Column:
     )
 
 
+def _digits_feature(count: Column) -> Column:
+    # Known phone numbers have a country code, so their length decides no more than the plus.
+    return sum(((count >= bound).cast("int") for bound in (7, 9, 13, 16, 17, 20)), F.lit(0))
+
+
+def _format(x: Column) -> Column:
+    """How a candidate is written."""
+    t = F.regexp_replace(x["t"], r"^\+", "")
+    number = (
+        F.when(t.rlike("^[0-9]+$"), PLAIN_DIGITS)
+        .when(t.rlike(r"^[0-9]{1,6}\.[0-9]+$"), DECIMAL)
+        .when(t.rlike(r"^[0-9]{1,3}(?:\.[0-9]{3})+$") | t.rlike("^[0-9]{1,3}(?: [0-9]{3})+$"), THOUSANDS)
+        .when(t.rlike("[()]"), BRACKETS)
+        .when(t.rlike("-"), HYPHENS)
+        .when(t.rlike(r"\."), DOTS)
+        .otherwise(BLANKS)
+    )
+    return F.when(x["kind"] >= 2, number).otherwise(t.rlike(r"[\[(,]").cast("int"))
+
+
 def _features(text: Column, x: Column) -> list[Column]:
     """Small integers, one for each of :data:`FEATURES`."""
-    t = x["t"]
-    count = F.length(digits_of(t))
-    bucket = lambda *bounds: sum(((count >= b).cast("int") for b in bounds), F.lit(0))
     before = F.when(x["s"] > 0, F.substring(text, x["s"], F.lit(1))).otherwise(F.lit(" "))
     after = F.substring(text, x["e"] + 1, F.lit(1))
     side = lambda c: F.when(c.rlike(r"^\p{Alnum}$"), 2).when(c.rlike(r"^\S$"), 1).otherwise(0)
-    marks = t.rlike(" ").cast("int") + 2 * t.rlike("[-.]").cast("int") + 4 * t.rlike(r"[(\[]").cast("int")
+    said = _before(text, x)
     return [
-        F.when(_hex_groups(x), 4).otherwise(x["kind"]),
+        x["kind"],
         _passes(x).cast("int"),
-        bucket(7, 9, 13, 16, 17, 20),  # known phone numbers have a country code, so their length decides no more than the plus
-        marks,
+        _digits_feature(F.length(digits_of(x["t"]))),
+        _format(x),
         side(before),
         side(after),
-        _before(text, x).rlike(WORDS_BEFORE).cast("int"),
+        F.when(said.rlike(WORDS_BEFORE), OWN_WORD).when(said.rlike(ID_BEFORE), OTHER_WORD).otherwise(NO_WORD),
+        ((x["kind"] >= 2) & _in_token(text, x)).cast("int"),
+        ((x["kind"] >= 2) & x["t"].rlike(DATE)).cast("int"),
     ]
 
 
+def _surrogates(base: Column) -> Column:
+    """``(f, known)`` of what the base spans would be elsewhere."""
+
+    def one(kind: int, x: Column) -> Column:
+        count = _digits_feature(F.length(digits_of(x["t"])))
+
+        def row(known: int, format: int, word: int, side: int = 0, glued: int = 0, date: int = 0, short: bool = False) -> Column:
+            check, digits = (F.lit(0), F.lit(1)) if short else (F.lit(1), count)
+            values = (F.lit(kind), check, digits, *(F.lit(v) for v in (format, side, side, word, glued, date)))
+            return F.struct(F.array(*values).alias("f"), F.lit(known).alias("known"))
+
+        if kind < 2:
+            return F.array(*[row(1, format, word) for format in (0, 1) for word in (NO_WORD, OWN_WORD)])
+        formats = (PLAIN_DIGITS, DOTS, BLANKS, HYPHENS, BRACKETS)
+        other = [(DECIMAL, w) for w in (OTHER_WORD, NO_WORD, OWN_WORD)] + [(THOUSANDS, NO_WORD), (PLAIN_DIGITS, NO_WORD)]
+        other += [(format, OTHER_WORD) for format in formats]
+        return F.array(
+            *[row(1, format, OWN_WORD) for format in formats],
+            *[row(0, format, word) for format, word in other],
+            *[row(0, PLAIN_DIGITS, word, side=2, glued=1) for word in (NO_WORD, OWN_WORD)],
+            *[row(0, format, NO_WORD, date=1) for format in (BLANKS, HYPHENS, DOTS)],
+            *[row(0, format, word, short=True) for format in formats for word in (NO_WORD, OWN_WORD)],
+        )
+
+    def of_kind(kind: int) -> Column:
+        return F.flatten(F.transform(base[KINDS[kind]], lambda x: one(kind, x)))
+
+    return F.concat(*map(of_kind, range(len(KINDS))))
+
+
 def _in_token(text: Column, x: Column) -> Column:
     """Whether a number is a piece of a hash or an identifier: what is glued to it has digits, or hexadecimal letters only."""
     glued = lambda c: c.rlike("[0-9]") | c.rlike("^[_-]*[a-f][a-f_-]*$")
@@ -195,21 +250,19 @@ def _in_token(text: Column, x: Column) -> Column:
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Candidates ``(kind, s, e, met, foreign, known, features)``, without those that meet a base span of another kind only.
+    """Candidates ``(kind, s, e, met, foreign, known, features)``.
 
-    ``met``: a base span of the kind is met, so the candidate adds none.  ``known``
-    is 1 or 0 where the truth is known, else null.
+    ``met``: a base span of the kind is met, so the candidate adds none; ``foreign``: one of another kind only.
+    ``known`` is 1 or 0 where the truth is known, else null.
     """
 
     def one(x: Column) -> Column:
-        kind, t = x["kind"], x["t"]
+        kind = x["kind"]
         met, foreign = F.lit(False), F.lit(False)
         for k, name in enumerate(KINDS):
             touches = F.exists(base[name], lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
             met, foreign = F.when(kind == k, touches).otherwise(met), foreign | ((kind != k) & touches)
-        other = (kind >= 2) & (_in_token(text, x) | t.rlike(DATE) | _before(text, x).rlike(ID_BEFORE))
-        assigned = _hex_groups(x) & t.rlike(IPV6) & t.rlike(IPV6_ASSIGNED)
-        known = F.when(met, 1).when(~_passes(x) | other, 0).when(assigned, 1)
+        known = F.when(met, 1).when(~_passes(x) | foreign, 0)
         return F.struct(
             kind.alias("kind"),
             x["s"].alias("s"),
@@ -220,7 +273,7 @@ def _candidates(text: Column, base: Column) -> Column:
             F.array(*_features(text, x)).alias("f"),
         )
 
-    return F.filter(F.transform(_proposed(text), one), lambda x: ~x["foreign"])
+    return F.transform(_proposed(text), one)
 
 
 class Trees(NamedTuple):
@@ -253,10 +306,16 @@ def _best_split(x: np.ndarray, slope: np.ndarray, curvature: np.ndarray, rows: n
     return found
 
 
-def grow(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> Trees:
-    """Trees from the counts of known candidates with features ``x``, calibrated on them."""
+def grow(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, held_positive: np.ndarray, held_negative: np.ndarray) -> Trees:
+    """Trees from the counts of known candidates with features ``x``, calibrated on those held out.
+
+    Where no positive was held out or none was left to learn from, all serve for both.
+    """
+    if not positive.sum() or not held_positive.sum():
+        positive = held_positive = positive + held_positive
+        negative = held_negative = negative + held_negative
     total = positive + negative
-    if not total.sum() or not positive.sum():
+    if not positive.sum():
         return Trees(0.0, [], np.inf)
     share = (positive.sum() + 1) / (total.sum() + 2)
     start = float(np.log(share / (1 - share)))
@@ -276,7 +335,7 @@ def grow(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> Trees:
                 values.append(float(value))
             sides.append((b, inner, *values))
         trees.append((a, bound, *sides))
-    return Trees(start, trees, calibrated(score, positive, total))
+    return Trees(start, trees, calibrated(score, held_positive, held_positive + held_negative))
 
 
 def calibrated(score: np.ndarray, positive: np.ndarray, total: np.ndarray) -> float:
@@ -295,14 +354,20 @@ def calibrated(score: np.ndarray, positive: np.ndarray, total: np.ndarray) -> fl
     return min((s for s, p, n in pools if p >= PRECISION * n), default=float("inf")) - 1e-9
 
 
-def train(found: DataFrame, candidates: str) -> Trees:
-    """Trees from all known candidates in a column made by :func:`scan`."""
-    rows = found.select(F.explode(F.col(f"`{candidates}`")).alias("x")).where("x.known IS NOT NULL")
-    counts = rows.groupBy("x.f").agg(F.sum("x.known").alias("positive"), F.count(F.lit(1)).alias("n")).collect()
-    counts.sort(key=lambda r: r["f"])
+def train(found: DataFrame, base: str, candidates: str) -> Trees:
+    """Trees from all known candidates and surrogates of columns made by :func:`scan`.
+
+    A document is learnt from or held out as a whole, by a hash of its base spans.
+    """
+    part = (F.pmod(F.xxhash64(f"`{base}`"), F.lit(HELD_OUT)) == 0).alias("held")
+    own = found.select(part, F.explode(F.col(f"`{candidates}`")).alias("x")).where("x.known IS NOT NULL").select("held", "x.f", "x.known")
+    made = found.select(part, F.explode(_surrogates(F.col(f"`{base}`"))).alias("x")).select("held", "x.f", "x.known")
+    rows = own.unionByName(made).groupBy("f").agg(
+        *[F.count_if((F.col("known") == known) & (F.col("held") == held)).alias(f"n{known}{int(held)}") for known in (0, 1) for held in (False, True)]
+    )
+    counts = sorted(rows.collect(), key=lambda r: r["f"])  # a row for each combination of features
     x = np.array([r["f"] for r in counts], np.int64).reshape(len(counts), len(FEATURES))
-    positive, n = (np.array([r[c] for r in counts], float) for c in ("positive", "n"))
-    return grow(x, positive, n - positive)
+    return grow(x, *(np.array([r[c] for r in counts], float) for c in ("n10", "n00", "n11", "n01")))
 
 
 def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, str]:
@@ -314,9 +379,8 @@ def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, str]:
 
 
 def accepted(trees: Trees, candidates: Column) -> Column:
-    """Candidates beside the base spans that are known, or unknown and reach the threshold, as ``(kind, s, e)``."""
-    precise = lambda x: x["known"].isNull() & (trees.score(x["f"]) >= float(trees.threshold))
-    chosen = F.filter(candidates, lambda x: ~x["met"] & (F.coalesce(x["known"] == 1, F.lit(False)) | precise(x)))
+    """Candidates beside the base spans that reach the threshold, as ``(kind, s, e)``."""
+    chosen = F.filter(candidates, lambda x: ~x["met"] & ~x["foreign"] & (trees.score(x["f"]) >= float(trees.threshold)))
     return F.transform(chosen, lambda x: F.struct(x["kind"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
 
 
@@ -350,7 +414,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     found, base, candidates = scan(rows)
     found = cut(found.drop("text"))  # spans only; two readers
-    trees = train(found, candidates)
+    trees = train(found, base, candidates)
     return found.select(
         "doc_id",
         *[F.size(F.col(base)[k]).cast("long").alias(f"n_{k}") for k in KINDS],
@@ -385,6 +449,6 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     found, base, candidates = scan(docs, text)
     found = cut(found)
-    trees = train(found, candidates)
+    trees = train(found, base, candidates)
     spans = all_spans(F.col(f"`{base}`"), accepted(trees, F.col(f"`{candidates}`")))
     return found.withColumn(text, masked(F.col(f"`{text}`"), spans)).select(*[F.col(f"`{c}`") for c in docs.columns])
