@@ -49,6 +49,8 @@ LEAST_POSITIVES = 3
 #: Absolute penalty in units of ``prior / sqrt(positives)``, square penalty, and steps of a run.
 PENALTY, RIDGE, STEPS = 0.1, 1e-4, 150
 FOLDS = 5
+#: Text that is scored at a time: a word makes five features.
+STEP_BYTES = 2 << 20
 #: Bins of scores and steps for the prior, bounds of a prior, and labelled rows of each sort that it takes.
 BINS, MIXING, LEAST_PRIOR, MOST_PRIOR, LEAST_LABELLED = 12, 200, 1e-4, 0.9, 8
 POSITIVE, NEGATIVE, UNLABELLED = 1, 2, 0
@@ -108,7 +110,7 @@ def _fit(positive: list[np.ndarray], other: list[np.ndarray], prior: float, corr
         return np.zeros(0, np.int64), np.zeros(0), bias
     rows = positive + other
     flat = np.concatenate(rows)
-    inside = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    inside = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     first = np.arange(len(rows)) < len(positive)
     # A feature must be able to pay its penalty, and must not stand in most texts that are not toxic.
     n_positive = np.bincount(flat[first[inside]], minlength=DIMENSIONS)
@@ -118,7 +120,7 @@ def _fit(positive: list[np.ndarray], other: list[np.ndarray], prior: float, corr
     penalty = prior * PENALTY / np.sqrt(len(positive))
     weights = np.zeros(len(used))
     for absolute, square in ((penalty, 0.0), (0.0, RIDGE)):
-        number = np.full(DIMENSIONS, -1)
+        number = np.full(DIMENSIONS, -1, np.int32)
         number[used] = np.arange(len(used))
         own = number[flat]
         weights, bias = _descend(inside[own >= 0], own[own >= 0], first, prior, weights, bias, absolute, square, corrected)
@@ -271,7 +273,7 @@ def train(
     sampled = rows.where(F.col("key").isNotNull()).join(F.broadcast(chosen), "key")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP_BYTES):
             parts = list(features(*text_buffer(batch.column("text"))))
             pairs = np.unique(np.concatenate([where * DIMENSIONS + feature for where, feature in parts]))
             points = np.searchsorted(pairs, np.arange(1, batch.num_rows) * DIMENSIONS)
@@ -292,7 +294,7 @@ def train(
         table = table.sort_by([("key", "ascending")])
         sides: dict[int, list[np.ndarray]] = {POSITIVE: [], NEGATIVE: [], UNLABELLED: []}
         for side, packed in zip(table.column("side").to_pylist(), table.column("features").to_pylist()):
-            sides[side].append(unpack_sorted(packed).astype(np.int64))
+            sides[side].append(unpack_sorted(packed).astype(np.int32))
         sides = {side: without_near_copies(rows) for side, rows in sides.items()}
         prior = estimated_prior(sides[POSITIVE], sides[NEGATIVE], sides[UNLABELLED], labelled_share)
         used, weights, bias = fit(sides[POSITIVE], sides[UNLABELLED], prior)
@@ -360,7 +362,7 @@ def add_score(docs: DataFrame, weights: Weights, text: str = "text") -> tuple[Da
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # DIMENSIONS doubles
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text):
+        for batch in steps(batches, text, STEP_BYTES):
             data, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
             margin = margins(data, offsets, shared.value)
             yield appended(batch, **{name: pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))})
