@@ -13,6 +13,7 @@ from tidemark.functions.codec import encode_vector
 from tidemark.functions.splits import Windows
 from tidemark.operators.cohorts import eligible_users
 from tidemark.operators.flow import CoreTables, Settings, core_tables, history_table
+from tidemark.plans.durable import cut
 from tidemark.session import use_utc
 from tidemark.sources.embeddings import raw_vector
 from tidemark.sources.tables import scan
@@ -50,10 +51,13 @@ def author_of(uri: str) -> Column:
     return F.substring_index(uri, "@", 1)
 
 
-def raw_posts(spark: SparkSession, sf_dir: str, with_vectors: bool = False) -> DataFrame:
-    """One post per item, made at its first like; on demand with its vector."""
+def raw_posts(spark: SparkSession, sf_dir: str, with_vectors: bool = False, likes: DataFrame | None = None) -> DataFrame:
+    """One post per item, made at its first like; on demand with its vector.
+
+    ``likes`` may be the written likes, where they are at hand.
+    """
     posts = (
-        raw_likes(spark, sf_dir)
+        (raw_likes(spark, sf_dir) if likes is None else likes)
         .groupBy(F.col(N.ITEM).alias(N.POST))
         .agg(F.min(N.TS).alias(N.TS))
         .withColumns({N.USER: author_of(N.POST), "record_text": F.col(N.POST)})
@@ -140,9 +144,11 @@ _history: dict[tuple[str, str], DataFrame] = {}
 
 
 def build_core(spark: SparkSession, sf_dir: str, folder: str | None = None, encoded: bool = False) -> CoreTables:
+    # Likes and posts are read many times: the events are parsed once and both are written.
+    likes = cut(raw_likes(spark, sf_dir))
     return core_tables(
-        raw_likes(spark, sf_dir),
-        encoded_posts(spark, sf_dir) if encoded else raw_posts(spark, sf_dir, with_vectors=True),
+        likes,
+        encoded_posts(spark, sf_dir) if encoded else cut(raw_posts(spark, sf_dir, with_vectors=True, likes=likes)),
         settings(spark, sf_dir),
         raw_vector(MODEL) if encoded else F.col("embedding"),
         DIM,
