@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,16 +76,27 @@ def counts_or_zero(counts: Column | str) -> Column:
     return F.transform(_col(counts), count_or_zero)
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    """Inner product in double precision."""
-    products = F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
+def dot(a: Column | str, b: Column | str, dim: int | None = None) -> Column:
+    """Inner product in double precision.
 
-
-def dot_score(a: Column | str, b: Column | str, temperature: float = 1.0) -> Column:
+    With ``dim`` two vectors of that length are multiplied in one compiled expression, entry by
+    entry in the same order, instead of a lambda per entry; others take the general way.
+    """
+    a, b = _col(a), _col(b)
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    general = F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
+    if dim is None:
+        return general
+    total = F.lit(0.0)
+    for i in range(dim):
+        total = total + F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double")
+    return F.when((F.size(a) == dim) & (F.size(b) == dim), total).otherwise(general)
+
+
+def dot_score(a: Column | str, b: Column | str, temperature: float = 1.0, dim: int | None = None) -> Column:
     if temperature <= 0:
         raise ValueError("temperature must be positive")
-    return dot(a, b) / F.lit(float(temperature))
+    return dot(a, b, dim) / F.lit(float(temperature))
 
 
 def l2_normalised(vector: Column | str, enabled: bool = True) -> Column:
@@ -128,6 +142,44 @@ def weight_of(kind: str, ema_alpha: float = EMA_ALPHA):
     return weights[kind]()
 
 
+def _weighted_mean(dim: int):
+    """Weighted mean of a list of vectors with a list of weights, on Arrow batches, added from the first vector on.
+
+    Null where a vector has a null entry or another length than ``dim``, and for empty lists.
+    """
+
+    def run(vectors: pa.Array, weights: pa.Array) -> pa.Array:
+        size = pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows, factors = vectors.flatten(), weights.flatten().to_numpy(zero_copy_only=False)
+        lengths = pc.list_value_length(rows).fill_null(-1).to_numpy(zero_copy_only=False)
+        first = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size
+        known = lengths == dim
+        values = rows.flatten()
+        # Entries of the vectors of the right length, in rows; the others stay zero and make their list null.
+        table = np.zeros((len(rows), dim))
+        if dim:
+            inside = np.repeat(known, np.maximum(lengths, 0))
+            table[known] = values.to_numpy(zero_copy_only=False)[inside].reshape(-1, dim)
+        holes = np.zeros(len(rows), bool)
+        if dim and values.null_count:
+            missing = values.is_null().to_numpy(zero_copy_only=False)[inside].reshape(-1, dim)
+            holes[known] = missing.any(axis=1)
+        table *= factors[:, None]
+        total, weight_sum = np.zeros((len(size), dim)), np.zeros(len(size))
+        for place in range(int(size.max(initial=0))):
+            longer = size > place
+            total[longer] += table[first[longer] + place]
+            weight_sum[longer] += factors[first[longer] + place]
+        total /= np.maximum(weight_sum, 1e-12)[:, None]
+        odd = np.zeros(len(size), bool)
+        odd[np.repeat(np.arange(len(size)), size)[~known | holes]] = True
+        offsets = np.arange(len(size) + 1, dtype=np.int32) * dim
+        mask = pa.array(odd | (size == 0))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(total.reshape(-1)), mask=mask)
+
+    return F.arrow_udf(run, "array<double>")
+
+
 def summary_vector(
     vectors: Column | str, dim: int, kind: str = "mean", ema_alpha: float = EMA_ALPHA, padded_length: int | None = None
 ) -> Column:
@@ -144,9 +196,11 @@ def summary_vector(
     length = F.lit(padded_length) if padded_length is not None else size
     zeros = F.array_repeat(F.lit(0.0), dim)
     weights = F.transform(vectors, lambda _, i: weight(i, length))
+    # Vectors with a null entry or of another length, seen as null above, go the general way.
     weighted = F.zip_with(vectors, weights, lambda v, w: F.struct(v.alias("v"), w.alias("w")))
-    total = F.aggregate(
+    general = F.aggregate(
         weighted, zeros, lambda acc, e: F.zip_with(acc, e["v"], lambda a, x: a + x.cast("double") * e["w"])
     )
     weight_sum = F.greatest(F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w), F.lit(1e-12))
-    return F.when(size > 0, F.transform(total, lambda x: x / weight_sum)).otherwise(zeros)
+    mean = F.coalesce(_weighted_mean(dim)(vectors, weights), F.transform(general, lambda x: x / weight_sum))
+    return F.when(size > 0, mean).otherwise(zeros)

@@ -77,8 +77,8 @@ def vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
         .withColumns(
             {
                 "popularity": F.ln(F.lit(1.0) + F.col(N.PRIOR)),
-                "dot_mean": F.round(dot_score("mean_vector", "embedding"), 9),
-                "dot_ema": F.round(dot_score("ema_vector", "embedding"), 9),
+                "dot_mean": F.round(dot_score("mean_vector", "embedding", dim=t.DIM), 9),
+                "dot_ema": F.round(dot_score("ema_vector", "embedding", dim=t.DIM), 9),
             }
         )
         .drop("mean_vector", "ema_vector", "embedding")
