@@ -13,7 +13,7 @@ from tidemark.operators.popularity import CURVE_HOUR
 from tidemark.plans.asof import asof_backward
 from tidemark.plans.durable import cut
 from tidemark.plans.ordered import quantiles_of, ranked_counts, with_position
-from tidemark.plans.spread import spread_join
+from tidemark.plans.spread import dealt, spread_join
 
 LONG_LIST = 10_000
 
@@ -107,7 +107,12 @@ def user_history(
 
 
 def history_vectors(history: DataFrame, embeddings: DataFrame, max_len: int) -> DataFrame:
-    """``(did, like_hour_bucket, vectors)`` of the newest ``max_len`` history posts."""
+    """``(did, like_hour_bucket, vectors)`` of the newest ``max_len`` history posts.
+
+    The lists of ids are dealt by user and hour before they get their vectors, in parts that stay as many
+    as they are: where the embeddings are small enough to be sent to the tasks, no vector is shuffled.
+    """
+    history = dealt(history, [USER, HOUR])
     entries = history.select(
         USER, HOUR, F.posexplode_outer(F.slice("prior_emb_indices", 1, max_len)).alias("pos", EMB)
     )

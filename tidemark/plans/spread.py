@@ -21,6 +21,19 @@ LEAST_COUNTERS = 1024
 MOST_COUNTERS = 1_000_000
 
 
+#: Parts of :func:`dealt` for each of a shuffle.
+PARTS_EACH = 4
+
+
+def dealt(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``df`` hashed on the columns into a fixed number of parts, more than a shuffle has.
+
+    For rows that grow many times over in the same stage, in a join by batch or with their vectors: adaptive
+    execution would put parts together by the size of the narrow rows, and their sorts would spill.
+    """
+    return df.repartition(PARTS_EACH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on)
+
+
 def _hash(on: Sequence[str]):
     return F.xxhash64(*[F.col(f"`{c}`") for c in on])
 
