@@ -10,7 +10,7 @@ from tidemark.functions.splits import window_of_split
 from tidemark.functions.vectors import author_or_unknown, count_or_zero
 from tidemark.names import AUTHOR_IDX, EMB, HOUR, ITEM, NEG_HOUR, POST, PRIOR, SEED, TS, USER
 from tidemark.plans.ordered import hash_bucket, with_position
-from tidemark.plans.spread import spread_join
+from tidemark.plans.spread import dealt, spread_join
 from tidemark.plans.topn import top_n_per_group
 
 GROUP = ["split", HOUR, "batch_id"]
@@ -153,8 +153,9 @@ def labelled_pairs(batched: DataFrame, candidates: DataFrame, keep: tuple[str, .
     Work is bounded by the batch: a group has at most ``batch_size`` users, and its
     candidates are their likes and the negatives of one hour.  The label comes from the
     likers on the candidate, so a pair costs a look at ``batch_size`` users at most and the
-    pairs themselves are never shuffled.
+    pairs themselves are never shuffled.  Both sides come in a fixed number of parts, since the
+    pairs of a part are sorted and are a batch size times as many as its rows.
     """
-    users = batched.select(*GROUP, USER, *keep)
+    users = dealt(batched.select(*GROUP, USER, *keep), GROUP)
     label = F.coalesce(F.array_contains("likers", F.col(USER)), F.lit(False)).cast("int")
-    return users.join(candidates, GROUP).withColumn("label", label).drop("likers")
+    return users.join(dealt(candidates, GROUP), GROUP).withColumn("label", label).drop("likers")

@@ -14,6 +14,7 @@ from tidemark.operators import ranking
 from tidemark.operators.ranking import metric_names, rank_metrics, threshold_metrics, zero_history_metrics
 from tidemark.plans.durable import cut
 from tidemark.plans.ordered import first_by_hash
+from tidemark.plans.spread import dealt
 
 MODEL = ["model_name", "model_type", "split"]
 RANKS = ["mean_average_precision", "rank_metric_user_count"]
@@ -48,7 +49,7 @@ def model_rows(
     for each user-hour, are repeated for each model.
     """
     per_key = Window.partitionBy(*keys)
-    wide, aggregates = ranking.sized(pairs, keys), []
+    wide, aggregates = ranking.sized(dealt(pairs, keys), keys), []
     for j, (_, score) in enumerate(scorers.values()):
         prefix = f"_m{j}_"
         wide = ranking.ranked(wide, keys, score, item, prefix)
