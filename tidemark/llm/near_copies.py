@@ -1,6 +1,8 @@
 """Near copies by the Jaccard similarity of their word shingles; every link is found and checked exactly.
 
-Texts with the same set of shingles are one node.  Shingles are ordered from rare to frequent by
+Texts with the same set of shingles are one node.  First SimHash: fingerprints over the same shingles are linked
+at :data:`simhash.RADIUS` differing bits or fewer, and each such link is decided on the shingles themselves.  Three bits
+find the closest copies only, so the rest are found by their rarest shingles.  Shingles are ordered from rare to frequent by
 counts over all texts: counters in slices of a sketch, which may count too many but give a shingle
 the same rank everywhere.  Two sets of ``n`` shingles and more can only be ``s`` similar if they share one of
 their ``n - ceil(s * n) + 1`` first shingles in that order, so a node has those as keys and only nodes
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import blocks as B
+from tidemark.llm import simhash
 from tidemark.llm.components import components
 from tidemark.llm.rows import appended, fresh, schema_with, steps, text_buffer
 from tidemark.llm.words import ODD, hash_words, lower_table, mixed, spans
@@ -259,8 +262,21 @@ def _able_apart(least: float, other: str = "") -> Column:
     return F.least(F.col("shared"), c("shared")) * 2 >= F.col("apart") + c("apart") - room
 
 
-def _links(blocks: DataFrame, width: int, slices: int, least: float, shingle: int) -> DataFrame:
-    """``(a, b)`` whose components are those of all links between nodes."""
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """``(a, b)``: nodes with their smallest of the same fingerprint, and those of linked fingerprints; to be decided exactly.
+
+    ``nodes`` has ``node`` and ``print``.
+    """
+    prints = cut(nodes.groupBy("print").agg(F.min("node").alias("first")))
+    equal = nodes.join(prints.hint("merge"), "print").select("node", "first")
+    ends = [prints.select(F.col("print").alias(c), F.col("first").alias(f"node_{c}")) for c in "ab"]
+    forest = simhash.links(prints.select(F.col("print").alias("fp")))
+    linked = forest.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select("node_a", "node_b")
+    return _pairs(equal.union(linked), F.col("node"), F.col("first"))
+
+
+def _links(blocks: DataFrame, width: int, slices: int, least: float, shingle: int, alike: DataFrame) -> DataFrame:
+    """``(a, b)`` whose components are those of all links between nodes; ``alike`` has the pairs by SimHash."""
     levelled = B.answered(blocks, cut(levels_of(blocks, width, slices, shingle)), "levels")
     keys = _keys(levelled, width, slices, least, shingle)
     # Similar sets differ by one class of size at most: a set stands under its class and the next.
@@ -288,7 +304,9 @@ def _links(blocks: DataFrame, width: int, slices: int, least: float, shingle: in
 
     sets = cut(blocks.mapInArrow(gather, "node long, grams binary").join(wanted.hint("merge"), "node", "left_semi"))
     compared = cut(_compared(best.select(F.col("node").alias("a"), F.col("lead").alias("b")), sets, least))
-    stars = cut(components(compared.where("linked").select("a", "b")))
+    # Pairs by SimHash that link have a key in common, so their sets are there.
+    by_print = _linked(alike, sets, least)
+    stars = cut(components(compared.where("linked").select("a", "b").unionByName(by_print)))
 
     # Nodes of one leader, by what they differ in.
     near = compared.where("apart IS NOT NULL")
@@ -319,28 +337,31 @@ def drop_near_copies(
     Two texts link if their sets of ``shingle`` consecutive words have a Jaccard
     similarity of ``least`` or more; groups are what links connect.  A-Z are
     lower-cased; words are runs of all but ASCII white space; a text of fewer than
-    ``shingle`` words is one shingle.
+    ``shingle`` words is one shingle.  Links come from SimHash and from rare shingles and are all decided exactly.
 
     Null, empty and blank texts are copies of one another; a null id is kept only
     where all of a group are null; an empty table gives none.
     """
-    names = [fresh(docs, n) for n in ("near_set", "near_size")]
+    names = [fresh(docs, n) for n in ("near_set", "near_size", "near_print")]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, text, BLOCK_BYTES):
             data, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
+            raw, edges = lower_table()[data].tobytes(), offsets.tolist()
+            prints = np.array([simhash.fingerprint(raw[a:b].split(), shingle) for a, b in zip(edges, edges[1:])], np.uint64)
             sets, sizes = [], []
             for grams in shingle_sets(data, offsets, shingle):
                 sets.append(xxhash.xxh3_128_digest(grams.tobytes()))
                 sizes.append(len(grams))
-            yield appended(batch, **dict(zip(names, (pa.array(sets, pa.binary()), pa.array(sizes, pa.int64())))))
+            columns = (pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints.view(np.int64)))
+            yield appended(batch, **dict(zip(names, columns)))
 
-    added = docs.mapInArrow(add, schema_with(docs, *zip(names, (T.BinaryType(), T.LongType()))))
+    added = docs.mapInArrow(add, schema_with(docs, *zip(names, (T.BinaryType(), T.LongType(), T.LongType()))))
     key = fresh(added, "row")
     rows = cut(added.withColumn(key, F.monotonically_increasing_id()))
-    narrow = rows.select(*[F.col(f"`{n}`").alias(c) for n, c in zip((*names, doc_id, key), ("set", "size", "id", "key"))])
+    narrow = rows.select(*[F.col(f"`{n}`").alias(c) for n, c in zip((*names, doc_id, key), ("set", "size", "print", "id", "key"))])
     # Of equal sets, then of a component.
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "print")).alias("first")
     nodes = cut(narrow.groupBy("set").agg(first, F.max("size").alias("size")).withColumn("node", F.col("first.key")))
     shingles = nodes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     width = max(64, COUNTERS * shingles)
@@ -354,7 +375,8 @@ def drop_near_copies(
     chosen = cut(chosen.groupBy("block").agg(F.collect_list("row").alias("chosen")))
     blocks = blocks.join(chosen, "block")
 
-    roots = components(_links(blocks, width, slices, least, shingle)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    alike = cut(simhash_pairs(nodes.where("size > 0").select("node", F.col("first.print").alias("print"))))
+    roots = components(_links(blocks, width, slices, least, shingle, alike)).select(F.col("a").alias("node"), F.col("b").alias("root"))
     labels = nodes.select("node", "first").join(roots.hint("merge"), "node", "left")
     kept = labels.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     # Kept rows grow with the table: merged at every size, never broadcast.
