@@ -58,7 +58,9 @@ def user_vector(
     entries = history.where("embedding_present").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "embedding"))), lambda e: e["embedding"]).alias("v")
     )
-    return entries.select(l2_normalised(summary_vector("v", dim, kind, ema_alpha), normalise).alias("user_vector"))
+    # A summary is made on Arrow batches, which no lambda may hold: it is a column before it is normalised.
+    summary = entries.select(summary_vector("v", dim, kind, ema_alpha).alias("summary"))
+    return summary.select(l2_normalised("summary", normalise).alias("user_vector"))
 
 
 def unique_candidates(posts: DataFrame) -> DataFrame:
