@@ -59,6 +59,17 @@ def _slots(first: np.ndarray, second: np.ndarray, width: int) -> tuple[np.ndarra
     return first % np.uint64(width), second % np.uint64(width) + np.uint64(width)
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct values, and for each value which of them it is."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    number = np.empty(len(values), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], number
+
+
 def _sliced(keys: np.ndarray, slices: int, width: int) -> Iterator[tuple[int, int, int]]:
     """``(slice, from, to)`` of the nonempty slices of sorted keys."""
     points = [0, *B.cut_points(keys, slices, width).tolist(), len(keys)]
@@ -115,7 +126,7 @@ def _candidates(batch: pa.RecordBatch, k: int, size: int, width: int, slices: in
     data, offsets = B.texts_of(batch, k)
     at, first, second, firsts = windows(data, offsets, size)
     places = _slots(first, second, width)
-    slots = np.unique(np.concatenate(places))
+    slots, slot_of = _numbered(np.concatenate(places))
     held = -(-2 * width // slices)
     flags = [
         B.unpack_bits(answer, b - a)
@@ -123,7 +134,7 @@ def _candidates(batch: pa.RecordBatch, k: int, size: int, width: int, slices: in
     ]
     flags = np.concatenate(flags) if flags else np.zeros(0, bool)
     # A slot counted once stands for a window that starts nowhere else.
-    kept = flags[np.searchsorted(slots, places[0])] & flags[np.searchsorted(slots, places[1])] if len(at) else flags
+    kept = flags[slot_of[: len(at)]] & flags[slot_of[len(at) :]] if len(at) else flags
     at, first, second = at[kept], first[kept], second[kept] >> np.uint64(32)
     order = np.lexsort((second, first))
     first, second, at = first[order], second[order], at[order]
