@@ -1,9 +1,12 @@
 """The pipeline against brute-force versions of its stages, and its queries against their SQL."""
 
 import re
+import time
 
 import corpus_pipeline
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from cases import SF_DIR
 from check_queries import TABLES, normalised
@@ -14,7 +17,7 @@ from test_packing import checked
 from test_pii import PLAIN, brute as personal
 
 import __spark_entry__ as entry_module
-from tidemark.llm import toxicity
+from tidemark.llm import near_copies, toxicity, words
 from tidemark.llm.queries import ORACLES, QUERIES
 
 
@@ -89,3 +92,43 @@ def test_run(spark, stages):
     got = corpus_pipeline.run(spark, SF_DIR).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"))
     want = stages[-1].groupBy("doc_id").agg(F.sum("n_tokens").alias("n"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_batches_are_bounded(spark):
+    """Long texts do not make long Arrow batches: executors hold several of each task."""
+    spark.conf.unset(corpus_pipeline.BATCH_CONF)
+    docs = spark.range(0, 8000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    try:
+        corpus_pipeline.decontaminate(spark, docs, SF_DIR)
+        found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert len(found) > 1 and max(found) <= corpus_pipeline.BATCH_BYTES + (1 << 20)
+        spark.conf.set(corpus_pipeline.BATCH_CONF, "1m")  # what the session asks for stays
+        corpus_pipeline.decontaminate(spark, docs, SF_DIR)
+        assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) <= 2 << 20
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH_CONF)
+
+
+def test_distinct():
+    assert words.distinct(np.array([5, 1, 5, 0], np.int64)).tolist() == [0, 1, 5]
+    assert words.distinct(np.zeros(0, np.uint64)).tolist() == []
+
+
+def test_features_cost_little_beside_their_words():
+    """Features and shingles are told apart by sorting; hashing took many times as long and a set of all of them."""
+    text = " ".join(map(str, np.random.default_rng(2).integers(10**9, 10**10, 100_000).tolist()))
+    data, edges = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    weights = toxicity.Weights(np.ones(toxicity.DIMENSIONS), 0.0)
+    made, kept, sets = [], [], []
+    for _ in range(3):
+        times = [time.process_time()]
+        list(toxicity.features(data, edges))
+        times.append(time.process_time())
+        toxicity.margins(data, edges, weights)
+        times.append(time.process_time())
+        list(near_copies.shingle_sets(data, edges))
+        times.append(time.process_time())
+        for spent, a, b in zip((made, kept, sets), times, times[1:]):
+            spent.append(b - a)
+    assert min(kept) < 3 * min(made) and min(sets) < min(made)

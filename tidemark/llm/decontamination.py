@@ -30,7 +30,7 @@ WINDOW = 10
 #: Text of benchmark items that is broadcast at a time; more items make more passes.
 BLOCK_BYTES = 16 << 20
 #: Text of one shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 MATCH = T.ArrayType(
     T.StructType(

@@ -34,7 +34,7 @@ from tidemark.llm import blocks as B
 from tidemark.llm import simhash
 from tidemark.llm.components import components
 from tidemark.llm.rows import appended, fresh, schema_with, steps, text_buffer
-from tidemark.llm.words import ODD, hash_words, lower_table, mixed, spans
+from tidemark.llm.words import ODD, distinct, hash_words, lower_table, mixed, spans
 from tidemark.plans.durable import cut
 from tidemark.plans.spread import spread_join
 
@@ -43,8 +43,8 @@ SIMILARITY = 0.8
 #: Counters of the sketch for each shingle, and of a slice at most.
 COUNTERS = 8
 SLICE = 1 << 24
-#: Text of a block.
-BLOCK_BYTES = 4 << 20
+#: Text of a block, and text that is fingerprinted at a time.
+BLOCK_BYTES, STEP_BYTES = 4 << 20, 1 << 20
 #: A node goes by its difference from a leader of this similarity at least; pairs that are compared at a time.
 NEAR, PAIRS = 0.5, 256
 #: For rounding.
@@ -67,12 +67,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     whole = chained(words, shingle) if len(words) >= shingle else words[:0]
     edges = firsts.tolist()
     for a, b in zip(edges, edges[1:]):
-        yield np.unique(whole[a : b - shingle + 1] if b - a >= shingle else chained(words[a:b], b - a))
+        yield distinct(whole[a : b - shingle + 1] if b - a >= shingle else chained(words[a:b], b - a))
 
 
 def similarity(left: np.ndarray, right: np.ndarray) -> float:
     """Jaccard similarity of two ascending sets; of two empty ones 1."""
-    either = len(np.union1d(left, right))
+    either = len(distinct(np.concatenate([left, right])))
     return (len(left) + len(right) - either) / either if either else 1.0
 
 
@@ -345,7 +345,7 @@ def drop_near_copies(
     names = [fresh(docs, n) for n in ("near_set", "near_size", "near_print")]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text, BLOCK_BYTES):
+        for batch in steps(batches, text, STEP_BYTES):
             data, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
             raw, edges = lower_table()[data].tobytes(), offsets.tolist()
             prints = np.array([simhash.fingerprint(raw[a:b].split(), shingle) for a, b in zip(edges, edges[1:])], np.uint64)

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.blocks import pack, pack_sorted, unpack, unpack_sorted
 from tidemark.llm.rows import appended, fresh, schema_with, steps, text_buffer
-from tidemark.llm.words import hash_words, lower_table, spans
+from tidemark.llm.words import distinct, hash_words, lower_table, spans
 from tidemark.plans.durable import cut
 
 #: Bounds of the training sample, confirmed positives, confirmed negatives and unlabelled, over all members.
@@ -50,7 +50,7 @@ LEAST_POSITIVES = 3
 PENALTY, RIDGE, STEPS = 0.1, 1e-4, 150
 FOLDS = 5
 #: Text that is scored at a time: a word makes five features.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: Bins of scores and steps for the prior, bounds of a prior, and labelled rows of each sort that it takes.
 BINS, MIXING, LEAST_PRIOR, MOST_PRIOR, LEAST_LABELLED = 12, 200, 1e-4, 0.9, 8
 POSITIVE, NEGATIVE, UNLABELLED = 1, 2, 0
@@ -88,7 +88,7 @@ def margins(data: np.ndarray, offsets: np.ndarray, weights: Weights) -> np.ndarr
     for where, feature in features(data, offsets):
         used = weights.table[feature] != 0
         kept.append(where[used] * DIMENSIONS + feature[used])
-    pairs = np.unique(np.concatenate(kept))
+    pairs = distinct(np.concatenate(kept))
     sums = np.bincount(pairs // DIMENSIONS, weights=weights.table[pairs % DIMENSIONS], minlength=len(offsets) - 1)
     return sums + weights.bias
 
@@ -275,7 +275,7 @@ def train(
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", STEP_BYTES):
             parts = list(features(*text_buffer(batch.column("text"))))
-            pairs = np.unique(np.concatenate([where * DIMENSIONS + feature for where, feature in parts]))
+            pairs = distinct(np.concatenate([where * DIMENSIONS + feature for where, feature in parts]))
             points = np.searchsorted(pairs, np.arange(1, batch.num_rows) * DIMENSIONS)
             packed = [pack_sorted((x % DIMENSIONS).astype(np.uint64)) for x in np.split(pairs, points)]
             yield pa.RecordBatch.from_arrays(
