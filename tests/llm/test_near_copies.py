@@ -6,6 +6,7 @@ import pytest
 from cases import ROWS, SF_DIR, empty, frame
 from test_simhash import reach
 
+from tidemark.llm import near_copies
 from tidemark.llm.near_copies import drop_near_copies, first_shingles, similarity
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -136,3 +137,26 @@ def test_cases(spark):
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     assert kept(corpus_pipeline.near_dedup(spark, docs, SF_DIR)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_sets_are_not_shuffled(spark, monkeypatch):
+    """Only sets that meet another are written, and comparing moves the pairs with one set of each, not all sets."""
+    compared, seen = near_copies._compared, []
+
+    def watched(pairs, sets, least):
+        out = compared(pairs, sets, least)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        seen.append((sets.count(), plan.count("Exchange hashpartitioning")))
+        return out
+
+    monkeypatch.setattr(near_copies, "_compared", watched)
+    monkeypatch.setattr(near_copies, "spread_join", lambda big, small, on: big.join(small, on))  # no leader is frequent here
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(50)]
+    rows += [(100 + i, " ".join([*(f"c{i // 2}x{k}" for k in range(100)), f"end{i}"])) for i in range(60)]
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")  # as with sets that are too large
+    try:
+        assert kept(drop_near_copies(frame(spark, rows))) == brute(rows)
+    finally:
+        spark.conf.unset(threshold)
+    assert len(seen) > 1 and all(count == 60 and moved <= 2 for count, moved in seen)

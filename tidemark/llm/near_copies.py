@@ -172,7 +172,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """``(a, b, size, linked, apart)`` of ``(a, b)``: size of the set of ``a``, whether the two are ``least`` similar or
     more, and the shingles that only one of them has (null if they are less than :data:`NEAR` similar)."""
     left, right = (sets.select(F.col("node").alias(n), F.col("grams").alias(f"grams_{n}")) for n in "ab")
-    work = spread_join(pairs, right, "b").join(left.hint("merge"), "a").select("a", "b", "grams_a", "grams_b")
+    work = spread_join(pairs, right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "grams_a", "grams_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -292,7 +292,9 @@ def _links(blocks: DataFrame, width: int, slices: int, least: float, shingle: in
     own = F.struct("mass", F.xxhash64("node").alias("order"), "node", "size", "shared")
     best = members.where((F.col("leader") > own) & able).groupBy("node").agg(F.max("leader")["node"].alias("lead"))
     best = cut(best)
-    wanted = members.select("node").distinct()
+    # Only the sets that meet another are made; they lie in buckets, so that comparing moves pairs and a leader's set with each.
+    wanted = blocks.select("block", F.explode("chosen").alias("node")).join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+    wanted = cut(wanted.groupBy("block").agg(F.collect_list("node").alias("chosen")))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,7 +304,10 @@ def _links(blocks: DataFrame, width: int, slices: int, least: float, shingle: in
                     nodes, sets = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["node", "grams"])
 
-    sets = cut(blocks.mapInArrow(gather, "node long, grams binary").join(wanted.hint("merge"), "node", "left_semi"))
+    sets = blocks.drop("chosen").join(wanted, "block").mapInArrow(gather, "node long, grams binary")
+    # Dealt first: otherwise each task writes a file into each bucket.
+    buckets = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = B.bucketed(sets.repartition(buckets, "node"), "node", "sets")
     compared = cut(_compared(best.select(F.col("node").alias("a"), F.col("lead").alias("b")), sets, least))
     # Pairs by SimHash that link have a key in common, so their sets are there.
     by_print = _linked(alike, sets, least)
