@@ -157,6 +157,25 @@ def test_error_rate():
     assert rate < 1.5 * L.false_positive_rate(L.BITS_PER_ENTRY) < 0.05
 
 
+def test_probes_are_few(monkeypatch):
+    """A key is probed once however often it occurs, and not at all if its history was never entered."""
+    texts = ["a b c " * 100, "x y z " * 100]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    words, firsts = L.tokens(data, np.cumsum([0, *map(len, texts)]))
+    entered = [words[:3]] + [np.unique(key[valid][:100]) for key, valid in L.gram_keys(words, firsts, 3)]
+    sizes = np.array([L.part_words(len(k), 400) for k in entered], np.uint64)
+    own = L.Filter(np.zeros(int(sizes.sum()), np.uint64), np.cumsum(sizes) - sizes, sizes, 1, 2)
+    for keys, size, base in zip(entered, sizes, own.bases):
+        np.bitwise_or.at(own.words, *L._probe(keys, 1, size, base))
+    probe, probed = L._probe, []
+    monkeypatch.setattr(L, "_probe", lambda keys, level, *rest: probed.append((level, len(keys))) or probe(keys, level, *rest))
+    levels = own.levels_at_tokens(words, firsts, 3)
+    # Words a, b, c, x, y, z and the end; ab, bc, ca and c with the end; four after them at most.
+    assert sum(n for level, n in probed if level == 1) <= 7 + 4 + 4
+    assert (levels[0, :300] > 0).all() and (levels[1, 1:100] > 0).all() and (levels[2, 2:100] > 0).all()
+    assert not levels[1:, firsts[1] :].any()
+
+
 def test_levels():
     counts = np.array([1, 2, 3, 4, 7, 8, 1000])
     assert L.levels_of(counts, 1).tolist() == [level(int(c), 1) for c in counts]

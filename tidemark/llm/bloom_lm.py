@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import blocks as B
-from tidemark.llm.words import ODD, hash_words, lower_table, mixed, spans
+from tidemark.llm.words import ODD, hash_words, lower_table, mixed, numbered, spans
 from tidemark.plans.durable import cut
 
 ORDER = 3
@@ -41,6 +41,8 @@ GRID = np.array([0, 0.01, 0.03, 0.1, 0.2, 0.4, 0.6, 0.8, 0.95])
 LEVELS = 128
 #: Weight of the orders below the one that is being weighed.
 MEANWHILE = 0.3
+#: Keys probed at a time, so that what a probe makes of them stays in a core's cache.
+STEP_KEYS = 1 << 15
 #: Longer n-grams are counted by this many leading bits of their hash.
 _COUNTED = np.uint64(0xFFFFFFFFFFFF0000)
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -88,6 +90,11 @@ def count_of(levels: np.ndarray, least: int) -> np.ndarray:
     return np.where(levels > 0, (np.ceil(low) + np.ceil(low * BASE) - 1) / 2, 0.0)
 
 
+def counts_at(levels: np.ndarray, least: int) -> np.ndarray:
+    """:func:`count_of` of many levels, looked up."""
+    return count_of(np.arange(LEVELS), least)[levels]
+
+
 def _probe(keys: np.ndarray, level: int, sizes: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The word of a key at a level, inside the part that the key belongs to, and its bits in that word.
 
@@ -114,18 +121,49 @@ class Filter(NamedTuple):
 
     def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
         """Level of each key, 0 for what was never entered."""
-        part = (order - 1) * self.slices + slice_of(keys, self.slices)
-        sizes, bases = self.sizes[part], self.bases[part]
-        level = np.zeros(len(keys), np.int64)
-        open_ = np.flatnonzero(sizes > 0)
-        at = 1
-        while len(open_) and at < LEVELS:
-            word, mask = _probe(keys[open_], at, sizes[open_], bases[open_])
-            open_ = open_[self.words[word] & mask == mask]
-            level[open_] = at
-            at += 1
+        order_of = np.argsort(keys)
+        # A key once, and those of a part together: a part alone fits a core's cache.
+        keys = keys[order_of]
+        new = np.ones(len(keys), bool)
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        firsts = np.flatnonzero(new)
+        found = np.zeros(len(firsts), np.int64)
+        for start in range(0, len(firsts), STEP_KEYS):
+            own = keys[firsts[start : start + STEP_KEYS]]
+            part = (order - 1) * self.slices + slice_of(own, self.slices)
+            sizes, bases = self.sizes[part], self.bases[part]
+            open_ = np.flatnonzero(sizes > 0)
+            at = 1
+            while len(open_) and at < LEVELS:
+                word, mask = _probe(own[open_], at, sizes[open_], bases[open_])
+                open_ = open_[self.words[word] & mask == mask]
+                found[start + open_] = at
+                at += 1
+        level = np.empty(len(keys), np.int64)
+        level[order_of] = np.repeat(found, np.diff(firsts, append=len(keys)))
         return level
 
+    def held(self, number: np.ndarray, order: int) -> np.ndarray:
+        """Which slices of an order have a part here."""
+        return self.sizes[(order - 1) * self.slices + number] > 0
+
+    def levels_at_tokens(self, words: np.ndarray, firsts: np.ndarray, order: int) -> np.ndarray:
+        """Levels by order and token; 0 where the part is not here or the history was never entered.
+
+        An n-gram can only be there if its history is, so one whose history's part is here and has
+        level 0 is not looked up: :meth:`Model.orders` does not read it.
+        """
+        distinct, inverse = numbered(words)
+        out = np.zeros((order, len(words)), np.uint8)
+        out[0] = self.levels(distinct, 1).astype(np.uint8)[inverse]
+        gone = self.held(slice_of(distinct, self.slices), 1)[inverse] & (out[0] == 0)
+        for n, (keys, valid) in enumerate(gram_keys(words, firsts, order), start=2):
+            asked = valid.copy()
+            asked[1:] &= ~gone[:-1]
+            out[n - 1, asked] = self.levels(keys[asked], n)
+            gone = ~asked | self.held(slice_of(keys, self.slices), n) & (out[n - 1] == 0)
+        return out
+
 
 class Model(NamedTuple):
     """What a task needs beside the levels: training tokens, distinct ones, the weights by order and level, and the least count of longer n-grams."""
@@ -147,15 +185,15 @@ class Model(NamedTuple):
         """
         own = 1 if left_out else 0
         place, level = place_of(firsts), levels[0]
-        lower = (np.maximum(count_of(level, 1) - own, 0) + 1) / (self.tokens - own + self.distinct + 1)
+        lower = (np.maximum(counts_at(level, 1) - own, 0) + 1) / (self.tokens - own + self.distinct + 1)
         least = 1
         for n in range(2, len(self.mixing) + 2):
             before = np.concatenate((np.zeros(1, np.int64), level[:-1]))
-            times = np.maximum(count_of(before, least) - own, 0)
+            times = np.maximum(counts_at(before, least) - own, 0)
             # An n-gram can only be there if its history is.
             known = (place >= n - 1) & (times > 0)
             level, least = np.where(known, levels[n - 1], 0), self.min_count
-            seen = np.minimum(np.maximum(count_of(level, least) - own, 0), times)
+            seen = np.minimum(np.maximum(counts_at(level, least) - own, 0), times)
             share = np.divide(seen, times, out=np.zeros(len(place)), where=known)
             yield n, known, before, share, lower
             weight = self.mixing[n - 2][before]
@@ -196,7 +234,7 @@ def _ask(order: int, slices: int):
                 held = batch.column("held_out")[k].values.to_numpy(zero_copy_only=False).astype(bool)
                 training = ~np.repeat(held, np.diff(firsts))
                 block = batch.column("block")[k].as_py()
-                keys, inverse = np.unique(words, return_inverse=True)
+                keys, inverse = numbered(words)
                 asked = [(1, keys, np.bincount(inverse, weights=training, minlength=len(keys)))]
                 for n, (grams, valid) in enumerate(gram_keys(words, firsts, order), start=2):
                     asked.append((n, *np.unique(grams[valid & training], return_counts=True)))
@@ -295,15 +333,11 @@ def filters(merged: DataFrame, slices: int, order: int, min_count: int, max_filt
 
 def _levels(shared, order: int, group: int):
     def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Levels of every n-gram in one group of parts, by order and token; 0 for those of other groups."""
+        """Levels of the n-grams in one group of parts, by order and token; 0 for those of other groups."""
         for batch in batches:
             for k in range(batch.num_rows):
                 words, firsts = tokens(*B.texts_of(batch, k))
-                distinct, inverse = np.unique(words, return_inverse=True)
-                out = np.zeros((order, len(words)), np.uint8)
-                out[0] = shared.value.levels(distinct, 1)[inverse]
-                for n, (keys, valid) in enumerate(gram_keys(words, firsts, order), start=2):
-                    out[n - 1, valid] = shared.value.levels(keys[valid], n)
+                out = shared.value.levels_at_tokens(words, firsts, order)
                 yield _rows([(batch.column("block")[k].as_py(), group, B.pack(out.reshape(-1)))], _LEVELS)
 
     return levels
@@ -387,7 +421,7 @@ def _score(model: Model):
             for k in range(batch.num_rows):
                 words, firsts = tokens(*B.texts_of(batch, k))
                 answers = B.answers_of(batch, "counted", k)
-                keys, inverse = np.unique(words, return_inverse=True)
+                keys, inverse = numbered(words)
                 counts = np.concatenate([B.unpack(a) for a in answers])[inverse] if len(keys) else np.zeros(0)
                 base = np.add.reduceat(np.log10((counts + 1) / (n + v + 1)), firsts[:-1])
                 known = np.add.reduceat((counts > 0).astype(np.int64), firsts[:-1])

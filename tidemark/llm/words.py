@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
-#: Bytes hashed at a time; bounds the memory of :func:`hash_words`.
-BLOCK = 1 << 20
+#: Bytes hashed at a time; bounds the memory of :func:`hash_words`, and keeps it in a core's cache.
+BLOCK = 1 << 17
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,6 +67,16 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique(x, return_inverse=True)`` for values that mostly repeat: only the distinct ones are sorted."""
+    coded = pa.array(x).dictionary_encode()
+    values = coded.dictionary.to_numpy()
+    order = np.argsort(values)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return values[order], place[coded.indices.to_numpy()]
+
+
 @cache
 def _tables(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
     rng = np.random.default_rng(seed)
