@@ -9,6 +9,8 @@ from tidemark.functions import vectors
 from tidemark.operators import candidates as cand
 from tidemark.operators.comparison import model_rows
 from tidemark.operators.history import history_vectors
+from tidemark.plans.spread import lookup_join
+from tidemark.queries import scored
 from tidemark.queries import tables as t
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -30,6 +32,32 @@ def test_history_vectors_are_not_shuffled(spark):
     assert {(r[0], r[1]): r["vectors"] for r in got.collect()} == want
 
 
+def test_vectors_of_pairs_are_not_shuffled(spark):
+    """Ids are dealt by batch before they get vectors, however small a table Spark would send by itself."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(scored.vector_pairs(spark, SF_DIR))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    users, items = plan.split("ObjectHashAggregate", 1)[0], plan[plan.index("ObjectHashAggregate") :]
+    assert users.count("Exchange") == 1  # by batch, after the summaries
+    assert not re.search(rf"Exchange hashpartitioning\({N.EMB}", plan)
+    assert items.count("REPARTITION_BY_NUM") == 2
+    assert all("embedding" not in line for line in items[items.index("REPARTITION_BY_NUM") :].splitlines() if "Exchange hashpartitioning" in line)
+    assert items.rindex("BroadcastHashJoin") < items.rindex("REPARTITION_BY_NUM")
+
+
+def test_lookup_within_and_beyond_the_limit(spark):
+    big = spark.createDataFrame([(i % 5, i) for i in range(40)] + [(None, 40), (9, 41)], "k long, n long")
+    small = spark.createDataFrame([(k, k * 10) for k in range(5)] + [(3, 31), (None, 0)], "k long, v long")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, big.join(small, "k", how).collect()), key=repr)
+        for row_bytes in (None, 8, 1 << 40):
+            got = lookup_join(big, small, "k", how, row_bytes)
+            assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert "BroadcastHashJoin" in plan_of(lookup_join(big, small, "k", row_bytes=8))
+
+
 def test_pairs_keep_their_parts(spark):
     users = spark.createDataFrame([("train", 1, b, f"u{b}{i}") for b in range(4) for i in range(3)], f"split string, {N.HOUR} int, batch_id long, {N.USER} string")
     items = spark.createDataFrame(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,7 +149,13 @@ def candidate_sets(
     )
 
 
-def labelled_pairs(batched: DataFrame, candidates: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def labelled_pairs(
+    batched: DataFrame,
+    candidates: DataFrame,
+    keep: tuple[str, ...] = (),
+    with_users: Callable[[DataFrame], DataFrame] = lambda users: users,
+    with_candidates: Callable[[DataFrame], DataFrame] = lambda items: items,
+) -> DataFrame:
     """Every user-hour against the candidates of its batch, with the label.
 
     Work is bounded by the batch: a group has at most ``batch_size`` users, and its
@@ -155,7 +163,10 @@ def labelled_pairs(batched: DataFrame, candidates: DataFrame, keep: tuple[str, .
     likers on the candidate, so a pair costs a look at ``batch_size`` users at most and the
     pairs themselves are never shuffled.  Both sides come in a fixed number of parts, since the
     pairs of a part are sorted and are a batch size times as many as its rows.
+
+    ``with_users`` and ``with_candidates`` add wide columns to a side after it was dealt, so that these are not
+    shuffled; they keep the rows and the columns of ``GROUP``.
     """
-    users = dealt(batched.select(*GROUP, USER, *keep), GROUP)
+    users = with_users(dealt(batched.select(*GROUP, USER, *keep), GROUP))
     label = F.coalesce(F.array_contains("likers", F.col(USER)), F.lit(False)).cast("int")
-    return users.join(dealt(candidates, GROUP), GROUP).withColumn("label", label).drop("likers")
+    return users.join(with_candidates(dealt(candidates, GROUP)), GROUP).withColumn("label", label).drop("likers")

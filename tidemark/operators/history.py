@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tidemark.operators.popularity import CURVE_HOUR
 from tidemark.plans.asof import asof_backward
 from tidemark.plans.durable import cut
 from tidemark.plans.ordered import quantiles_of, ranked_counts, with_position
-from tidemark.plans.spread import dealt, spread_join
+from tidemark.plans.spread import dealt, lookup_join, spread_join
 
 LONG_LIST = 10_000
 
@@ -112,16 +113,24 @@ def history_vectors(history: DataFrame, embeddings: DataFrame, max_len: int) ->
     The lists of ids are dealt by user and hour before they get their vectors, in parts that stay as many
     as they are: where the embeddings are small enough to be sent to the tasks, no vector is shuffled.
     """
-    history = dealt(history, [USER, HOUR])
-    entries = history.select(
-        USER, HOUR, F.posexplode_outer(F.slice("prior_emb_indices", 1, max_len)).alias("pos", EMB)
-    )
-    joined = spread_join(entries, embeddings.select(EMB, "embedding"), EMB, "left")
+    return listed_vectors(dealt(history, [USER, HOUR]), embeddings, [USER, HOUR], max_len)
+
+
+def listed_vectors(
+    rows: DataFrame, embeddings: DataFrame, keys: Sequence[str], max_len: int, row_bytes: int | None = None
+) -> DataFrame:
+    """``(keys, vectors)`` of the first ``max_len`` ids of ``prior_emb_indices`` in each row; ``keys`` tell rows apart.
+
+    Rows that come dealt by some of the keys keep their places where the embeddings are sent to the tasks: always
+    for a hinted table, and up to the broadcast limit where ``row_bytes`` is given.
+    """
+    entries = rows.select(*keys, F.posexplode_outer(F.slice("prior_emb_indices", 1, max_len)).alias("pos", EMB))
+    joined = lookup_join(entries, embeddings.select(EMB, "embedding"), EMB, "left", row_bytes)
     return (
-        joined.groupBy(USER, HOUR)
+        joined.groupBy(*keys)
         # At most max_len vectors per row.
         .agg(F.sort_array(F.collect_list(F.when(F.col("embedding").isNotNull(), F.struct("pos", "embedding")))).alias("l"))
-        .select(USER, HOUR, F.transform("l", lambda e: e["embedding"]).alias("vectors"))
+        .select(*keys, F.transform("l", lambda e: e["embedding"]).alias("vectors"))
     )
 
 

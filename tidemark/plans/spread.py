@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.ordered import parts_of
+from tidemark.plans.sizes import broadcast_if_bounded
 
 #: Counters of the sketch for each part; counts err by less than a part's rows divided by about this.
 COUNTERS_PER_PART = 16
@@ -81,6 +82,20 @@ def spread_join(
     return parted.join(copies.drop("_heavy", "_copies"), [*on, "_part"], how).drop("_part")
 
 
+def lookup_join(
+    big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str = "inner", row_bytes: int | None = None
+) -> DataFrame:
+    """``spread_join``, or with the whole of ``small`` sent to the tasks if its rows, counted, are within the broadcast limit.
+
+    ``row_bytes`` bounds the bytes of a row; without it nothing is counted.  The rows of ``big`` stay where they are then.
+    """
+    if row_bytes is not None:
+        sent, bounded = broadcast_if_bounded(small, small.count(), row_bytes)
+        if bounded:
+            return big.join(sent, on, how)
+    return spread_join(big, small, on, how)
+
+
 def semi_join_spread(df: DataFrame, keys: DataFrame, on: str, measured: DataFrame | None = None) -> DataFrame:
     """Rows of ``df`` whose key is in ``keys``, with the copies of a hot key on many tasks."""
     return spread_join(df, keys.select(on).distinct(), on, "left_semi", measured)

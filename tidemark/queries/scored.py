@@ -9,13 +9,15 @@ from tidemark import names as N
 from tidemark.functions.vectors import dot_score, summary_vector
 from tidemark.operators import candidates as cand
 from tidemark.operators.evaluation import total_likes
-from tidemark.operators.history import history_vectors
+from tidemark.operators.history import listed_vectors
 from tidemark.operators.ranking import ranking_rows
 from tidemark.plans.durable import cut
-from tidemark.plans.spread import spread_join
+from tidemark.plans.spread import lookup_join
 from tidemark.queries import tables as t
 
 KEYS = [*cand.GROUP, N.USER]
+#: At most, of an embedding with its id in a broadcast table.
+ROW_BYTES = 8 * t.DIM + 64
 
 
 def batched(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,29 +59,36 @@ def rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs with the history length and three scores: popularity, and the mean and the EMA history vector."""
+    """Pairs with the history length and three scores: popularity, and the mean and the EMA history vector.
+
+    Histories and candidates are dealt by batch with their ids and get their vectors there, the users after
+    their summaries are made: where the embeddings can be sent to the tasks, no vector is shuffled.
+    """
     core = t.core(spark, sf)
     hours = batched(spark, sf)
-    lists = history_vectors(t.history(spark, sf), core.embeddings, N.MAX_HISTORY_LEN)
-    users = lists.select(
-        N.USER,
-        N.HOUR,
-        summary_vector("vectors", t.DIM, "mean").alias("mean_vector"),
-        summary_vector("vectors", t.DIM, "ema").alias("ema_vector"),
-    )
+    recent = F.slice("prior_emb_indices", 1, N.MAX_HISTORY_LEN)
     n_prior = F.least(F.size("prior_emb_indices"), F.lit(N.MAX_HISTORY_LEN)).alias("num_embedding_likes")
-    lengths = t.history(spark, sf).select(N.USER, N.HOUR, n_prior)
-    described = hours.join(users, [N.USER, N.HOUR]).join(lengths, [N.USER, N.HOUR])
+    lists = t.history(spark, sf).select(N.USER, N.HOUR, recent.alias("prior_emb_indices"), n_prior)
     sets = cut(cand.candidate_sets(hours, core.likes, core.posts))
-    vectors = spread_join(sets, core.embeddings.select(N.EMB, "embedding"), N.EMB)
-    return (
-        cand.labelled_pairs(described, vectors, ("mean_vector", "ema_vector", "num_embedding_likes"))
-        .withColumns(
-            {
-                "popularity": F.ln(F.lit(1.0) + F.col(N.PRIOR)),
-                "dot_mean": F.round(dot_score("mean_vector", "embedding", dim=t.DIM), 9),
-                "dot_ema": F.round(dot_score("ema_vector", "embedding", dim=t.DIM), 9),
-            }
+
+    def summarised(users: DataFrame) -> DataFrame:
+        keys = [*KEYS, "num_embedding_likes"]
+        return listed_vectors(users, core.embeddings, keys, N.MAX_HISTORY_LEN, ROW_BYTES).select(
+            *keys,
+            summary_vector("vectors", t.DIM, "mean").alias("mean_vector"),
+            summary_vector("vectors", t.DIM, "ema").alias("ema_vector"),
         )
-        .drop("mean_vector", "ema_vector", "embedding")
+
+    def described(items: DataFrame) -> DataFrame:
+        return lookup_join(items, core.embeddings.select(N.EMB, "embedding"), N.EMB, row_bytes=ROW_BYTES)
+
+    pairs = cand.labelled_pairs(
+        hours.join(lists, [N.USER, N.HOUR]), sets, ("prior_emb_indices", "num_embedding_likes"), summarised, described
     )
+    return pairs.withColumns(
+        {
+            "popularity": F.ln(F.lit(1.0) + F.col(N.PRIOR)),
+            "dot_mean": F.round(dot_score("mean_vector", "embedding", dim=t.DIM), 9),
+            "dot_ema": F.round(dot_score("ema_vector", "embedding", dim=t.DIM), 9),
+        }
+    ).drop("mean_vector", "ema_vector", "embedding")
